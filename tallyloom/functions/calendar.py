@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 HOUR_DIGITS = 8
 CENTURY_TURN = "69"
 
+# Full English day names, Monday first.
+DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
 
 def parse_hour(text: Column) -> Column:
     """``yyMMddHH`` text to a timestamp without zone; null when it is not such a text."""
@@ -30,8 +33,8 @@ def weekday(ts: Column) -> Column:
 
 
 def day_name(ts: Column) -> Column:
-    """Full English day name."""
-    return F.date_format(ts, "EEEE")
+    """Full English day name, looked up by weekday (no text formatting per row)."""
+    return F.get(F.array(*[F.lit(name) for name in DAY_NAMES]), weekday(ts))
 
 
 def with_calendar(df, ts: str = "hour"):

@@ -39,13 +39,16 @@ STEP = 0.1
 PATIENCE = 10
 
 
-def fit_logistic(data: DataFrame, c: float, l1: float = 1.0) -> LogisticRegressionModel:
+def fit_logistic(
+    data: DataFrame, c: float, l1: float = 1.0, total: float | None = None
+) -> LogisticRegressionModel:
     """Logistic regression with inverse penalty ``c``; ``l1`` 1 is lasso, 0 is ridge.
 
     ``c`` weighs the summed loss against the penalty, Spark averages the loss over the row
-    weights, hence the division. The inputs are not standardised.
+    weights, hence the division by their ``total``. The inputs are not standardised.
     """
-    total = data.agg(F.sum("weight")).first()[0]
+    if total is None:
+        total = data.agg(F.sum("weight")).first()[0]
     return LogisticRegression(
         weightCol="weight",
         elasticNetParam=l1,
@@ -75,9 +78,12 @@ def penalty_path(
     share the cluster at a time. The figures are one row per penalty.
     """
 
+    by_fold = {row[0]: row[1] for row in data.groupBy("fold").agg(F.sum("weight")).collect()}
+
     def one(job: tuple[float, int]) -> tuple[float, float, int]:
         c, fold = job
-        model = fit_logistic(data.where(F.col("fold") != fold), c)
+        total = sum(w for at, w in by_fold.items() if at != fold)
+        model = fit_logistic(data.where(F.col("fold") != fold), c, total=total)
         scored = model.transform(data.where(F.col("fold") == fold))
         f1 = weighted_f1(scored, weight="n").first()[0]
         return c, f1, len(kept_slots(model.coefficients))

@@ -18,7 +18,13 @@ from tallyloom.operators.small import levels
 
 
 def with_key(df: DataFrame, *keys: str) -> DataFrame:
-    return df.na.drop(subset=list(keys))
+    """Rows whose keys are neither null nor NaN."""
+    kinds = dict(df.dtypes)
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+        if kinds[key] in ("double", "float"):
+            df = df.where(~F.isnan(key))
+    return df
 
 
 def count_rows(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -55,10 +61,15 @@ def frequencies_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
-    """Share of each value among all rows; rows with a null count in the whole only."""
+    """Share of each value among all rows; rows with a null count in the whole only.
+
+    Nulls are left out by their share, not by the column: a filter on the column would move
+    into the scan, and the whole, which needs the null rows, would then be a second scan.
+    """
     counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     whole = counted.agg(F.sum("n")).scalar()
-    return counted.withColumn("share", F.col("n") / whole).where(F.col(column).isNotNull())
+    share = F.when(F.col(column).isNotNull(), F.col("n") / whole)
+    return counted.withColumn("share", share).where("share IS NOT NULL")
 
 
 def crosstab(

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tallyloom.functions.hashing import HASH_BITS, falls_in, stable_hash
 from tallyloom.operators.small import pin
 
+# Turns the number of rows into the last rank of each part but the last.
+Ranks = Callable[[Column], list[Column]]
+
 PREFIX_BITS = 12
 NARROW_ROWS = 100_000
 
@@ -43,71 +46,100 @@ def sample_exact(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
         raise ValueError("k must not be negative")
     if k == 0:
         return df.limit(0)
-    ranks = lambda n: F.array(F.least(F.lit(k).cast("bigint"), n))
+    ranks = lambda n: [F.least(F.lit(k), n)]
     marked = assign_parts(df, key, ranks, seed, name="_part")
     return marked.where("_part = 0").drop("_part")
 
 
 def stratified_test(
-    df: DataFrame, key: str, label: str, fraction: float, seed: int, name: str = "is_test"
+    df: DataFrame,
+    key: str,
+    label: str,
+    fraction: float,
+    seed: int,
+    name: str = "is_test",
+    among: Column | None = None,
 ) -> DataFrame:
-    """Mark ``ceil(fraction * n)`` rows of every label as test rows."""
+    """Mark ``ceil(fraction * n)`` rows of every label as test rows.
+
+    With ``among`` only rows for which it holds are counted and split; the mark of all
+    others is null.
+    """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be above 0 and at most 1")
     share = F.lit(Decimal(str(fraction)))
-    ranks = lambda n: F.array(F.ceil(share * n).cast("bigint"))
-    marked = assign_parts(df, key, ranks, seed, label, "_part")
+    ranks = lambda n: [F.ceil(share * n)]
+    marked = assign_parts(df, key, ranks, seed, label, "_part", among)
     return marked.withColumn(name, F.col("_part") == 0).drop("_part")
 
 
 def stratified_folds(
-    df: DataFrame, key: str, label: str, folds: int, seed: int, name: str = "fold"
+    df: DataFrame,
+    key: str,
+    label: str,
+    folds: int,
+    seed: int,
+    name: str = "fold",
+    among: Column | None = None,
 ) -> DataFrame:
-    """Give every row a fold; within a label the fold sizes differ by at most one."""
+    """Give every row a fold; within a label the fold sizes differ by at most one.
+
+    With ``among`` only rows for which it holds are counted and get a fold.
+    """
     if folds < 2:
         raise ValueError("at least two folds are needed")
 
-    def ranks(n: Column) -> Column:
-        size, extra = F.floor(n / folds), n % folds
-        ends = [(size * j + F.least(F.lit(j), extra)).cast("bigint") for j in range(1, folds)]
-        return F.array(*ends)
+    def ranks(n: Column) -> list[Column]:
+        extra = n % folds
+        size = (n - extra) / folds
+        return [size * j + F.least(F.lit(j), extra) for j in range(1, folds)]
 
-    return assign_parts(df, key, ranks, seed, label, name)
+    return assign_parts(df, key, ranks, seed, label, name, among)
 
 
 def assign_parts(
     df: DataFrame,
     key: str,
-    ranks: Callable[[Column], Column],
+    ranks: Ranks,
     seed: int,
     label: str | None = None,
     name: str = "part",
+    among: Column | None = None,
 ) -> DataFrame:
     """Cut every label's rows, in hash order, after the given ranks.
 
-    ``ranks`` turns the number of rows of a label into the array of last ranks of all parts
-    but the last. The part is the number of cut points below the row.
+    The part is the number of cut points before the row. With ``among`` only rows for which
+    it holds are counted and get a part.
     """
-    cuts = cut_points(df, key, ranks, seed, label)
-    here = F.struct(F.col("_hash").alias("hash"), F.col(key).alias("key"))
-    part = F.size(F.filter(F.col("_cuts"), lambda cut: cut < here))
+    cuts = cut_points(df if among is None else df.where(among), key, ranks, seed, label)
+    names = [c for c in cuts.columns if c != "_label"]
     hashed = df.withColumn("_hash", stable_hash(key, seed))
     if label is None:
-        joined = hashed.withColumn("_cuts", cuts.select("_cuts").scalar())
+        whole = cuts.select(F.struct(*names)).scalar()
+        joined = hashed.withColumns({c: whole[c] for c in names})
     else:
         joined = hashed.join(cuts, hashed[label].eqNullSafe(cuts["_label"]), "left")
+    part = sum((_beyond(F.col(c), key).cast("int") for c in names), F.lit(0))
+    if among is not None:
+        part = F.when(among, part)
     return joined.withColumn(name, part).select(*df.columns, name)
 
 
+def _beyond(cut: Column, key: str) -> Column:
+    """Whether the row comes after a cut point in the order of hash and key."""
+    here, tie = F.col("_hash"), F.col(key)
+    return (here > cut["hash"]) | ((here == cut["hash"]) & (tie > cut["key"]))
+
+
 def cut_points(
     df: DataFrame,
     key: str,
-    ranks: Callable[[Column], Column],
+    ranks: Ranks,
     seed: int,
     label: str | None = None,
     narrow_rows: int = NARROW_ROWS,
 ) -> DataFrame:
-    """The ``(hash, key)`` of the rows at the given ranks: one row per label.
+    """The ``(hash, key)`` of the rows at the given ranks: a row per label, a column per rank.
 
     Counting by the leading bits of the hash tells which prefix a rank falls into; counting
     again inside that prefix narrows it by 12 more bits, until a prefix holds at most
@@ -120,6 +152,7 @@ def cut_points(
         stable_hash(key, seed).alias("hash"),
         F.col(key).alias("key"),
     )
+    wanted = [rank.cast("bigint") for rank in ranks(F.col("rows"))]
     bits = PREFIX_BITS
     counted = base.groupBy("_label", _prefix("hash", bits).alias("prefix")).agg(
         F.count(F.lit(1)).alias("n")
@@ -130,7 +163,7 @@ def cut_points(
         counted.withColumns(
             {"rows": F.sum("n").over(by_label), "before": F.sum("n").over(upto) - F.col("n")}
         )
-        .select("*", F.posexplode(ranks(F.col("rows"))).alias("cut", "rank"))
+        .select("*", F.posexplode(F.array(*wanted)).alias("cut", "rank"))
         .where("before < rank AND rank <= before + n")
         .drop("rows")
     )
@@ -141,8 +174,9 @@ def cut_points(
     inside = _inside(base, spots, bits)
     place = F.row_number().over(Window.partitionBy("_label", "cut").orderBy("hash", "key"))
     found = inside.withColumn("place", place).where("before + place = rank")
+    at = F.struct("hash", "key")
     cuts = found.groupBy("_label").agg(
-        F.sort_array(F.collect_list(F.struct("hash", "key"))).alias("_cuts")
+        *[F.max(F.when(F.col("cut") == j, at)).alias(f"_cut{j}") for j in range(len(wanted))]
     )
     return pin(cuts)[0]
 

@@ -59,14 +59,15 @@ def prepare(
     if share < 1:
         rows = sampling.sample_fraction(rows, key, share, seed)
     rows = sampling.mark_test(rows, key, TEST_SHARE, seed + 1)
-    training = rows.where("NOT is_test")
-    training = sampling.stratified_folds(training, key, "label", models.FOLDS, seed + 2)
-    training = sampling.stratified_test(training, key, "label", VALID_SHARE, seed + 3, "is_valid")
-    test = rows.where("is_test").withColumns(
-        {"fold": F.lit(-1), "is_valid": F.lit(False)}
+    training = ~F.col("is_test")
+    rows = sampling.stratified_folds(
+        rows, key, "label", models.FOLDS, seed + 2, among=training
+    )
+    rows = sampling.stratified_test(
+        rows, key, "label", VALID_SHARE, seed + 3, "is_valid", among=training
     )
     parts = ["is_test", "fold", "is_valid"]
-    folded = features.fold_equal_rows(training.unionByName(test), *columns, "label", *parts)
+    folded = features.fold_equal_rows(rows, *columns, "label", *parts)
     ensure_checkpoint_dir(log.sparkSession)
     folded = folded.checkpoint()
     encoder = features.encoder(columns, encoded).fit(folded.where("NOT is_test"))
@@ -118,7 +119,9 @@ def train(log: DataFrame, key: str = "id", share: float = MODEL_SHARE, **setting
     second = boosted(prepared, keep, **settings)
     test = prepared.test.drop("features")
     scored = models.predictions(second, test, "label", "n")
-    return Trained(path, c, first, [names[i] for i in keep], second, scored)
+    # The metrics need no more than the rows per label and score.
+    scored = scored.groupBy("label", "score", "prediction").agg(F.sum("n").alias("n"))
+    return Trained(path, c, first, [names[i] for i in keep], second, scored.checkpoint())
 
 
 def metrics(scored: DataFrame) -> DataFrame:
