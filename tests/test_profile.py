@@ -1,0 +1,109 @@
+import datetime
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.operators import ordering, profile, quantiles
+
+
+def described(df, columns, **more):
+    return {r["column"]: r.asDict() for r in profile.describe_numeric(df, columns, **more).collect()}
+
+
+def check(found, values):
+    assert found["count"] == len(values)
+    assert found["mean"] == pytest.approx(np.mean(values))
+    assert found["std"] == pytest.approx(np.std(values, ddof=1))
+    assert (found["min"], found["max"]) == (min(values), max(values))
+    quarters = np.percentile(values, [25, 50, 75])
+    assert [found[c] for c in ("p25", "p50", "p75")] == pytest.approx(list(quarters))
+
+
+def test_numeric_without_missing_values(spark):
+    values = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.5]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    check(described(df, ["v"])["v"], values)
+
+
+def test_numeric_of_few_rows(spark):
+    df = spark.createDataFrame([(1, None)], "one int, none double")
+    found = described(df, ["one", "none"])
+    assert found["one"]["p25"] == found["one"]["p75"] == 1.0
+    assert found["one"]["std"] is None
+    assert found["none"]["count"] == 0 and found["none"]["p50"] is None
+
+
+@pytest.mark.parametrize("limit", [5, 200, 100_000])
+def test_narrowing_is_exact(spark, limit):
+    # Heavy tail, a hot value holding a third of all rows, negative values, two columns.
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.exp(rng.normal(0, 8, 20_000)), np.full(10_000, 3.25)])
+    y = rng.integers(-50_000, 50_000, 30_000).astype(float)
+    df = spark.createDataFrame(
+        [(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"
+    ).repartition(7)
+    found = described(df, ["x", "y"], distinct_limit=limit)
+    check(found["x"], x)
+    check(found["y"], y)
+
+
+def test_narrowing_with_almost_equal_values(spark):
+    values = [1.0] * 5000 + [1.0 + i * 1e-12 for i in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    check(described(df, ["v"], distinct_limit=3)["v"], values)
+
+
+def test_no_quantiles_of_nothing():
+    assert quantiles.quantiles(None, {}) == {}
+
+
+def test_info(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
+    assert [tuple(r) for r in profile.info(df).collect()] == [(0, "n", "int", 2), (1, "s", "string", 1)]
+
+
+def test_categorical(spark):
+    df = spark.createDataFrame(
+        [("b", 1), ("a", 1), ("a", 2), ("b", None), (None, 1)], "s string, n int"
+    )
+    found = sorted(tuple(r) for r in profile.describe_categorical(df, ["s", "n"]).collect())
+    assert found == [("n", 4, 2, "1", 3), ("s", 4, 2, "a", 2)]
+
+
+def test_timestamp(spark):
+    day = lambda d: datetime.datetime(2024, 1, d)
+    df = spark.createDataFrame([(day(2),), (day(1),), (day(2),), (day(1),), (None,), (day(9),)], "t timestamp_ntz")
+    assert tuple(profile.describe_timestamp(df, "t").first()) == (5, 3, day(1), 2, day(1), day(9))
+
+
+def test_timestamp_of_nothing(spark):
+    df = spark.createDataFrame([], "t timestamp_ntz")
+    assert tuple(profile.describe_timestamp(df, "t").first()) == (0, 0, None, None, None, None)
+
+
+def test_shape_and_columns(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert tuple(profile.shape(df).first()) == (1, 3)
+    assert profile.columns_but(df, "b") == ["a", "c"]
+    assert profile.first_columns(df, 2).columns == ["a", "b"]
+
+
+def test_distinct(spark):
+    df = spark.createDataFrame([(1, "x"), (1, None), (2, "x")], "a int, b string")
+    assert {r[0] for r in profile.distinct_values(df, "a").collect()} == {1, 2}
+    assert {tuple(r) for r in profile.count_distinct(df, ["a", "b"]).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_top_rows_take_a_bounded_heap(spark):
+    df = ordering.top_rows(spark.range(100), [F.desc("id")], 3)
+    assert [r.id for r in df.collect()] == [99, 98, 97]
+    assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_over_ranges_equals_plain_rank(spark):
+    df = spark.range(5000).withColumn("v", (F.col("id") * 7919) % 1000)
+    order = [F.desc("v"), F.col("id")]
+    plain = ordering.ranked(df, order)
+    cut = ordering.ranked(df, order, small_rows=10)
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in cut.collect()}
