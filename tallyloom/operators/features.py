@@ -72,7 +72,7 @@ def encoder(
                 stringOrderType="alphabetAsc",
                 handleInvalid="keep",
             ),
-            OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True, handleInvalid="keep"),
+            OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
             VectorAssembler(inputCols=numeric + hot, outputCol="features"),
         ]
     )

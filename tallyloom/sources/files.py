@@ -6,14 +6,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyloom.functions.calendar import parse_hour, with_calendar
 
 # Columns of the click log with their types, in file order. Codes are 16-bit
-# unsigned there; a 32-bit integer holds all of them.
+# unsigned there; a 32-bit integer holds all of them. Click (0/1, which the CSV reader does
+# not take for a boolean) and hour are read as text and typed afterwards.
 CLICK_LOG_COLUMNS = """
-    id string, click boolean, hour string, C1 int, banner_pos int,
+    id string, click string, hour string, C1 int, banner_pos int,
     site_id string, site_domain string, site_category string,
     app_id string, app_domain string, app_category string,
     device_id string, device_ip string, device_model string,
@@ -22,35 +22,22 @@ CLICK_LOG_COLUMNS = """
 """
 
 
-def click_log_schema() -> T.StructType:
-    return T.StructType.fromDDL(CLICK_LOG_COLUMNS)
-
-
 def read_click_log(spark: SparkSession, path: str) -> DataFrame:
     """Typed scan of a click log in CSV, its hour parsed and calendar columns added.
 
-    No pass over the file is spent on guessing types. ``click`` is written as 0/1, which the
-    CSV reader does not take for a boolean, so it is read as text and compared.
+    No pass over the file is spent on guessing types.
     """
-    schema = click_log_schema()
-    as_text = T.StructType(
-        [T.StructField(f.name, T.StringType() if f.name == "click" else f.dataType) for f in schema]
-    )
-    raw = spark.read.schema(as_text).option("header", True).csv(path)
-    return with_calendar(typed_click_log(raw))
-
-
-def typed_click_log(raw: DataFrame) -> DataFrame:
-    """Click and hour of a log read as text, in their own types."""
-    return raw.withColumns(
+    raw = spark.read.schema(CLICK_LOG_COLUMNS).option("header", True).csv(path)
+    typed = raw.withColumns(
         {
-            "click": F.lower(F.trim("click")).isin("1", "true") & F.col("click").isNotNull(),
+            "click": F.lower(F.trim("click")).isin("1", "true"),
             "hour": parse_hour(F.col("hour")),
         }
     )
+    return with_calendar(typed)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Scan of any CSV with a header; types are inferred unless given, names made plain."""
     reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
