@@ -128,9 +128,9 @@ def _describe(column: str, table: str) -> str:
     """
 
 
-def _long(columns, key_name: str = "column", table: str = "impressions", extra: str = "") -> str:
+def _long(columns, table: str = "impressions", extra: str = "") -> str:
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS \"{key_name}\", {extra}{c}::VARCHAR AS value FROM {table}" for c in columns
+        f"SELECT '{c}' AS \"column\", {extra}{c}::VARCHAR AS value FROM {table}" for c in columns
     )
 
 
@@ -177,6 +177,11 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "parse_hour_text": imp
         + "SELECT id, strptime(strftime(hour, '%y%m%d%H'), '%y%m%d%H') AS hour FROM impressions",
+        "typed_csv_scan": imp + "SELECT id::VARCHAR AS id, * EXCLUDE (id) FROM impressions",
+        "inferred_csv_scan": regions
+        + "SELECT district, "
+        + ", ".join(f"y{y} AS y{y}_total_in_rupees" for y in YEARS)
+        + " FROM region_year",
         "sample_exact_k": imp
         + f"SELECT id, click, banner_pos FROM impressions ORDER BY {_hash(SEED)}, id LIMIT 500",
         "report_summary": _report(IMPRESSIONS),
@@ -247,9 +252,9 @@ def oracle_sql() -> dict[str, str]:
         "crosstab_device": _crosstab("device_type"),
         "crosstab_category": _crosstab("app_category"),
         "crosstab_code": imp
-        + f"""SELECT code, value::INT AS value, nullif(count(*) FILTER (NOT click), 0) AS no_click,
+        + f"""SELECT "column", value, nullif(count(*) FILTER (NOT click), 0) AS no_click,
           nullif(count(*) FILTER (click), 0) AS click
-        FROM ({_long(("C1", "C15", "C16", "C18"), "code", extra="click, ")}) GROUP BY ALL""",
+        FROM ({_long(("C1", "C15", "C16", "C18"), extra="click, ")}) GROUP BY ALL""",
         "crosstab_day_clicks": imp
         + "SELECT day_name, count(*) AS click FROM impressions WHERE click GROUP BY 1",
         "device1_hourly_clicks": imp

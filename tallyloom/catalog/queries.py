@@ -21,7 +21,8 @@ from tallyloom.operators import (
 )
 from tallyloom.operators.small import pin
 from tallyloom.plans import report, train
-from tallyloom.sources import tables
+from tallyloom.session import scratch_folder
+from tallyloom.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +73,33 @@ def parse_hour_text(spark, folder):
     return log.select("id", parse_hour(F.col("text")).alias("hour"))
 
 
+@query
+def typed_csv_scan(spark, folder):
+    """The click log written as CSV and read back with fixed types."""
+    log = impressions(spark, folder)
+    text = log.withColumns(
+        {"click": F.col("click").cast("int"), "hour": F.date_format("hour", "yyMMddHH")}
+    )
+    names = [column.split()[0] for column in files.CLICK_LOG_COLUMNS.split(",")]
+    columns = [F.col(n) if n in text.columns else F.lit(0).alias(n) for n in names]
+    path = scratch_folder(spark)
+    text.select(*columns).write.option("header", True).csv(path)
+    return files.read_click_log(spark, path).select(*log.columns)
+
+
+@query
+def inferred_csv_scan(spark, folder):
+    """The regional table written as CSV with unwieldy names and read back without types."""
+    table = tables.region_year(spark, folder)
+    headed = table.select(
+        F.col("district").alias("District"),
+        *[F.col(c).alias(f"{c[1:]} Total (In Rupees)") for c in YEAR_COLUMNS],
+    )
+    path = scratch_folder(spark)
+    headed.write.option("header", True).csv(path)
+    return files.read_csv(spark, path)
+
+
 @query
 def sample_exact_k(spark, folder):
     log = impressions(spark, folder).select("id", "click", "banner_pos")
@@ -98,11 +126,8 @@ def table_shape(spark, folder):
 
 @query
 def describe_numeric(spark, folder):
-    events = tables.table(spark, folder, "events").select(F.col("event_id").alias("id"), "value", "user_id")
-    log = impressions(spark, folder).select("hour_in_day", "weekday", "C1")
-    described = profile.describe_numeric(events, ["value", "user_id"]).unionByName(
-        profile.describe_numeric(log, ["hour_in_day", "weekday", "C1"])
-    )
+    numbers = ["value", "user_id", "hour_in_day", "weekday", "C1"]
+    described = profile.describe_numeric(tables.event_numbers(spark, folder), numbers)
     return _rounded(described, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -276,14 +301,8 @@ def crosstab_category(spark, folder):
 @query
 def crosstab_code(spark, folder):
     """The crosstabs of the four code columns from one scan, in long form."""
-    log = impressions(spark, folder)
     codes = ["C1", "C15", "C16", "C18"]
-    long = reshape.to_long(log, ["click"], codes, variable="code")
-    cells = [
-        F.nullif(F.count_if(F.col("click") == v), F.lit(0)).alias(name)
-        for name, v in rates.BY_CLICK.items()
-    ]
-    return rates.with_key(long, "value", "click").groupBy("code", "value").agg(*cells)
+    return rates.crosstabs_of(impressions(spark, folder), codes, "click", rates.BY_CLICK)
 
 
 @query
@@ -501,7 +520,8 @@ def lr_ridge_predictions(spark, folder):
 @query
 def penalty_path(spark, folder):
     prepared = train.prepare(impressions(spark, folder))
-    return train.path_table(spark, models.penalty_path(prepared.train, parallelism=4))
+    path = models.penalty_path(prepared.train, parallelism=4)
+    return train.path_table(spark, path, models.choose_penalty(path))
 
 
 @query

@@ -43,9 +43,12 @@ def one_hot(
     A null row is 0 everywhere. Without ``values`` the values found in the data are used.
     For many values use :func:`encoder`, which keeps the row a sparse vector.
     """
-    found = {c: list(values[c]) if values and c in values else levels(df, c) for c in columns}
+    given = dict(values or {})
+    missing = [c for c in columns if c not in given]
+    found = given | (levels(df, missing) if missing else {})
+    kinds = dict(df.dtypes)
     hot = [
-        F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
+        F.coalesce((F.col(c) == F.lit(v).cast(kinds[c])).cast("int"), F.lit(0)).alias(f"{c}_{v}")
         for c in columns
         for v in found[c]
     ]

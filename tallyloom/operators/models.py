@@ -130,10 +130,12 @@ def fit_boosted(
     """Boosted trees, stopped once the validation log-loss has not improved for ``patience``
     rounds, and cut back to the best round.
 
-    The number of rounds is doubled until the stop is seen, so most fits never grow all
-    ``max_rounds`` trees. The same seed makes the same trees in every fit.
+    A first fit of twice the patience shows whether the stop comes early; only if it does
+    not are all ``max_rounds`` trees grown. The same seed makes the same trees in every fit.
+    The rows are held between the fits; a lost executor's share is read again.
     """
     ensure_checkpoint_dir(train.sparkSession)
+    train, valid = train.persist(), valid.persist()
 
     def grow(rounds: int) -> GBTClassificationModel:
         return GBTClassifier(
@@ -146,13 +148,17 @@ def fit_boosted(
             seed=seed,
         ).fit(train)
 
-    rounds = min(2 * patience, max_rounds)
-    while True:
-        model = grow(rounds)
-        best, stopped = best_round(model.evaluateEachIteration(valid), patience)
-        if stopped or rounds == max_rounds:
-            return model if best == rounds else grow(best)
-        rounds = min(2 * rounds, max_rounds)
+    try:
+        rounds = min(2 * patience, max_rounds)
+        while True:
+            model = grow(rounds)
+            best, stopped = best_round(model.evaluateEachIteration(valid), patience)
+            if stopped or rounds == max_rounds:
+                return model if best == rounds else grow(best)
+            rounds = max_rounds
+    finally:
+        train.unpersist()
+        valid.unpersist()
 
 
 def fit_forest(

@@ -25,8 +25,8 @@ def ranked(
     ranges of the order; each range is numbered by itself and shifted by the size of the
     ranges before it, so no task sees more than its own range.
     """
-    held, small = pin(df, small_rows)
-    if small:
+    held, rows = pin(df, small_rows)
+    if rows is not None:
         return held.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     ensure_checkpoint_dir(df.sparkSession)
     # The ranges come from sampling; the checkpoint makes both uses below see the same ones.

@@ -85,14 +85,27 @@ def crosstab(
     a pivot would aggregate and shuffle twice.
     """
     if values is None:
-        values = {str(v): v for v in levels(df, target)}
+        values = {text: text for text in levels(df, [target])[target]}
+    kind = dict(df.dtypes)[target]
     cells = [
-        F.nullif(F.count_if(F.col(target) == F.lit(v)), F.lit(0)).alias(name)
+        F.nullif(F.count_if(F.col(target) == F.lit(v).cast(kind)), F.lit(0)).alias(name)
         for name, v in values.items()
     ]
     return with_key(df, key, target).groupBy(key).agg(*cells)
 
 
+def crosstabs_of(
+    df: DataFrame, keys: Sequence[str], target: str, values: Mapping[str, object]
+) -> DataFrame:
+    """Crosstabs of several keys with one target from one scan, in long form."""
+    long = to_long(df, [target], keys, variable="column", value="value", as_type="string")
+    cells = [
+        F.nullif(F.count_if(F.col(target) == F.lit(v)), F.lit(0)).alias(name)
+        for name, v in values.items()
+    ]
+    return with_key(long, "value", target).groupBy("column", "value").agg(*cells)
+
+
 # Names of the two cells of a crosstab by click.
 BY_CLICK = {"no_click": False, "click": True}
 ONLY_CLICK = {"click": True}

@@ -35,6 +35,6 @@ def transpose(df: DataFrame, key: str, values: Sequence[str], max_rows: int = 10
     The rows of the input become columns, so there may be at most ``max_rows`` of them;
     more raise an error instead of being cut off.
     """
-    names = levels(df, key, max_rows)
-    long = to_long(df, [key], values)
+    names = levels(df, [key], max_rows)[key]
+    long = to_long(df.withColumn(key, F.col(key).cast("string")), [key], values)
     return long.groupBy("variable").pivot(key, names).agg(F.first("value", ignorenulls=True))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +47,8 @@ def sample_exact(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
         raise ValueError("k must not be negative")
     if k == 0:
         return df.limit(0)
-    ranks = lambda n: [F.least(F.lit(k), n)]
-    marked = assign_parts(df, key, ranks, seed, name="_part")
-    return marked.where("_part = 0").drop("_part")
+    marked = mark_after(df, key, lambda n: [F.least(F.lit(k), n)], seed, ["_after"])
+    return marked.where("NOT _after").drop("_after")
 
 
 def stratified_test(
@@ -65,12 +65,17 @@ def stratified_test(
     With ``among`` only rows for which it holds are counted and split; the mark of all
     others is null.
     """
+    marked = mark_after(
+        df, key, lambda n: [share_rank(n, fraction)], seed, ["_after"], label, among
+    )
+    return marked.withColumn(name, ~F.col("_after")).drop("_after")
+
+
+def share_rank(n: Column, fraction: float) -> Column:
+    """``ceil(fraction * n)``, in exact arithmetic."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be above 0 and at most 1")
-    share = F.lit(Decimal(str(fraction)))
-    ranks = lambda n: [F.ceil(share * n)]
-    marked = assign_parts(df, key, ranks, seed, label, "_part", among)
-    return marked.withColumn(name, F.col("_part") == 0).drop("_part")
+    return F.ceil(F.lit(Decimal(str(fraction))) * n)
 
 
 def stratified_folds(
@@ -86,30 +91,38 @@ def stratified_folds(
 
     With ``among`` only rows for which it holds are counted and get a fold.
     """
+    ends = [f"_end{j}" for j in range(1, folds)]
+    marked = mark_after(df, key, lambda n: fold_ranks(n, folds), seed, ends, label, among)
+    return marked.withColumn(name, fold_number(ends)).drop(*ends)
+
+
+def fold_ranks(n: Column, folds: int) -> list[Column]:
+    """Last ranks of all folds but the last; the first ``n % folds`` folds have a row more."""
     if folds < 2:
         raise ValueError("at least two folds are needed")
+    extra = n % folds
+    size = (n - extra) / folds
+    return [size * j + F.least(F.lit(j), extra) for j in range(1, folds)]
 
-    def ranks(n: Column) -> list[Column]:
-        extra = n % folds
-        size = (n - extra) / folds
-        return [size * j + F.least(F.lit(j), extra) for j in range(1, folds)]
 
-    return assign_parts(df, key, ranks, seed, label, name, among)
+def fold_number(ends: Sequence[str]) -> Column:
+    """The fold of a row marked with whether it lies after the end of each fold."""
+    return sum((F.col(end).cast("int") for end in ends), F.lit(0))
 
 
-def assign_parts(
+def mark_after(
     df: DataFrame,
     key: str,
     ranks: Ranks,
     seed: int,
+    marks: Sequence[str],
     label: str | None = None,
-    name: str = "part",
     among: Column | None = None,
 ) -> DataFrame:
-    """Cut every label's rows, in hash order, after the given ranks.
+    """Mark, for each rank, whether a row comes after the row of that rank in hash order.
 
-    The part is the number of cut points before the row. With ``among`` only rows for which
-    it holds are counted and get a part.
+    Ranks count within the label. With ``among`` only rows for which it holds are counted;
+    the marks of all others are null.
     """
     cuts = cut_points(df if among is None else df.where(among), key, ranks, seed, label)
     names = [c for c in cuts.columns if c != "_label"]
@@ -119,10 +132,9 @@ def assign_parts(
         joined = hashed.withColumns({c: whole[c] for c in names})
     else:
         joined = hashed.join(cuts, hashed[label].eqNullSafe(cuts["_label"]), "left")
-    part = sum((_beyond(F.col(c), key).cast("int") for c in names), F.lit(0))
-    if among is not None:
-        part = F.when(among, part)
-    return joined.withColumn(name, part).select(*df.columns, name)
+    counted = F.lit(True) if among is None else among
+    after = {m: F.when(counted, _beyond(F.col(c), key)) for m, c in zip(marks, names)}
+    return joined.withColumns(after).select(*df.columns, *marks)
 
 
 def _beyond(cut: Column, key: str) -> Column:
@@ -167,10 +179,10 @@ def cut_points(
         .where("before < rank AND rank <= before + n")
         .drop("rows")
     )
-    spots, _ = pin(spots)
-    while bits < HASH_BITS and _largest(spots) > narrow_rows:
+    spots, rows = pin(spots)
+    while bits < HASH_BITS and _largest(spots, rows) > narrow_rows:
         bits = min(bits + PREFIX_BITS, HASH_BITS)
-        spots, _ = pin(_narrow(base, spots, bits))
+        spots, rows = pin(_narrow(base, spots, bits))
     inside = _inside(base, spots, bits)
     place = F.row_number().over(Window.partitionBy("_label", "cut").orderBy("hash", "key"))
     found = inside.withColumn("place", place).where("before + place = rank")
@@ -185,7 +197,10 @@ def _prefix(column: str, bits: int) -> Column:
     return F.shiftright(F.col(column), HASH_BITS - bits)
 
 
-def _largest(spots: DataFrame) -> int:
+def _largest(spots: DataFrame, rows: pa.Table | None) -> int:
+    """Rows in the fullest prefix."""
+    if rows is not None:
+        return max(rows["n"].to_pylist(), default=0)
     return spots.agg(F.max("n")).first()[0] or 0
 
 

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyloom.session import ensure_checkpoint_dir
 
 SMALL_ROWS = 10_000
 
 
-def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """Compute a result that is expected to be small, once.
 
     Up to ``max_rows`` rows it comes back as a local relation. Spark then knows its exact
     size and picks a broadcast join by itself. A larger result never reaches the driver
     (at most ``max_rows + 1`` rows do); it is written to the checkpoint folder and stays
-    distributed, and joins with it shuffle. The flag tells which of the two happened.
+    distributed, and joins with it shuffle. The second value is the small result itself, or
+    None for a large one.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, df.schema), True
+        return df.sparkSession.createDataFrame(head, df.schema), head
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(), False
+    return df.checkpoint(), None
+
 
+def levels(
+    df: DataFrame, columns: Sequence[str], max_levels: int = SMALL_ROWS
+) -> dict[str, list[str]]:
+    """Distinct non-null values, as text, of columns whose values become columns.
 
-def levels(df: DataFrame, column: str, max_levels: int = SMALL_ROWS) -> list:
-    """The distinct non-null values of a column that becomes columns, sorted."""
-    found = df.select(column).where(df[column].isNotNull()).distinct().limit(max_levels + 1).collect()
+    One scan for all columns. Numbers come in numeric order. More than ``max_levels`` values
+    raise an error: that many columns cannot be meant.
+    """
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    pairs = texts.unpivot([], list(columns), "column", "value").where("value IS NOT NULL").distinct()
+    found = pairs.limit(max_levels + 1).collect()
     if len(found) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} values; they cannot become columns")
-    return sorted(row[0] for row in found)
+        raise ValueError(f"{', '.join(columns)}: more than {max_levels} values to become columns")
+    kinds = dict(df.dtypes)
+    order = {c: str if kinds[c] in ("string", "boolean") else float for c in columns}
+    return {c: sorted((r[1] for r in found if r[0] == c), key=order[c]) for c in columns}

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import evaluate, features, models, sampling
@@ -60,12 +60,15 @@ def prepare(
         rows = sampling.sample_fraction(rows, key, share, seed)
     rows = sampling.mark_test(rows, key, TEST_SHARE, seed + 1)
     training = ~F.col("is_test")
-    rows = sampling.stratified_folds(
-        rows, key, "label", models.FOLDS, seed + 2, among=training
-    )
-    rows = sampling.stratified_test(
-        rows, key, "label", VALID_SHARE, seed + 3, "is_valid", among=training
-    )
+    # Fold ends and the end of the validation rows are ranks in one order, found together.
+    ends = [f"end{j}" for j in range(1, models.FOLDS)]
+    ranks = lambda n: [
+        *sampling.fold_ranks(n, models.FOLDS),
+        sampling.share_rank(n, VALID_SHARE),
+    ]
+    rows = sampling.mark_after(
+        rows, key, ranks, seed + 2, [*ends, "for_training"], "label", training
+    ).withColumns({"fold": sampling.fold_number(ends), "is_valid": ~F.col("for_training")})
     parts = ["is_test", "fold", "is_valid"]
     folded = features.fold_equal_rows(rows, *columns, "label", *parts)
     ensure_checkpoint_dir(log.sparkSession)
@@ -136,10 +139,10 @@ def metrics(scored: DataFrame) -> DataFrame:
     )
 
 
-def path_table(spark, path: Sequence[models.PathPoint]) -> DataFrame:
+def path_table(spark: SparkSession, path: Sequence[models.PathPoint], chosen: float) -> DataFrame:
     """The penalty path as a table, one row per penalty."""
-    rows = [(p.c, p.weighted_f1, p.kept) for p in path]
-    return spark.createDataFrame(rows, "c double, weighted_f1 double, kept double")
+    rows = [(p.c, p.weighted_f1, p.kept, p.c == chosen) for p in path]
+    return spark.createDataFrame(rows, "c double, weighted_f1 double, kept double, chosen boolean")
 
 
 def save(result: Trained, folder: str) -> None:
@@ -147,7 +150,7 @@ def save(result: Trained, folder: str) -> None:
     result.logistic.write().overwrite().save(f"{folder}/logistic")
     result.boosted.write().overwrite().save(f"{folder}/boosted")
     spark = result.scored.sparkSession
-    write_table(path_table(spark, result.path), f"{folder}/f1_path")
+    write_table(path_table(spark, result.path, result.c), f"{folder}/f1_path")
     write_table(
         evaluate.classification_report(result.scored, weight="n"), f"{folder}/classification"
     )

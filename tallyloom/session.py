@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tallyloom-")
     context.setCheckpointDir(folder)
     return folder
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new, unused folder name in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"

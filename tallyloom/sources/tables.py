@@ -41,6 +41,14 @@ def impressions(spark: SparkSession, folder: str) -> DataFrame:
     return with_calendar(log)
 
 
+def event_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures of the event stream, with calendar columns and the code C1."""
+    events = table(spark, folder, "events").select(
+        "value", "user_id", "ts", F.get_json_object("props", "$.k").cast("int").alias("C1")
+    )
+    return with_calendar(events, "ts")
+
+
 def line_clicks(spark: SparkSession, folder: str) -> DataFrame:
     """The large click log: line items, with the keys of the part and order they belong to."""
     lines = table(spark, folder, "lineitem")

@@ -71,7 +71,7 @@ def test_narrowing_finds_the_same_cuts(log, narrow_rows):
 
 def test_many_labels_go_through_a_shuffled_join(spark, monkeypatch):
     # More labels than may be held on the driver: the same result by another way.
-    monkeypatch.setattr(sampling, "pin", lambda df: (df.checkpoint(), False))
+    monkeypatch.setattr(sampling, "pin", lambda df: (df.checkpoint(), None))
     df = spark.range(2000).withColumn("label", F.col("id") % 500)
     split = sampling.stratified_test(df, "id", "label", 0.25, 1)
     assert [tuple(r) for r in split.groupBy("is_test").count().orderBy("is_test").collect()] == [
