@@ -70,7 +70,7 @@ def penalty_path(
     data: DataFrame,
     penalties: Sequence[float] = PENALTIES,
     folds: int = FOLDS,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> list[PathPoint]:
     """Mean weighted F1 and mean number of kept features over the folds, per penalty.
 
@@ -78,6 +78,7 @@ def penalty_path(
     share the cluster at a time. The figures are one row per penalty.
     """
 
+    data = data.persist()
     by_fold = {row[0]: row[1] for row in data.groupBy("fold").agg(F.sum("weight")).collect()}
 
     def one(job: tuple[float, int]) -> tuple[float, float, int]:
@@ -89,8 +90,11 @@ def penalty_path(
         return c, f1, len(kept_slots(model.coefficients))
 
     jobs = [(c, fold) for fold in range(folds) for c in penalties]
-    with ThreadPool(parallelism) as pool:
-        done = pool.map(inheritable_thread_target(data.sparkSession)(one), jobs)
+    try:
+        with ThreadPool(parallelism) as pool:
+            done = pool.map(inheritable_thread_target(data.sparkSession)(one), jobs)
+    finally:
+        data.unpersist()
     return [
         PathPoint(
             c,
