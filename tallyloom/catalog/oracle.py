@@ -182,6 +182,17 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT district, "
         + ", ".join(f"y{y} AS y{y}_total_in_rupees" for y in YEARS)
         + " FROM region_year",
+        "report_from_csv": _report(IMPRESSIONS),
+        "regional_report_from_csv": f"WITH {REGIONS}, cut AS (SELECT "
+        + ", ".join(
+            f"CASE WHEN y{y} < (SELECT floor(avg(y{y}) * 10000) / 10000 FROM region_year) "
+            f"THEN 'Low Per Capita Income' ELSE 'High Per Capita Income' END "
+            f"AS class_y{y}_total_in_rupees"
+            for y in YEARS
+        )
+        + ' FROM region_year) SELECT "column", value, count(*) AS n FROM ('
+        + _long([f"class_y{y}_total_in_rupees" for y in YEARS], table="cut")
+        + ") GROUP BY ALL",
         "sample_exact_k": imp
         + f"SELECT id, click, banner_pos FROM impressions ORDER BY {_hash(SEED)}, id LIMIT 500",
         "report_summary": _report(IMPRESSIONS),

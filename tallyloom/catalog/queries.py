@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from tallyloom.operators import (
     sampling,
 )
 from tallyloom.operators.small import pin
+from tallyloom.plans import regions as regional
 from tallyloom.plans import report, train
 from tallyloom.session import scratch_folder
 from tallyloom.sources import files, tables
@@ -73,31 +75,57 @@ def parse_hour_text(spark, folder):
     return log.select("id", parse_hour(F.col("text")).alias("hour"))
 
 
-@query
-def typed_csv_scan(spark, folder):
-    """The click log written as CSV and read back with fixed types."""
-    log = impressions(spark, folder)
-    text = log.withColumns(
+def _log_as_csv(spark, folder) -> str:
+    """The click log written as CSV in the shared folder; columns it lacks are 0."""
+    text = impressions(spark, folder).withColumns(
         {"click": F.col("click").cast("int"), "hour": F.date_format("hour", "yyMMddHH")}
     )
     names = [column.split()[0] for column in files.CLICK_LOG_COLUMNS.split(",")]
     columns = [F.col(n) if n in text.columns else F.lit(0).alias(n) for n in names]
     path = scratch_folder(spark)
     text.select(*columns).write.option("header", True).csv(path)
-    return files.read_click_log(spark, path).select(*log.columns)
+    return path
 
 
-@query
-def inferred_csv_scan(spark, folder):
-    """The regional table written as CSV with unwieldy names and read back without types."""
-    table = tables.region_year(spark, folder)
-    headed = table.select(
+def _regions_as_csv(spark, folder) -> str:
+    """The regional table written as CSV with unwieldy names in the shared folder."""
+    headed = tables.region_year(spark, folder).select(
         F.col("district").alias("District"),
         *[F.col(c).alias(f"{c[1:]} Total (In Rupees)") for c in YEAR_COLUMNS],
     )
     path = scratch_folder(spark)
     headed.write.option("header", True).csv(path)
-    return files.read_csv(spark, path)
+    return path
+
+
+@query
+def typed_csv_scan(spark, folder):
+    log = files.read_click_log(spark, _log_as_csv(spark, folder))
+    return log.select(*impressions(spark, folder).columns)
+
+
+@query
+def inferred_csv_scan(spark, folder):
+    return files.read_csv(spark, _regions_as_csv(spark, folder))
+
+
+@query
+def report_from_csv(spark, folder):
+    """The report job from a CSV file to the written chart tables, read back."""
+    out = scratch_folder(spark)
+    report.report_on_file(spark, _log_as_csv(spark, folder), out)
+    return _rounded(spark.read.parquet(out), "rate")
+
+
+@query
+def regional_report_from_csv(spark, folder):
+    """The regional job from a CSV file to its written tables; the class sizes, read back."""
+    out = scratch_folder(spark)
+    columns = [f"{c}_total_in_rupees" for c in YEAR_COLUMNS]
+    regional.regional_report(
+        spark, _regions_as_csv(spark, folder), out, columns, regional.INCOME
+    )
+    return spark.read.parquet(f"{out}/class_sizes")
 
 
 @query
@@ -531,6 +559,21 @@ def gbt_predictions(spark, folder):
     return _score(train.boosted(prepared, features.kept_slots(first.coefficients)), prepared)
 
 
+@query
+def saved_lr_predictions(spark, folder):
+    """Predictions of a model that was written and loaded again."""
+    prepared = train.prepare(impressions(spark, folder))
+    path = scratch_folder(spark)
+    train.logistic(prepared, 0.1).write().overwrite().save(path)
+    return _score(PipelineModel.load(path), prepared)
+
+
+@query
+def click_model_metrics(spark, folder):
+    """The whole training job on all impressions: path, selection, boosted trees, metrics."""
+    return train.metrics(train.train(impressions(spark, folder), share=1.0).scored)
+
+
 @query
 def rf_predictions(spark, folder):
     prepared = train.prepare(impressions(spark, folder))

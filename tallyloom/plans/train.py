@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ class Prepared:
     data: DataFrame
     encoder: PipelineModel
 
-    @property
+    @cached_property
     def train(self) -> DataFrame:
         return features.with_class_weights(self.data.where("NOT is_test"))
 

@@ -14,6 +14,8 @@ BY_MODEL = {
     "penalty_path",
     "gbt_predictions",
     "rf_predictions",
+    "saved_lr_predictions",
+    "click_model_metrics",
 }
 
 

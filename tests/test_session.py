@@ -1,0 +1,36 @@
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from tallyloom.operators import small
+from tallyloom.session import ensure_checkpoint_dir, scratch_folder
+
+
+def test_checkpoint_folder_is_the_one_the_session_names(spark):
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert ensure_checkpoint_dir(spark) == named
+    assert spark.sparkContext.getCheckpointDir().split("file:")[-1].startswith(named)
+    first, second = scratch_folder(spark), scratch_folder(spark)
+    assert first != second
+    assert Path(first).parent == Path(named)
+
+
+def test_small_results_are_pinned_and_large_ones_stay_distributed(spark):
+    df = spark.range(100).withColumn("v", F.struct("id"))
+    held, rows = small.pin(df, max_rows=100)
+    assert rows.num_rows == held.count() == 100
+    assert "LocalTableScan" in held._jdf.queryExecution().executedPlan().toString()
+    held, rows = small.pin(df, max_rows=99)
+    assert rows is None
+    assert held.count() == 100
+
+
+def test_levels_in_order_and_bounded(spark):
+    df = spark.createDataFrame([(10, "b"), (9, "a"), (None, "b")], "n int, s string")
+    assert small.levels(df, ["n", "s"]) == {"n": ["9", "10"], "s": ["a", "b"]}
+    try:
+        small.levels(df, ["n", "s"], max_levels=3)
+    except ValueError as error:
+        assert "more than 3" in str(error)
+    else:
+        raise AssertionError("too many levels were accepted")
