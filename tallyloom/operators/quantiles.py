@@ -12,9 +12,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from math import floor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.reshape import to_long
+
 QUARTILES = (0.25, 0.5, 0.75)
 DISTINCT_LIMIT = 100_000
 ACCURACY = 10_000
@@ -41,20 +44,28 @@ def number(column: str) -> Column:
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Row]:
-    """Count, mean, deviation, range and approximate distinct count, one pass for all."""
-    summaries = [
-        F.struct(
-            F.count(number(c)).alias("count"),
-            F.avg(number(c)).alias("mean"),
-            F.stddev_samp(number(c)).alias("std"),
-            F.min(number(c)).alias("min"),
-            F.max(number(c)).alias("max"),
-            F.approx_count_distinct(number(c)).alias("distinct"),
-        ).alias(f"s{i}")
-        for i, c in enumerate(columns)
-    ]
-    row = df.agg(*summaries).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+    """Count, mean, deviation, range and approximate distinct count, one pass for all.
+
+    The columns are aggregated in long form: six functions for all of them make code the JVM
+    compiles, six for each would not.
+    """
+    summary = {
+        "count": F.count("value"),
+        "mean": F.avg("value"),
+        "std": F.stddev_samp("value"),
+        "min": F.min("value"),
+        "max": F.max("value"),
+        "distinct": F.approx_count_distinct("value"),
+    }
+    long = to_long(df, [], columns, variable="column", as_type="double")
+    table = (
+        long.where("value IS NOT NULL AND NOT isnan(value)")
+        .groupBy("column")
+        .agg(*[f.alias(name) for name, f in summary.items()])
+    )
+    found = {row["column"]: row for row in table.collect()}
+    nothing = Row("column", *summary)
+    return {c: found.get(c, nothing(c, 0, *[None] * 5)) for c in columns}
 
 
 def quantiles(
@@ -157,10 +168,16 @@ def _values_at(df: DataFrame, spans: list[Span]) -> dict[tuple[str, int], float]
     )
     upto = Window.partitionBy("span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     running = counted.withColumn("upto", F.sum("n").over(upto))
-    wanted = [(i, s, r) for i, s in enumerate(spans) for r in s.ranks]
-    hits = [
-        F.min(F.when((F.col("span") == i) & (F.col("upto") > r - s.below), F.col("value")))
-        for i, s, r in wanted
-    ]
-    row = running.agg(*[h.alias(f"v{j}") for j, h in enumerate(hits)]).first()
-    return {(s.column, r): row[j] for j, (_, s, r) in enumerate(wanted)}
+    wanted = pa.table(
+        {
+            "span": pa.array([i for i, s in enumerate(spans) for _ in s.ranks], pa.int32()),
+            "rank": pa.array([r for s in spans for r in s.ranks], pa.int64()),
+            "at": pa.array([r - s.below for s in spans for r in s.ranks], pa.int64()),
+        }
+    )
+    hits = (
+        running.join(df.sparkSession.createDataFrame(wanted), "span")
+        .where("upto - n <= at AND at < upto")
+        .select("span", "rank", "value")
+    )
+    return {(spans[r["span"]].column, r["rank"]): r["value"] for r in hits.collect()}
