@@ -42,7 +42,10 @@ def train_test(df: DataFrame, key: str, fraction: float, seed: int) -> tuple[Dat
 
 
 def sample_exact(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Exactly ``k`` rows (all if there are fewer). ``key`` must be unique."""
+    """Exactly ``k`` rows (all if there are fewer) of a table with a unique key.
+
+    Rows with the same key come together, so copies of the last key can exceed ``k``.
+    """
     if k < 0:
         raise ValueError("k must not be negative")
     if k == 0:
@@ -183,9 +186,17 @@ def cut_points(
     while bits < HASH_BITS and _largest(spots, rows) > narrow_rows:
         bits = min(bits + PREFIX_BITS, HASH_BITS)
         spots, rows = pin(_narrow(base, spots, bits))
-    inside = _inside(base, spots, bits)
-    place = F.row_number().over(Window.partitionBy("_label", "cut").orderBy("hash", "key"))
-    found = inside.withColumn("place", place).where("before + place = rank")
+    # Copies of a key are counted first, so that a hot one is a single row in the window.
+    keys = (
+        _inside(base, spots, bits)
+        .groupBy("_label", "cut", "rank", "before", "hash", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = Window.partitionBy("_label", "cut").orderBy("hash", "key").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    place = F.col("before") + F.sum("n").over(upto)
+    found = keys.withColumn("place", place).where("place - n < rank AND rank <= place")
     at = F.struct("hash", "key")
     cuts = found.groupBy("_label").agg(
         *[F.max(F.when(F.col("cut") == j, at)).alias(f"_cut{j}") for j in range(len(wanted))]

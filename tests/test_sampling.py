@@ -125,3 +125,11 @@ def test_bad_arguments(log):
         sampling.stratified_folds(log, "id", "label", 1, 1)
     with pytest.raises(ValueError):
         sampling.sample_fraction(log, "id", 1.5, 1)
+
+
+def test_copies_of_a_key_stay_together(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"))
+    for k in (1, 450, 899):
+        ids = [r.id for r in sampling.sample_exact(df, "id", k, 4).collect()]
+        assert k <= len(ids) <= k + 299
+        assert ids.count(-1) in (0, 300)
