@@ -175,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
     classed = f"WITH {CLASSED} "
     scored = f"WITH {SCORED} "
     sql = {
-        "parse_hour_text": imp
+        "parse_hour": imp
         + "SELECT id, strptime(strftime(hour, '%y%m%d%H'), '%y%m%d%H') AS hour FROM impressions",
         "typed_csv_scan": imp + "SELECT id::VARCHAR AS id, * EXCLUDE (id) FROM impressions",
         "inferred_csv_scan": regions
@@ -334,6 +334,15 @@ def oracle_sql() -> dict[str, str]:
         + f"""SELECT id, click, (ntile(3) OVER (PARTITION BY click ORDER BY {_hash(SEED)}, id) - 1)::INT
           AS fold FROM impressions""",
         "one_hot_table": _one_hot(),
+        "feature_matrix": imp
+        + "SELECT * FROM ("
+        + " UNION ALL ".join(
+            [f"SELECT id, '{c}' AS feature, {c}::DOUBLE AS value FROM impressions"
+             for c in ("weekday", "hour_in_day", "device_conn_type", "device_type")]
+            + [f"SELECT id, '{c}_' || {c} AS feature, 1::DOUBLE AS value FROM impressions"
+               for c in ("site_category", "app_category", "banner_pos")]
+        )
+        + ") WHERE value <> 0",
         "class_weights": imp
         + """SELECT click::INT AS label, count(*) AS n, round((SELECT count(*) FROM impressions)
           / (2.0::DOUBLE * count(*)), 6) AS weight FROM impressions GROUP BY 1""",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.calendar import parse_hour
+from tallyloom.functions import calendar
 from tallyloom.operators import (
     classes,
     evaluate,
@@ -70,9 +71,9 @@ def by_mean(spark, folder):
 
 
 @query
-def parse_hour_text(spark, folder):
+def parse_hour(spark, folder):
     log = impressions(spark, folder).select("id", F.date_format("hour", "yyMMddHH").alias("text"))
-    return log.select("id", parse_hour(F.col("text")).alias("hour"))
+    return log.select("id", calendar.parse_hour(F.col("text")).alias("hour"))
 
 
 def _log_as_csv(spark, folder) -> str:
@@ -502,6 +503,20 @@ def one_hot_table(spark, folder):
     return features.one_hot(log, features.ENCODED)
 
 
+@query
+def feature_matrix(spark, folder):
+    """The encoded vectors, unfolded to one row per impression and non-zero feature."""
+    log = features.model_frame(
+        impressions(spark, folder), features.MODEL_FEATURES, features.TARGET, "id"
+    )
+    encoded = features.encoder().fit(log).transform(log)
+    names = F.array(*[F.lit(name) for name in features.feature_names(encoded)])
+    slots = encoded.select("id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return slots.where("value <> 0").select(
+        "id", F.get(names, F.col("slot")).alias("feature"), "value"
+    )
+
+
 @query
 def class_weights(spark, folder):
     log = impressions(spark, folder).select(F.col("click").cast("int").alias("label"))

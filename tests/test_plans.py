@@ -1,0 +1,42 @@
+"""What the physical plans of the registered queries must not contain."""
+
+import pytest
+from test_queries import BY_MODEL, FOLDER, QUERIES
+
+BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow")
+# These read rows out of a window over a result that is small by construction.
+SMALL_WINDOW = {"categories_by_ctr", "roc_auc"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - BY_MODEL))
+def test_no_cross_join_and_no_python(spark, name):
+    text = plan(QUERIES[name](spark, FOLDER))
+    assert not [node for node in BANNED if node in text]
+    if name not in SMALL_WINDOW:
+        assert "Window" not in text
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ctr_by_hour", "ctr_by_banner", "crosstab_day", "report_summary", "value_counts_many",
+     "crosstab_code", "describe_categorical", "large_report"],
+)
+def test_one_scan_of_the_used_columns(spark, name):
+    text = plan(QUERIES[name](spark, FOLDER))
+    assert text.count("FileScan") == 1
+    schema = text.split("ReadSchema: ")[1].split("\n")[0]
+    assert "value" not in schema and "l_tax" not in schema
+
+
+def test_click_filter_reaches_the_scan(spark):
+    assert "EqualTo(event_type,click)" in plan(QUERIES["filter_clicks"](spark, FOLDER))
+
+
+def test_fact_rows_are_folded_before_the_join(spark):
+    text = plan(QUERIES["large_ctr_by_app_category"](spark, FOLDER))
+    join = text.index("Join")
+    assert "HashAggregate(keys=[part" in text[join:]
