@@ -533,7 +533,7 @@ def folded_rows(spark, folder):
 def selected_features(spark, folder):
     prepared = train.prepare(impressions(spark, folder))
     fitted = train.logistic(prepared, 0.1).stages[-1]
-    names = features.feature_names(prepared.data)
+    names = prepared.names
     kept = set(features.kept_slots(fitted.coefficients))
     rows = [(n, float(c), i in kept) for i, (n, c) in enumerate(zip(names, fitted.coefficients))]
     return spark.createDataFrame(rows, "feature string, coefficient double, kept boolean")
@@ -544,7 +544,7 @@ def selected_features(spark, folder):
 
 def _score(model, prepared) -> DataFrame:
     return models.predictions(
-        model, prepared.test.drop("features"), *features.MODEL_FEATURES, "label", "n"
+        model, prepared.test, *features.MODEL_FEATURES, "label", "n"
     )
 
 
@@ -563,7 +563,7 @@ def lr_ridge_predictions(spark, folder):
 @query
 def penalty_path(spark, folder):
     prepared = train.prepare(impressions(spark, folder))
-    path = models.penalty_path(prepared.train)
+    path = models.penalty_path(prepared.train_in_folds)
     return train.path_table(spark, path, models.choose_penalty(path))
 
 

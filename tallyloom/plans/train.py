@@ -23,22 +23,44 @@ SEED = 42
 
 @dataclass(frozen=True)
 class Prepared:
-    """Folded, encoded rows of one log with their parts.
+    """Folded rows of one log with their parts, and the encoder fitted on its training rows.
 
-    ``data`` has the feature columns, ``label``, ``features``, ``is_test``, ``fold``,
-    ``is_valid`` and ``n``, the number of impressions a row stands for.
+    ``folded`` has the feature columns, ``label``, ``is_test``, ``fold``, ``is_valid`` and
+    ``n``, the number of impressions a row stands for.
     """
 
-    data: DataFrame
+    folded: DataFrame
+    columns: tuple[str, ...]
     encoder: PipelineModel
 
+    def rows(self, condition: str, *parts: str) -> DataFrame:
+        """Encoded rows of some parts. Rows that differ only in parts not asked for are one."""
+        merged = (
+            self.folded.where(condition)
+            .groupBy(*self.columns, "label", *parts)
+            .agg(F.sum("n").alias("n"))
+        )
+        encoded = self.encoder.transform(merged)
+        return encoded.select(*merged.columns, "features")
+
+    @property
+    def names(self) -> list[str]:
+        """Names of the encoded features."""
+        return features.feature_names(self.encoder.transform(self.folded))
+
     @cached_property
     def train(self) -> DataFrame:
-        return features.with_class_weights(self.data.where("NOT is_test"))
+        """Training rows with their weights."""
+        return features.with_class_weights(self.rows("NOT is_test"))
+
+    @cached_property
+    def train_in_folds(self) -> DataFrame:
+        return features.with_class_weights(self.rows("NOT is_test", "fold"))
 
     @property
     def test(self) -> DataFrame:
-        return self.data.where("is_test")
+        """Test rows, not encoded: the models do that themselves."""
+        return self.folded.where("is_test").select(*self.columns, "label", "n")
 
 
 def prepare(
@@ -75,8 +97,7 @@ def prepare(
     ensure_checkpoint_dir(log.sparkSession)
     folded = folded.checkpoint()
     encoder = features.encoder(columns, encoded).fit(folded.where("NOT is_test"))
-    drop = [c for c in encoder.transform(folded.limit(0)).columns if c.endswith(("_index", "_hot"))]
-    return Prepared(encoder.transform(folded).drop(*drop), encoder)
+    return Prepared(folded, tuple(columns), encoder)
 
 
 @dataclass(frozen=True)
@@ -98,31 +119,30 @@ def logistic(prepared: Prepared, c: float, l1: float = 1.0) -> PipelineModel:
 def boosted(prepared: Prepared, keep: Sequence[int], **settings) -> PipelineModel:
     """Encoder, selection and boosted trees as one model."""
     select = features.slicer(keep)
-    train = select.transform(prepared.data.where("NOT is_test AND NOT is_valid"))
-    valid = select.transform(prepared.data.where("NOT is_test AND is_valid"))
+    train = select.transform(prepared.rows("NOT is_test AND NOT is_valid"))
+    valid = select.transform(prepared.rows("NOT is_test AND is_valid"))
     fitted = models.fit_boosted(train, valid, **settings)
     return PipelineModel([*prepared.encoder.stages, select, fitted])
 
 
 def forest(prepared: Prepared, **settings) -> PipelineModel:
     """Encoder and random forest as one model."""
-    fitted = models.fit_forest(prepared.data.where("NOT is_test"), **settings)
+    fitted = models.fit_forest(prepared.rows("NOT is_test"), **settings)
     return PipelineModel([*prepared.encoder.stages, fitted])
 
 
 def train(log: DataFrame, key: str = "id", share: float = MODEL_SHARE, **settings) -> Trained:
     """Penalty path, feature selection, boosted trees, scored test rows."""
     prepared = prepare(log, key, share=share)
-    path = models.penalty_path(prepared.train)
+    path = models.penalty_path(prepared.train_in_folds)
     c = models.choose_penalty(path)
     first = logistic(prepared, c)
     keep = features.kept_slots(first.stages[-1].coefficients)
     if not keep:
         raise ValueError(f"no feature is left at penalty {c}")
-    names = features.feature_names(prepared.data)
+    names = prepared.names
     second = boosted(prepared, keep, **settings)
-    test = prepared.test.drop("features")
-    scored = models.predictions(second, test, "label", "n")
+    scored = models.predictions(second, prepared.test, "label", "n")
     # The metrics need no more than the rows per label and score.
     scored = scored.groupBy("label", "score", "prediction").agg(F.sum("n").alias("n"))
     return Trained(path, c, first, [names[i] for i in keep], second, scored.checkpoint())
