@@ -325,6 +325,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "sample_fraction": imp
         + f"SELECT id, click FROM impressions WHERE {_hash(SEED)} % 1000000 < 100000",
+        "large_sample_fraction": f"""
+        SELECT l_partkey AS part, l_orderkey AS "order", l_linenumber AS banner_pos,
+          l_returnflag = 'R' AS click FROM lineitem
+        WHERE ('0x' || substr(md5(l_partkey || ':' || l_orderkey || ':' || l_linenumber || ':{SEED}'),
+          1, 15))::BIGINT % 1000000 < 100000""",
         "train_test_split": imp
         + f"SELECT id, click, {_hash(SEED)} % 1000000 < 300000 AS is_test FROM impressions",
         "stratified_split": imp

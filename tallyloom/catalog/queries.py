@@ -474,6 +474,13 @@ def sample_fraction(spark, folder):
     return sampling.sample_fraction(log, "id", 0.1, SEED)
 
 
+@query
+def large_sample_fraction(spark, folder):
+    """Line items have no key of their own; three columns together stand for one."""
+    log = tables.line_clicks(spark, folder).select("part", "order", "banner_pos", "click")
+    return sampling.sample_fraction(log, ["part", "order", "banner_pos"], 0.1, SEED)
+
+
 @query
 def train_test_split(spark, folder):
     log = impressions(spark, folder).select("id", "click")

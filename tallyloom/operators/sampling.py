@@ -25,17 +25,30 @@ PREFIX_BITS = 12
 NARROW_ROWS = 100_000
 
 
-def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """About ``fraction`` of the rows, without replacement."""
+def sample_fraction(
+    df: DataFrame, key: str | Sequence[str], fraction: float, seed: int
+) -> DataFrame:
+    """About ``fraction`` of the rows, without replacement.
+
+    Without a single key column several columns, or all of them, can stand for one.
+    """
     return df.where(falls_in(key, fraction, seed))
 
 
-def mark_test(df: DataFrame, key: str, fraction: float, seed: int, name: str = "is_test") -> DataFrame:
+def mark_test(
+    df: DataFrame,
+    key: str | Sequence[str],
+    fraction: float,
+    seed: int,
+    name: str = "is_test",
+) -> DataFrame:
     """Mark about ``fraction`` of the rows as test rows."""
     return df.withColumn(name, falls_in(key, fraction, seed))
 
 
-def train_test(df: DataFrame, key: str, fraction: float, seed: int) -> tuple[DataFrame, DataFrame]:
+def train_test(
+    df: DataFrame, key: str | Sequence[str], fraction: float, seed: int
+) -> tuple[DataFrame, DataFrame]:
     """Training and test rows: disjoint, and together all rows."""
     test = falls_in(key, fraction, seed)
     return df.where(~test), df.where(test)
