@@ -4,9 +4,10 @@ import pytest
 from comparing import database, differences
 
 import __spark_entry__ as entry
+from tallyloom.catalog import oracle, queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 BY_MODEL = {
     "selected_features",
     "lr_predictions",
@@ -34,6 +35,11 @@ def test_same_as_sql(spark, connection, name):
     assert differences(QUERIES[name](spark, FOLDER), connection, SQL[name]) == ""
 
 
+def test_entry_has_all_of_them():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["hour_in_day", "clicks", "impressions", "rate"]
