@@ -1 +1,11 @@
-"""Operators that prepare training data: documents, web pages and vectors."""
+"""Operators that prepare training data: documents, web pages and vectors.
+
+Functions that run in Python workers travel with their tasks, so executors need not have
+this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

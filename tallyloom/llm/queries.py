@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import leaks, lines, mixing
+from tallyloom.llm import language, leaks, lines, mixing, pages, pii, quality, tokens
 from tallyloom.llm.shared import documents
 from tallyloom.sources.tables import table
 
@@ -15,6 +15,18 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_digest(documents(spark, folder))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_report(documents(spark, folder))
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, folder))
+
+
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data_digest(documents(spark, folder))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(documents(spark, folder), table(spark, folder, "benchmark"))
 
@@ -23,8 +35,25 @@ def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(documents(spark, folder))
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(documents(spark, folder), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op5_benchmark_decontamination, op6_source_mixing)
+    found = (
+        op1_line_dedup,
+        op2_language_id,
+        op3_token_counts,
+        op4_personal_data,
+        op5_benchmark_decontamination,
+        op6_source_mixing,
+        op9_html_extraction,
+        op10_quality_classifier,
+    )
     return {f.__name__: f for f in found}
 
 
