@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import language, leaks, lines, mixing, pages, pii, quality, tokens
+from tallyloom.llm import language, leaks, lines, mixing, nearest, pages, pii, quality, simhash, tokens
 from tallyloom.llm.shared import documents
 from tallyloom.sources.tables import table
 
@@ -35,6 +35,14 @@ def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(documents(spark, folder))
 
 
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest_report(table(spark, folder, "embeddings"))
+
+
+def op8_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.fingerprint_groups(documents(spark, folder))
+
+
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages"))
 
@@ -51,6 +59,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_personal_data,
         op5_benchmark_decontamination,
         op6_source_mixing,
+        op7_nearest_neighbours,
+        op8_simhash_groups,
         op9_html_extraction,
         op10_quality_classifier,
     )
