@@ -16,7 +16,8 @@ from tallyloom.llm.shared import known_id, text_hash, whole_text, written
 WINDOW = 8
 #: Windows in line that make a passage: 5 windows of 8 are 12 tokens.
 MIN_WINDOWS = 5
-#: Window hashes are broadcast up to this many (16 bytes each); beyond it the join shuffles.
+#: Window hashes, and names of documents with a hit, are broadcast up to this many (16 bytes
+#: each); beyond it the joins shuffle.
 BROADCAST_HASHES = 1_000_000
 
 # Units of measure that may follow a number.
@@ -37,24 +38,23 @@ def marked(text: Column) -> Column:
     of their own. A name is a capitalised word after a word, a digit or a comma, so the first
     word of a sentence is none.
     """
-    steps = (
-        (r"(?<=[0-9])[.,](?=[0-9])", ""),
-        (r"(?<=[0-9])(?=\p{L})", " "),
-        (r"(?<=[\p{L}\p{N},;])(\s{1,3})(\p{Lu}\p{Ll}+)", f"$1{NAME_MARK}$2"),
-        (rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME_MARK}]+", " "),
-    )
     text = F.replace(text, F.lit(NAME_MARK), F.lit(" "))
-    for pattern, put in steps:
-        text = F.regexp_replace(text, pattern, put)
-    return F.btrim(text)
+    # Most texts have no digit: two passes less for them.
+    plain = F.regexp_replace(text, r"([0-9])[.,](?=[0-9])", "$1")
+    plain = F.regexp_replace(plain, r"([0-9])(?=\p{L})", "$1 ")
+    text = F.when(text.rlike("[0-9]"), plain).otherwise(text)
+    # Looks back only where a blank is followed by a capital.
+    name = r"(\s{1,3})(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;]\s{1,3})(\p{Lu}\p{Ll}+)"
+    text = F.regexp_replace(text, name, f"$1{NAME_MARK}$2")
+    return F.btrim(F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME_MARK}]+", " "))
 
 
 def template(marked_text: Column) -> Column:
     """Placeholders N (name), 0 (number) and U (unit) in place of tokens, the rest lower-cased."""
-    text = F.lower(marked_text)
-    text = F.regexp_replace(text, rf"{NAME_MARK}\S+", "N")
-    text = F.regexp_replace(text, r"(?<!\S)[0-9]+(?!\S)", "0")
-    return F.regexp_replace(text, rf"(?<=(?<!\S)0 )(?:{'|'.join(UNITS)})(?!\S)", "U")
+    text = F.regexp_replace(F.lower(marked_text), rf"{NAME_MARK}\S+", "N")
+    number = F.regexp_replace(text, r"(?<!\S)[0-9]+(?!\S)", "0")
+    number = F.regexp_replace(number, rf"(?<=(?<!\S)0 )(?:{'|'.join(UNITS)})(?!\S)", "U")
+    return F.when(text.rlike("[0-9]"), number).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
@@ -141,7 +141,12 @@ def find_leaks(
     texts = _tokenised(docs, "doc_id", "text")
     found = written(_all_windows(texts, widths).join(hashes, "hash").distinct())
 
-    held = texts.join(found.select("id", "th").distinct(), ["id", "th"], "left_semi")
+    # Only documents with a hit are read again; texts are shuffled only if very many have one.
+    hits = written(found.select("id", "th").distinct())
+    if hits.count() <= BROADCAST_HASHES:
+        hits = F.broadcast(hits)
+    held = docs.select(known_id("doc_id").alias("id"), text_hash().alias("th"), "text")
+    held = held.join(hits, ["id", "th"], "left_semi").withColumn("marked", marked(whole_text()))
     doc_hits = _with_slots(found, held)
     item_hits = _with_slots(item_windows, items).select(
         F.col("id").alias("item_id"), F.col("th").alias("item_th"), "hash",

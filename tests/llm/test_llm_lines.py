@@ -1,0 +1,55 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+from awkward import TEXTS, documents, none, rows
+
+from tallyloom.llm.lines import dedup_digest, drop_repeated_lines
+
+SPACES = " \t\n\x0b\x0c\r"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def by_hand(table, min_docs=2):
+    holders = defaultdict(set)
+    cut = [(2**63 - 1 if i is None else i, i, (t or "").split("\n")) for i, t, *_ in table]
+    key = lambda line: line.strip(SPACES).translate(LOWER)
+    for place, _, lines in cut:
+        for line in lines:
+            holders[key(line)].add(place)
+    found = []
+    for place, i, lines in cut:
+        gone = [
+            len(key(x)) >= 10 and len(holders[key(x)]) >= min_docs and place != min(holders[key(x)])
+            for x in lines
+        ]
+        found.append((i, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
+    return found
+
+
+@pytest.mark.parametrize("min_docs", [2, 3])
+def test_same_as_by_hand(spark, min_docs):
+    done = drop_repeated_lines(documents(spark), min_docs=min_docs)
+    wanted = sorted(by_hand(TEXTS, min_docs), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
+    assert rows(done, "doc_id", "n_lines", "n_dropped", "text") == wanted
+    assert set(documents(spark).columns) <= set(done.columns)
+    assert done.select("line", "pos").distinct().count() == 1
+
+
+def test_digest_hashes_the_kept_text(spark):
+    wanted = sorted(
+        ((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in by_hand(TEXTS)),
+        key=lambda r: (r[0] is None, r[0] or 0, r[1:]),
+    )
+    assert rows(dedup_digest(documents(spark)), "doc_id", "n_lines", "n_dropped", "kept_sha256") == wanted
+
+
+def test_many_lines_in_one_document(spark):
+    lines = [f"line number {i} of a long text" for i in range(20_000)]
+    table = [(1, "\n".join(lines[::2]), "en", "a"), (2, "\n".join(lines), "en", "a")]
+    got = rows(dedup_digest(documents(spark, table)), "doc_id", "n_lines", "n_dropped")
+    assert got == [(1, 10_000, 0), (2, 20_000, 10_000)]
+
+
+def test_empty_table(spark):
+    assert dedup_digest(none(documents(spark))).count() == 0
