@@ -1,0 +1,144 @@
+import re
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from awkward import TEXTS, documents, none
+
+from tallyloom.llm import simhash
+from tallyloom.llm.components import components
+from tallyloom.llm.simhash import fingerprint_groups, near_links, one_of_each, position_triples
+from tallyloom.sources.tables import table
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def fingerprint(text, width=4):
+    words = words_of(text)
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42) for i in range(max(1, len(words) - width + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def joined(n, links):
+    label = list(range(n))
+    for a, b in links:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    return label
+
+
+def by_hand(rows):
+    prints = [fingerprint(t) for _, t, *_ in rows]
+    near = ((a, b) for a, b in combinations(range(len(rows)), 2) if (prints[a] ^ prints[b]).bit_count() <= 4)
+    label = joined(len(rows), near)
+    least = {}
+    for (i, *_), x in zip(rows, label):
+        least[x] = min([v for v in (least.get(x), i) if v is not None], default=None)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    return sorted(((r[0], f"{p:016x}", least[x]) for r, p, x in zip(rows, prints, label)), key=key)
+
+
+def result(df):
+    found = ((r.doc_id, r.fingerprint, r.component_id) for r in df.collect())
+    return sorted(found, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def test_triples_cover_every_four_positions():
+    triples = [set(t) for t in position_triples()]
+    assert len(triples) == 20
+    assert all(any(t <= set(four) for t in triples) for four in combinations(range(8), 4))
+
+
+def test_awkward_rows(spark):
+    assert result(fingerprint_groups(documents(spark))) == by_hand(TEXTS)
+    assert fingerprint_groups(none(documents(spark))).count() == 0
+
+
+def test_same_as_by_hand(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert result(fingerprint_groups(docs)) == by_hand(rows)
+
+
+@pytest.mark.parametrize("group_rows", [4096, 40, 7])
+def test_links_join_all_near_prints(spark, monkeypatch, group_rows):
+    """A dense ball of prints: every posting list is long, and lists are cut into blocks."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+    dice = np.random.default_rng(1)
+    prints = [int(x) for x in dice.integers(-(2**63), 2**63 - 1, 30)]
+    for p in list(prints[:3]):
+        for _ in range(60):
+            flips = sum(1 << int(b) for b in dice.choice(63, dice.integers(1, 7), replace=False))
+            prints.append(p ^ flips)
+    prints = sorted(set(prints))
+    df = spark.createDataFrame([(i, [p]) for i, p in enumerate(prints)], "node bigint, fps array<bigint>")
+    links = {(r.a, r.b) for r in near_links(df).collect()}
+    unsigned = [p % (1 << 64) for p in prints]
+    near = {(a, b) for a, b in combinations(range(len(prints)), 2) if (unsigned[a] ^ unsigned[b]).bit_count() <= 4}
+    assert {tuple(sorted(x)) for x in links} <= near
+    assert joined(len(prints), links) == joined(len(prints), near)
+    with pytest.raises(ValueError):
+        near_links(df, 5)
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    dice = np.random.default_rng(2)
+    names = [int(x) for x in dice.permutation(300)]
+    links = [(names[i], names[i + 1]) for i in range(99)]
+    links += [(names[100], names[i]) for i in range(101, 200)]
+    links += [(names[200 + i], names[200 + (i + 1) % 50]) for i in range(50)]
+    links += [(names[260], names[260]), *links[:5]]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    label = joined(300, links)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: label[x] for x in linked}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def similarity(a, b, width=5):
+    def shingles(text):
+        w = words_of(text)
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Copies with one word in sixty exchanged have a similarity of about 0.85."""
+    dice = np.random.default_rng(3)
+    vocabulary = ["".join(dice.choice(list("abcdefgh"), dice.integers(2, 9))) for _ in range(3000)]
+    rows, groups = [], {}
+    for i in range(40):
+        words = list(dice.choice(vocabulary, 240))
+        rows.append((i * 10, " ".join(words), "en", "a"))
+        groups[i * 10] = i
+        for c in range(1, 4):
+            copy = list(words)
+            for p in dice.choice(len(copy), 3, replace=False):
+                copy[p] = str(dice.choice(vocabulary))
+            rows.append((i * 10 + c, " ".join(copy), "en", "a"))
+            groups[i * 10 + c] = i
+            assert similarity(" ".join(words), " ".join(copy)) > 0.8
+    docs = documents(spark, rows)
+    kept = one_of_each(docs)
+    left = [groups[r.doc_id] for r in kept.collect()]
+    assert set(left) == set(range(40))
+    assert len(left) <= 43
+    assert kept.columns == docs.columns
+
+
+def test_one_of_awkward_rows(spark):
+    docs = documents(spark)
+    left = sorted((r.doc_id or -1, r.text or "") for r in one_of_each(docs).collect())
+    # 4, 5, 6 and the row without id and text have no words; 7 has the words of none other.
+    wanted = {(i or -1, t or "") for i, t, *_ in TEXTS} - {(5, ""), (6, " \t\n \r\n"), (-1, "")}
+    assert left == sorted(wanted)
+    assert one_of_each(none(docs)).count() == 0
