@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
@@ -29,7 +29,10 @@ WIDTH = 4
 GROUP_ROWS = 4096
 #: The pipeline's stage: words of a shingle, least Jaccard similarity, fingerprints per text.
 STAGE_WIDTH, STAGE_SIMILARITY, STAGE_PRINTS = 5, 0.8, 4
+#: Closest partners of a text that the stage checks; fingerprints make the choice.
+STAGE_PARTNERS = 6
 HASHES_AT_A_TIME = 1 << 16
+LINKS_AT_A_TIME = 1 << 18
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -137,35 +140,59 @@ def _forest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, n: int) -> np.ndarra
     return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
 
 
-def links_of_postings(code: np.ndarray, fp: np.ndarray, node: np.ndarray, max_bits: int) -> pd.DataFrame:
-    """Links within the posting lists of one group, cut down to a forest."""
+def _nearest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
+    """Indices of links that are among the ``most`` closest of one of their ends."""
+    end, other = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((other, np.concatenate([bits, bits]), end))
+    starts = np.append(True, end[order][1:] != end[order][:-1])
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+    return np.unique(order[place < most] % len(a))
+
+
+def links_of_postings(
+    code: np.ndarray, fps: np.ndarray, place: np.ndarray, node: np.ndarray, max_bits: int, most: int | None
+) -> pd.DataFrame:
+    """Links within the posting lists of one group: a forest, or the ``most`` closest of each
+    node. ``fps`` has a row per posting; ``place`` says which fingerprint the list is of."""
     order = np.lexsort((node, code))
-    code, fp, node = code[order], fp[order].view(np.uint64), node[order]
-    starts, ends, apart = [], [], []
+    code, fps, node = code[order], fps[order].view(np.uint64), node[order]
+    own = fps[np.arange(len(order)), place[order]]
+    a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    bits = np.zeros(0, dtype=np.int64)
+
+    def fewer() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if most is None:
+            nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
+            kept = _forest(ids[: len(a)], ids[len(a) :], bits, len(nodes))
+        else:
+            kept = _nearest(a, b, bits, most)
+        return a[kept], b[kept], bits[kept]
+
     for step in range(1, len(code)):
         i = np.nonzero(code[step:] == code[:-step])[0]
         if not len(i):
             break
-        differ = fp[i] ^ fp[i + step]
+        differ = own[i] ^ own[i + step]
         shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-        i, differ = i[shared >= BYTES - max_bits], differ[shared >= BYTES - max_bits]
-        bits = np.bitwise_count(differ)
-        near = (bits <= max_bits) & (node[i] != node[i + step])
-        starts.append(node[i[near]])
-        ends.append(node[i[near] + step])
-        apart.append(bits[near])
-    if not starts:
-        return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
-    a, b, bits = map(np.concatenate, (starts, ends, apart))
-    nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
-    kept = _forest(ids[: len(a)], ids[len(a) :], bits, len(nodes))
-    return pd.DataFrame({"a": a[kept], "b": b[kept]})
-
-
-def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): enough links between the ``node`` s of ``prints`` to join all whose ``fps``
-    (compared by place) differ in at most ``max_bits`` bits. ``prints`` is a stored table with
-    one row per node.
+        near = (shared >= BYTES - max_bits) & (node[i] != node[i + step])
+        near[near] = np.bitwise_count(differ[near]) <= max_bits
+        i = i[near]
+        a, b = np.append(a, node[i]), np.append(b, node[i + step])
+        apart = np.bitwise_count(fps[i] ^ fps[i + step]).sum(axis=1, dtype=np.int64)
+        bits = np.append(bits, apart)
+        if len(a) > LINKS_AT_A_TIME:
+            a, b, bits = fewer()
+    a, b, bits = fewer()
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits})
+
+
+def near_links(prints: DataFrame, max_bits: int = MAX_BITS, most: int | None = None) -> DataFrame:
+    """(a, b, bits): links between ``node`` s of ``prints``, a stored table with one row per node,
+    of which one of the ``fps`` (compared by place) differs in at most ``max_bits`` bits. ``bits``
+    counts the differing bits of all ``fps``.
+
+    Without ``most`` there are enough links to join all nodes that such links join. With it,
+    there are the links that are among the ``most`` closest of one of their ends.
 
     Postings are grouped by a hash of their list, a bounded number of rows each. A group that
     a long list makes larger is cut into blocks by node, and every two blocks are compared in
@@ -184,11 +211,14 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ]
     n = prints.agg(F.count("*").alias("n"), F.max(F.size("fps")).alias("k")).first()
     groups = max(1, math.ceil(n.n * (n.k or 1) * len(codes) / GROUP_ROWS))
-    each = prints.select("node", F.posexplode("fps").alias("place", "fp"))
-    postings = each.select("node", "place", "fp", F.explode(F.array(*codes)).alias("code")).select(
+    places = [f"f{i}" for i in range(n.k or 1)]
+    held = prints.select("node", "fps", *(F.get("fps", F.lit(i)).alias(f) for i, f in enumerate(places)))
+    each = held.select("node", *places, F.posexplode("fps").alias("place", "fp"))
+    postings = each.select("node", *places, "place", F.explode(F.array(*codes)).alias("code")).select(
         F.pmod(F.xxhash64("place", "code"), F.lit(groups)).alias("g"),
         (F.col("place").cast("bigint") * (1 << 32) + F.col("code")).alias("code"),
-        "fp",
+        "place",
+        *places,
         "node",
     )
     crowded = written(
@@ -202,15 +232,25 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         .select(
             "g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-            "code", "fp", "node",
+            "code", "place", *places, "node",
         )
     )
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
-        return links_of_postings(*(group[c].to_numpy() for c in ("code", "fp", "node")), max_bits)
-
-    found = dealt.groupBy("g", "low", "high").applyInPandas(linked, "a bigint, b bigint")
-    return found.distinct()
+        fps = np.ascontiguousarray(group[places].to_numpy())
+        code, place, node = (group[c].to_numpy() for c in ("code", "place", "node"))
+        return links_of_postings(code, fps, place, node, max_bits, most)
+
+    found = dealt.groupBy("g", "low", "high").applyInPandas(linked, "a bigint, b bigint, bits bigint")
+    if most is None:
+        return found.distinct()
+    found = written(found.distinct())
+    ends = found.select(F.col("a").alias("end"), F.col("b").alias("other"), "bits").unionByName(
+        found.select(F.col("b").alias("end"), F.col("a").alias("other"), "bits")
+    )
+    closest = Window.partitionBy("end").orderBy("bits", "other")
+    ends = ends.withColumn("_rn", F.row_number().over(closest)).filter(F.col("_rn") <= most)
+    return ends.select(F.least("end", "other").alias("a"), F.greatest("end", "other").alias("b"), "bits").distinct()
 
 
 def fingerprint_groups(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
@@ -233,7 +273,7 @@ def fingerprint_groups(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_
     prints = written(made.select("doc_id", "id", F.get("fps", F.lit(0)).alias("fp")))
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
     links = near_links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), max_bits)
-    member = components(links).select(F.col("node").alias("fp"), "root")
+    member = components(links.select("a", "b")).select(F.col("node").alias("fp"), "root")
     placed = written(
         nodes.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )
@@ -255,6 +295,7 @@ def one_of_each(
     similarity: float = STAGE_SIMILARITY,
     prints: int = STAGE_PRINTS,
     max_bits: int = MAX_BITS,
+    partners: int = STAGE_PARTNERS,
 ) -> DataFrame:
     """``docs`` without near copies: of each group the row with the smallest id stays, once.
 
@@ -263,7 +304,9 @@ def one_of_each(
     groups are connected through such pairs. Candidates are pairs of which one of ``prints``
     fingerprints of the different words differs in at most ``max_bits`` bits: a text with a few
     words exchanged keeps nearly all its words, though it loses ``width`` shingles for each.
-    Every candidate is checked by its shingles. Texts without words are copies of each other.
+    Of each text the ``partners`` closest candidates over all fingerprints are checked by their
+    shingles, whatever the size of the group: copies hang together through their closest ones,
+    and pairs do not grow with the square of a group. Texts without words are copies of each other.
     Null ids come after all others; all columns are returned as they are.
     """
     keyed = docs.withColumns({ID: known_id(), TEXT_HASH: text_hash()})
@@ -277,10 +320,8 @@ def one_of_each(
     nodes = written(
         texts.groupBy(NODE).agg(F.min(F.struct(ID, TEXT_HASH)).alias("first"), F.first("fps").alias("fps"))
     )
-    links = written(near_links(nodes.select(F.col(NODE).alias("node"), "fps"), max_bits))
-    shingles = (
-        _shingles_of(rows, nodes, links, width).select("node", "shingles")
-    )
+    links = written(near_links(nodes.select(F.col(NODE).alias("node"), "fps"), max_bits, partners))
+    shingles = _shingles_of(rows, nodes, links, width)
     left = links.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
