@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import whole_text
 
 # Kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -30,7 +29,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY_DIGIT = re.compile("[0-9]")
 
 MAX_TOKENS = 7
-#: Documents (by smallest hash of the id) and passages that the field is fitted on.
+#: Documents and passages that the field is fitted on.
 FIT_DOCUMENTS = 400
 FIT_PASSAGES = 200
 #: A span is added only if the field gives it at least this share of all segmentations.
@@ -368,18 +367,15 @@ PLAIN = (
 
 
 def fit_field(docs: DataFrame, n_documents: int = FIT_DOCUMENTS, n_passages: int = FIT_PASSAGES) -> Field:
-    """The field, fitted on a bounded sample: ``n_documents`` documents with a digit or an @ by
-    smallest hash of their id, and ``n_passages`` cuts of those. The fixed patterns label the
-    sample; every example is also shown in other ways of writing it. Without any example
-    nothing is added to the fixed patterns."""
-    text = whole_text()
-    chosen = (
-        docs.select("doc_id", text.alias("text"))
-        .filter(F.col("text").rlike(r"@|[0-9]{2}"))
-        .orderBy(F.xxhash64(F.lit(4), "doc_id", "text"))
-        .limit(n_documents)
-        .select("text")
-    )
+    """The field, fitted on a bounded sample: about ``n_documents`` documents with an @ or two
+    digits in a row, by hash of id and text, and ``n_passages`` cuts of those. The fixed patterns
+    label the sample; every example is also shown in other ways of writing it. Without any
+    example nothing is added to the fixed patterns."""
+    able = docs.filter(F.col("text").rlike(r"@|[0-9]{2}")).select("doc_id", "text")
+    # A share by hash: no task has to gather the texts.
+    share = min(1.0, n_documents / max(1, able.count()))
+    place = F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = able.filter(place < share).select("text")
     schema = "cut string, kinds array<int>, starts array<int>, ends array<int>"
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
