@@ -78,8 +78,26 @@ per_class AS (
 """
 
 
-def _hash(seed: int) -> str:
-    return f"('0x' || substr(md5(id || ':{seed}'), 1, 15))::BIGINT"
+def _hash(seed: int, *key: str) -> str:
+    parts = " || ".join(f"strlen({c}::VARCHAR) || ':' || {c}::VARCHAR || ';'" for c in key or ("id",))
+    return f"('0x' || substr(md5({parts} || '#{seed}'), 1, 15))::BIGINT"
+
+
+def _hashes(tenths: int) -> int:
+    """The given tenths of all 60-bit hashes, to the nearest one."""
+    return (tenths * 2**60 + 5) // 10
+
+
+MODEL_FEATURES = "weekday, hour_in_day, banner_pos, site_category, device_conn_type, app_category, device_type"
+
+
+def _test_rows(more: str) -> str:
+    return f"""SELECT {MODEL_FEATURES}, click::INT AS label, count(*) AS n, {more} FROM impressions
+    WHERE {_hash(SEED + 1)} < {_hashes(3)} GROUP BY {MODEL_FEATURES}, label"""
+
+
+# The names of the nations in the test tables, which become columns.
+NATIONS = tuple(f"NATION_{i}" for i in range(25))
 
 
 def _rates(key: str, source: str = IMPRESSIONS) -> str:
@@ -178,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
         "parse_hour": imp
         + "SELECT id, strptime(strftime(hour, '%y%m%d%H'), '%y%m%d%H') AS hour FROM impressions",
         "typed_csv_scan": imp + "SELECT id::VARCHAR AS id, * EXCLUDE (id) FROM impressions",
+        "reordered_csv_scan": imp
+        + "SELECT id::VARCHAR AS id, * EXCLUDE (id), 'x' AS more FROM impressions",
         "inferred_csv_scan": regions
         + "SELECT district, "
         + ", ".join(f"y{y} AS y{y}_total_in_rupees" for y in YEARS)
@@ -302,7 +322,8 @@ def oracle_sql() -> dict[str, str]:
         "transpose_wide": regions
         + f""", long AS (UNPIVOT region_year ON {", ".join(f"y{y}" for y in YEARS)}
             INTO NAME variable VALUE value)
-        SELECT * FROM (PIVOT long ON district USING first(value) GROUP BY variable)""",
+        SELECT * FROM (PIVOT long ON district IN ({", ".join(f"'{n}'" for n in NATIONS)})
+          USING first(value) GROUP BY variable)""",
         "series_long": regions
         + " UNION ALL ".join(
             f"SELECT district, 'y{y}' AS variable, y{y} AS value FROM region_year" for y in YEARS
@@ -324,14 +345,13 @@ def oracle_sql() -> dict[str, str]:
             for y in (1995, 1996, 1997)
         ),
         "sample_fraction": imp
-        + f"SELECT id, click FROM impressions WHERE {_hash(SEED)} % 1000000 < 100000",
+        + f"SELECT id, click FROM impressions WHERE {_hash(SEED)} < {_hashes(1)}",
         "large_sample_fraction": f"""
         SELECT l_partkey AS part, l_orderkey AS "order", l_linenumber AS banner_pos,
           l_returnflag = 'R' AS click FROM lineitem
-        WHERE ('0x' || substr(md5(l_partkey || ':' || l_orderkey || ':' || l_linenumber || ':{SEED}'),
-          1, 15))::BIGINT % 1000000 < 100000""",
+        WHERE {_hash(SEED, "l_partkey", "l_orderkey", "l_linenumber")} < {_hashes(1)}""",
         "train_test_split": imp
-        + f"SELECT id, click, {_hash(SEED)} % 1000000 < 300000 AS is_test FROM impressions",
+        + f"SELECT id, click, {_hash(SEED)} < {_hashes(3)} AS is_test FROM impressions",
         "stratified_split": imp
         + f"""SELECT id, click, row_number() OVER (PARTITION BY click ORDER BY {_hash(SEED)}, id)
           <= ceil(0.1 * count(*) OVER (PARTITION BY click)) AS is_test FROM impressions""",
@@ -351,6 +371,16 @@ def oracle_sql() -> dict[str, str]:
         "class_weights": imp
         + """SELECT click::INT AS label, count(*) AS n, round((SELECT count(*) FROM impressions)
           / (2.0::DOUBLE * count(*)), 6) AS weight FROM impressions GROUP BY 1""",
+        "gbt_test_rows": imp + _test_rows("true AS is_share, true AS follows"),
+        "rf_test_rows": imp + _test_rows("true AS is_share, true AS follows"),
+        "saved_lr_test_rows": imp + _test_rows("true AS same"),
+        "penalty_rule": "SELECT round(power(10::DOUBLE, -3 + i / 2.0), 6) AS c, true AS rule_holds FROM range(7) t(i)",
+        "lr_conditions": imp
+        + f"""SELECT unnest(['weekday', 'hour_in_day', 'device_conn_type', 'device_type']) AS feature,
+          true AS holds
+        UNION ALL SELECT DISTINCT unnest(['site_category_' || site_category,
+          'app_category_' || app_category, 'banner_pos_' || banner_pos]), true
+        FROM impressions WHERE NOT {_hash(SEED + 1)} < {_hashes(3)}""",
         "folded_rows": imp
         + f"SELECT {_model_columns}, click::INT AS label, count(*) AS n FROM impressions GROUP BY ALL",
         "confusion_matrix": scored

@@ -30,6 +30,8 @@ from tallyloom.sources import files, tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 42
+#: How near to its optimum a fit must be, as the slope of the mean loss.
+CONDITION = 0.01
 CODES = ["C1", "C15", "C16", "C18", "banner_pos", "device_type", "site_category", "app_category"]
 YEAR_COLUMNS = list(tables.YEAR_COLUMNS)
 LOW, HIGH = "Low", "High"
@@ -58,7 +60,7 @@ def clicked(spark, folder):
 
 def regions(spark, folder):
     """The regional table, computed once however often a query refers to it."""
-    return pin(tables.region_year(spark, folder))[0]
+    return pin(tables.region_year(spark, folder))
 
 
 def by_mean(spark, folder):
@@ -105,6 +107,16 @@ def typed_csv_scan(spark, folder):
     return log.select(*impressions(spark, folder).columns)
 
 
+@query
+def reordered_csv_scan(spark, folder):
+    """The log with its columns in another order and one more of them."""
+    text = spark.read.option("header", True).csv(_log_as_csv(spark, folder))
+    path = scratch_folder(spark)
+    text.select(*reversed(text.columns), F.lit("x").alias("more")).write.option("header", True).csv(path)
+    log = files.read_click_log(spark, path)
+    return log.select(*impressions(spark, folder).columns, "more")
+
+
 @query
 def inferred_csv_scan(spark, folder):
     return files.read_csv(spark, _regions_as_csv(spark, folder))
@@ -602,6 +614,77 @@ def rf_predictions(spark, folder):
     return _score(train.forest(prepared), prepared)
 
 
+def _test_rows(model, prepared) -> DataFrame:
+    """The test rows a model scored, with whether each score and prediction can be right."""
+    rows = _score(model, prepared)
+    return rows.withColumns(
+        {
+            "is_share": F.col("score").between(0, 1),
+            "follows": (F.col("score") > 0.5) == (F.col("prediction") == 1),
+        }
+    ).drop("score", "prediction")
+
+
+@query
+def gbt_test_rows(spark, folder):
+    prepared = train.prepare(impressions(spark, folder))
+    first = train.logistic(prepared, 0.1).stages[-1]
+    keep = features.kept_slots(first.coefficients)
+    if not keep:
+        raise ValueError("no feature is left")
+    return _test_rows(train.boosted(prepared, keep), prepared)
+
+
+@query
+def rf_test_rows(spark, folder):
+    prepared = train.prepare(impressions(spark, folder))
+    return _test_rows(train.forest(prepared), prepared)
+
+
+@query
+def saved_lr_test_rows(spark, folder):
+    """Whether a model that was written and loaded again scores the test rows as before."""
+    prepared = train.prepare(impressions(spark, folder))
+    model, path = train.logistic(prepared, 0.1), scratch_folder(spark)
+    model.write().overwrite().save(path)
+    key = [*features.MODEL_FEATURES, "label", "n"]
+    now = _score(PipelineModel.load(path), prepared)
+    before = _score(model, prepared).withColumnRenamed("score", "score_before").drop("prediction")
+    same = F.abs(F.col("score") - F.col("score_before")) < 1e-12
+    return now.join(before, key).select(*key, same.alias("same"))
+
+
+@query
+def penalty_rule(spark, folder):
+    """The penalties of the path and whether exactly the strongest good enough one is chosen."""
+    prepared = train.prepare(impressions(spark, folder))
+    path = models.penalty_path(prepared.train_in_folds)
+    table = train.path_table(spark, path, models.choose_penalty(path))
+    good = F.col("weighted_f1") >= F.lit(max(p.weighted_f1 for p in path) - 0.01)
+    first = table.where(good).agg(F.min("c")).scalar()
+    return table.select(F.round("c", 6).alias("c"), (F.col("chosen") == (F.col("c") == first)).alias("rule_holds"))
+
+
+@query
+def lr_conditions(spark, folder):
+    """Per feature whether the lasso fit is at its optimum: the gradient of the weighted loss is
+    the penalty times the sign of a kept coefficient, and within the penalty for the others."""
+    prepared = train.prepare(impressions(spark, folder))
+    fitted = train.logistic(prepared, 0.1).stages[-1]
+    total = prepared.train.agg(F.sum("weight")).first()[0]
+    scored = fitted.transform(prepared.train)
+    off = F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))
+    slots = F.posexplode(vector_to_array("features")).alias("slot", "value")
+    slopes = scored.select(off.alias("off"), slots).groupBy("slot").agg((F.sum(F.col("off") * F.col("value")) / total).alias("slope"))
+    penalty = 1 / (0.1 * total)
+    rows = [(i, n, float(c)) for i, (n, c) in enumerate(zip(prepared.names, fitted.coefficients))]
+    named = spark.createDataFrame(rows, "slot int, feature string, coefficient double")
+    size = F.abs("coefficient")
+    wanted = F.when(size >= features.ZERO_COEFFICIENT, F.abs(F.col("slope") + penalty * F.signum("coefficient")))
+    apart = F.coalesce(wanted, F.greatest(F.abs("slope") - penalty, F.lit(0.0)))
+    return named.join(slopes, "slot").select("feature", (apart < CONDITION).alias("holds"))
+
+
 # --- evaluation ------------------------------------------------------------------------
 
 

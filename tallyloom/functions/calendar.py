@@ -15,11 +15,22 @@ DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 
 def parse_hour(text: Column) -> Column:
-    """``yyMMddHH`` text to a timestamp without zone; null when it is not such a text."""
+    """``yyMMddHH`` text to a timestamp without zone; null when it is not such a text.
+
+    It is put together from its parts, so the session's zone has no say in it.
+    """
     text = F.trim(text)
-    century = F.when(F.substring(text, 1, 2) >= CENTURY_TURN, "19").otherwise("20")
-    stamp = F.try_to_timestamp(F.concat(century, text), F.lit("yyyyMMddHH"))
-    return F.when(F.length(text) == HOUR_DIGITS, stamp).cast("timestamp_ntz")
+    part = lambda at: F.substring(text, at, 2).try_cast("int")
+    year = part(1) + F.when(F.substring(text, 1, 2) >= CENTURY_TURN, 1900).otherwise(2000)
+    zero = F.lit(0)
+    stamp = F.try_make_timestamp_ntz(year, part(3), part(5), part(7), zero, zero)
+    return F.when(text.rlike(f"^[0-9]{{{HOUR_DIGITS}}}$"), stamp)
+
+
+def hour_start(ts: str) -> Column:
+    """A timestamp without zone cut to its hour, whatever the session's zone."""
+    stamp = F.col(ts).cast("timestamp_ntz")
+    return stamp - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(stamp), F.extract(F.lit("SECOND"), stamp))
 
 
 def hour_of_day(ts: Column) -> Column:

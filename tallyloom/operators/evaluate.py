@@ -1,7 +1,8 @@
 """Exact evaluation of a binary or multi-class prediction, as aggregates.
 
 ``weight`` names a column of row multiplicities, for frames in which equal rows have been
-folded into one.
+folded into one. Rows whose label, or whose score or prediction, is null or NaN take no part in
+any figure, neither above nor below the line.
 """
 
 from __future__ import annotations
@@ -18,6 +19,13 @@ def _weight(weight: str | None) -> Column:
     return F.lit(1) if weight is None else F.col(weight)
 
 
+def usable(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a value, and a number, in all of the columns."""
+    for name in columns:
+        df = df.where(F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")))
+    return df
+
+
 def rounded(score: str) -> Column:
     """A score as a 0/1 label, or a numeric label as an integer."""
     return F.round(F.col(score)).cast("int")
@@ -30,7 +38,15 @@ def confusion_matrix(
     classes: Sequence[int] = (0, 1),
     weight: str | None = None,
 ) -> DataFrame:
-    """Rows per label and predicted class; an empty cell is 0."""
+    """Rows per label and predicted class; an empty cell is 0.
+
+    A label or prediction that is none of ``classes`` raises an error when the result is
+    computed: it would be counted nowhere.
+    """
+    df = usable(df, label, prediction)
+    unknown = F.raise_error(F.lit(f"{label} or {prediction} is none of {tuple(classes)}"))
+    known = F.col(label).isin(*classes) & F.col(prediction).isin(*classes)
+    df = df.withColumn(prediction, F.when(known, F.col(prediction)).otherwise(unknown))
     cells = [
         F.coalesce(F.sum(F.when(F.col(prediction) == c, _weight(weight))), F.lit(0)).alias(
             f"predicted_{c}"
@@ -45,7 +61,7 @@ def accuracy(
 ) -> DataFrame:
     w = _weight(weight)
     hit = F.coalesce(F.sum(F.when(F.col(label) == F.col(prediction), w)), F.lit(0))
-    return df.agg(F.try_divide(hit, F.sum(w)).alias("accuracy"))
+    return usable(df, label, prediction).agg(F.try_divide(hit, F.sum(w)).alias("accuracy"))
 
 
 def _by_class(df: DataFrame, label: str, prediction: str, weight: str | None) -> DataFrame:
@@ -54,6 +70,7 @@ def _by_class(df: DataFrame, label: str, prediction: str, weight: str | None) ->
     A ratio over nothing is 0. Folding to (label, prediction) cells first leaves a handful
     of rows for everything that follows.
     """
+    df = usable(df, label, prediction)
     cells = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.sum(_weight(weight)).alias("n")
     )
@@ -125,7 +142,7 @@ def roc_auc(
     own pairs; pairs across ranges follow from the ranges' totals alone.
     """
     w = _weight(weight)
-    by_score = df.groupBy(F.col(score).alias("score")).agg(
+    by_score = usable(df, label, score).groupBy(F.col(score).alias("score")).agg(
         F.coalesce(F.sum(F.when(F.col(label) == 1, w)), F.lit(0)).cast("double").alias("pos"),
         F.coalesce(F.sum(F.when(F.col(label) == 0, w)), F.lit(0)).cast("double").alias("neg"),
     )
@@ -154,13 +171,14 @@ def roc_auc_hard(
     recall = lambda c: F.try_divide(
         F.coalesce(F.sum(F.when((y == c) & (p == c), w)), F.lit(0)), F.sum(F.when(y == c, w))
     )
-    return df.agg(((recall(1) + recall(0)) / 2).alias("auc_hard"))
+    return usable(df, label, prediction).agg(((recall(1) + recall(0)) / 2).alias("auc_hard"))
 
 
 def log_loss(
     df: DataFrame, label: str = "label", score: str = "score", weight: str | None = None
 ) -> DataFrame:
-    """Mean negative log likelihood of the labels, scores clipped away from 0 and 1."""
+    """Mean negative log likelihood of the labels (0 or 1), scores clipped away from 0 and 1."""
+    df = usable(df, label, score)
     w = _weight(weight)
     p = F.least(F.greatest(F.col(score), F.lit(CLIP)), F.lit(1 - CLIP))
     loss = -F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p))

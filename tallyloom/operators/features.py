@@ -108,7 +108,8 @@ def class_weights(df: DataFrame, label: str = "label", weight: str | None = None
 
 def with_class_weights(df: DataFrame, label: str = "label", rows: str = "n") -> DataFrame:
     """Add ``weight``: the row's multiplicity times the balanced weight of its label."""
-    table, _ = pin(class_weights(df, label, rows).select(label, F.col("weight").alias("_balance")))
+    table = pin(class_weights(df, label, rows).select(label, F.col("weight").alias("_balance")))
+    # Rows without a label have no weight and take no part in a fit.
     return df.join(table, label).withColumn("weight", F.col(rows) * F.col("_balance")).drop("_balance")
 
 

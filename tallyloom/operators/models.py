@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -135,7 +135,8 @@ def fit_boosted(
     rounds, and cut back to the best round.
 
     A first fit of twice the patience shows whether the stop comes early; only if it does
-    not are all ``max_rounds`` trees grown. The same seed makes the same trees in every fit.
+    not are all ``max_rounds`` trees grown. Boosting adds trees one by one, so the model of the
+    best round is the first trees of the one that was fitted: nothing is fitted again to cut.
     The rows are held between the fits; a lost executor's share is read again.
     """
     ensure_checkpoint_dir(train.sparkSession)
@@ -158,13 +159,34 @@ def fit_boosted(
             model = grow(rounds)
             best, stopped = best_round(model.evaluateEachIteration(valid), patience)
             if stopped or rounds == max_rounds:
-                return model if best == rounds else grow(best)
+                return first_trees(model, best)
             rounds = max_rounds
     finally:
         train.unpersist()
         valid.unpersist()
 
 
+def first_trees(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model as it was after ``rounds`` rounds of boosting."""
+    java = model._java_obj
+    if rounds >= model.getNumTrees:
+        return model
+    trees, weights = java.trees(), java.treeWeights()
+    context = SparkContext.getOrCreate()
+    gateway, jvm = context._gateway, context._jvm
+    tree_array = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weight_array = gateway.new_array(jvm.double, rounds)
+    for i in range(rounds):
+        tree_array[i], weight_array[i] = trees[i], weights[i]
+    made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, tree_array, weight_array)
+    cut = GBTClassificationModel(made)
+    cut._resetUid(model.uid)
+    for param, value in model.extractParamMap().items():
+        if model.isSet(param):
+            cut._set(**{param.name: value})
+    return cut
+
+
 def fit_forest(
     train: DataFrame, features: str = "features", trees: int = 20, seed: int = 42
 ) -> RandomForestClassificationModel:

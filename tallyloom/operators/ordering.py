@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.small import SMALL_ROWS, pin
-from tallyloom.session import ensure_checkpoint_dir
+from tallyloom.operators.small import pin
 
 
 def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
@@ -16,34 +15,19 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def ranked(
-    df: DataFrame, order: Sequence[Column], name: str = "rank", small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Add the 1-based position of every row in ``order`` (which must have no ties).
 
-    A result of at most ``small_rows`` rows takes a plain window. A larger one is cut into
-    ranges of the order; each range is numbered by itself and shifted by the size of the
-    ranges before it, so no task sees more than its own range.
+    The rows are cut into ranges of the order; each range is numbered by itself and shifted by
+    the size of the ranges before it, so no task sees more than its own range.
     """
-    held, rows = pin(df, small_rows)
-    if rows is not None:
-        return held.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    ensure_checkpoint_dir(df.sparkSession)
-    # The ranges come from sampling; the checkpoint makes both uses below see the same ones.
-    ranges = (
-        held.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
-    )
+    # The ranges come from sampling; writing them makes both uses below see the same ones.
+    ranges = pin(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     # One row per range, so as many as there are shuffle partitions.
-    before = (
-        ranges.groupBy("_range")
-        .count()
-        .withColumn(
-            "_before",
-            F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .select("_range", F.coalesce("_before", F.lit(0)).alias("_before"))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy("_range").count().select(
+        "_range", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before")
     )
-    before, _ = pin(before)
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (
         ranges.withColumn("_inside", inside)

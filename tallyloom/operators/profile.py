@@ -69,18 +69,28 @@ def describe_numeric(
 def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, distinct values, most frequent value and its count per column.
 
-    Of several equally frequent values the smallest (as text) is taken.
+    Of several equally frequent values the smallest (as text) is taken. A column without any
+    value has count 0.
     """
     long = to_long(df, [], columns, variable="column", as_type="string")
     counted = long.where("value IS NOT NULL").groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return counted.groupBy("column").agg(
+    found = counted.groupBy("column").agg(
         F.sum("n").alias("count"),
         F.count(F.lit(1)).alias("unique"),
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
         F.max("n").alias("freq"),
     )
+    return _every_column(found, columns, "count", "unique")
+
+
+def _every_column(found: DataFrame, columns: Sequence[str], *counts: str) -> DataFrame:
+    """A row for each of the columns, its counts 0 where nothing was found."""
+    names = found.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(found, "column", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts}
+    )
 
 
 def describe_timestamp(df: DataFrame, column: str) -> DataFrame:
@@ -101,10 +111,11 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def count_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Number of distinct non-null values of each column, in long form."""
+    """Number of distinct non-null values of each column, 0 if there is none, in long form."""
     counted = (
         to_long(df, [], columns, variable="column", as_type="string")
         .where("value IS NOT NULL")
         .distinct()
     )
-    return counted.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    found = counted.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return _every_column(found, columns, "n_distinct")

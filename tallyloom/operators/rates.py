@@ -179,7 +179,7 @@ def click_rates_through(
 def keys_by_rate(df: DataFrame, key: str, click: str = "click") -> DataFrame:
     """Keys in order of their rate, with the place of each."""
     table = click_rates(df, key, click)
-    return ranked(table, [F.desc("rate"), F.col(key)], name="place").select("place", key, "rate")
+    return ranked(table, [F.desc("rate"), F.col(key)], name="place").select("place", key, "rate").orderBy("place")
 
 
 def rate_summary(

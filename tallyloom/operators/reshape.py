@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.small import levels
 
+NULL_KEY = "null"
+
 
 def to_long(
     df: DataFrame,
@@ -29,12 +31,22 @@ def series(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     return to_long(df, [key], values).orderBy(key, "variable")
 
 
-def transpose(df: DataFrame, key: str, values: Sequence[str], max_rows: int = 10_000) -> DataFrame:
-    """Columns become rows and rows become columns, named by ``key`` (one row per key).
+def transpose(
+    df: DataFrame, key: str, values: Sequence[str], names: Sequence | None = None
+) -> DataFrame:
+    """Columns become rows and rows become columns, named by ``key``.
 
-    The rows of the input become columns, so there may be at most ``max_rows`` of them;
-    more raise an error instead of being cut off.
+    A null key becomes the column ``null``. A repeated key raises an error when the result is
+    computed, as one column cannot hold two rows. ``names`` gives the keys that become
+    columns, if not all are wanted.
     """
-    names = levels(df, [key], max_rows)[key]
-    long = to_long(df.withColumn(key, F.col(key).cast("string")), [key], values)
-    return long.groupBy("variable").pivot(key, names).agg(F.first("value", ignorenulls=True))
+    if names is None:
+        names = levels(df, [key])[key]
+        if df.where(F.col(key).isNull()).limit(1).count():
+            names = [*names, NULL_KEY]
+    text = F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY))
+    long = to_long(df.withColumn(key, text), [key], values)
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"{key}: a value is repeated")))
+    single = long.groupBy("variable", key).agg(F.coalesce(one, F.max("value")).alias("value"))
+    cells = [F.max(F.when(F.col(key) == F.lit(str(n)), F.col("value"))).alias(str(n)) for n in names]
+    return single.groupBy("variable").agg(*cells)

@@ -1,9 +1,13 @@
 """Samples, splits and folds that come out the same on every run.
 
-Rows are put in the order of a hash of their key. A share of the rows is a bucket test on
-that hash. An exact number of rows needs the hash of the k-th row; :func:`cut_points` finds
-it by counting, and the rows themselves are then told apart by comparing with it, so the
-table is filtered where it lies and never shuffled or sorted.
+Rows are put in the order of a hash of their key, one column or several. A share of the rows
+is a comparison with that hash. An exact number of rows needs the hash of the k-th row;
+:func:`cut_points` finds it by counting, and the rows themselves are then told apart by
+comparing with it, so the table is filtered where it lies and never shuffled or sorted.
+
+Keys need not be unique. Rows without a key have a place of their own by the hash of all
+their columns. Rows with equal keys are in the order of a second hash, of all columns; rows
+that are equal throughout are counted, and as many of them as needed fall on either side.
 """
 
 from __future__ import annotations
@@ -11,54 +15,42 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.hashing import HASH_BITS, falls_in, stable_hash
+from tallyloom.functions.hashing import HASH_BITS, falls_in, key_is_null, row_hash, stable_hash
 from tallyloom.operators.small import pin
 
 # Turns the number of rows into the last rank of each part but the last.
 Ranks = Callable[[Column], list[Column]]
+Key = str | Sequence[str]
 
 PREFIX_BITS = 12
 NARROW_ROWS = 100_000
 
 
-def sample_fraction(
-    df: DataFrame, key: str | Sequence[str], fraction: float, seed: int
-) -> DataFrame:
-    """About ``fraction`` of the rows, without replacement.
-
-    Without a single key column several columns, or all of them, can stand for one.
-    """
-    return df.where(falls_in(key, fraction, seed))
+def sample_fraction(df: DataFrame, key: Key, fraction: float, seed: int) -> DataFrame:
+    """About ``fraction`` of the rows, without replacement."""
+    return df.where(falls_in(df, key, fraction, seed))
 
 
 def mark_test(
-    df: DataFrame,
-    key: str | Sequence[str],
-    fraction: float,
-    seed: int,
-    name: str = "is_test",
+    df: DataFrame, key: Key, fraction: float, seed: int, name: str = "is_test"
 ) -> DataFrame:
     """Mark about ``fraction`` of the rows as test rows."""
-    return df.withColumn(name, falls_in(key, fraction, seed))
+    return df.withColumn(name, falls_in(df, key, fraction, seed))
 
 
 def train_test(
-    df: DataFrame, key: str | Sequence[str], fraction: float, seed: int
+    df: DataFrame, key: Key, fraction: float, seed: int
 ) -> tuple[DataFrame, DataFrame]:
     """Training and test rows: disjoint, and together all rows."""
-    test = falls_in(key, fraction, seed)
+    test = falls_in(df, key, fraction, seed)
     return df.where(~test), df.where(test)
 
 
-def sample_exact(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Exactly ``k`` rows (all if there are fewer) of a table with a unique key.
-
-    Rows with the same key come together, so copies of the last key can exceed ``k``.
-    """
+def sample_exact(df: DataFrame, key: Key, k: int, seed: int) -> DataFrame:
+    """Exactly ``k`` rows (all if there are fewer), whatever the key."""
     if k < 0:
         raise ValueError("k must not be negative")
     if k == 0:
@@ -69,7 +61,7 @@ def sample_exact(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 def stratified_test(
     df: DataFrame,
-    key: str,
+    key: Key,
     label: str,
     fraction: float,
     seed: int,
@@ -96,7 +88,7 @@ def share_rank(n: Column, fraction: float) -> Column:
 
 def stratified_folds(
     df: DataFrame,
-    key: str,
+    key: Key,
     label: str,
     folds: int,
     seed: int,
@@ -128,120 +120,161 @@ def fold_number(ends: Sequence[str]) -> Column:
 
 def mark_after(
     df: DataFrame,
-    key: str,
+    key: Key,
     ranks: Ranks,
     seed: int,
     marks: Sequence[str],
     label: str | None = None,
     among: Column | None = None,
 ) -> DataFrame:
-    """Mark, for each rank, whether a row comes after the row of that rank in hash order.
+    """Mark, for each rank, whether a row comes after the row of that rank.
 
     Ranks count within the label. With ``among`` only rows for which it holds are counted;
     the marks of all others are null.
     """
-    cuts = cut_points(df if among is None else df.where(among), key, ranks, seed, label)
+    counted = df if among is None else df.where(among)
+    cuts = cut_points(counted, key, ranks, seed, label)
     names = [c for c in cuts.columns if c != "_label"]
-    hashed = df.withColumn("_hash", stable_hash(key, seed))
+    first, second = _order(df, key, seed)
+    # The second hash reads every column; only equal keys at a cut need it.
+    crowded = cuts.where(" OR ".join(f"{c}.same > 1" for c in names)).limit(1).count() > 0
+    hashed = df.withColumn("_hash", first)
     if label is None:
         whole = cuts.select(F.struct(*names)).scalar()
         joined = hashed.withColumns({c: whole[c] for c in names})
     else:
         joined = hashed.join(cuts, hashed[label].eqNullSafe(cuts["_label"]), "left")
-    counted = F.lit(True) if among is None else among
-    after = {m: F.when(counted, _beyond(F.col(c), key)) for m, c in zip(marks, names)}
-    return joined.withColumns(after).select(*df.columns, *marks)
-
-
-def _beyond(cut: Column, key: str) -> Column:
-    """Whether the row comes after a cut point in the order of hash and key."""
-    here, tie = F.col("_hash"), F.col(key)
-    return (here > cut["hash"]) | ((here == cut["hash"]) & (tie > cut["key"]))
+    applies = F.lit(True) if among is None else among
+    if not crowded:
+        after = {m: F.when(applies, F.col("_hash") > F.col(c)["hash"]) for m, c in zip(marks, names)}
+        return joined.withColumns(after).select(*df.columns, *marks)
+    joined = joined.withColumn("_tie", second)
+    # Rows equal to the last one before a cut are as good as each other: they are counted,
+    # and their copies numbered.
+    equal = F.lit(False)
+    for c in names:
+        cut = F.col(c)
+        equal = equal | ((cut["copies"] > 1) & (F.col("_hash") == cut["hash"]) & (F.col("_tie") == cut["tie"]))
+    equal = F.coalesce(equal & applies, F.lit(False))
+    copies = joined.where(equal).groupBy(*joined.columns).agg(F.count(F.lit(1)).alias("_n"))
+    copies = copies.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).drop("_n")
+    rows = joined.where(~equal).withColumn("_i", F.lit(1).cast("bigint")).unionByName(copies)
+    after = {m: F.when(applies, _beyond(F.col(c))) for m, c in zip(marks, names)}
+    return rows.withColumns(after).select(*df.columns, *marks)
+
+
+def _order(df: DataFrame, key: Key, seed: int) -> tuple[Column, Column]:
+    """The two hashes rows are ordered by. That of all columns stands in for a missing key."""
+    any_without = df.where(key_is_null(key)).limit(1).count() > 0
+    first = row_hash(df, key, seed) if any_without else stable_hash(key, seed)
+    return first, stable_hash(df.columns, f"{seed}/tie")
+
+
+def _beyond(cut: Column) -> Column:
+    """Whether copy ``_i`` of a row comes after a cut."""
+    here, tie = F.col("_hash"), F.col("_tie")
+    beyond = (here == cut["hash"]) & (
+        (tie > cut["tie"]) | ((tie == cut["tie"]) & (cut["start"] + F.col("_i") > cut["rank"]))
+    )
+    return (here > cut["hash"]) | ((cut["same"] > 1) & beyond)
 
 
 def cut_points(
     df: DataFrame,
-    key: str,
+    key: Key,
     ranks: Ranks,
     seed: int,
     label: str | None = None,
     narrow_rows: int = NARROW_ROWS,
 ) -> DataFrame:
-    """The ``(hash, key)`` of the rows at the given ranks: a row per label, a column per rank.
+    """The place of the rows at the given ranks: a row per label, a column per rank.
+
+    A place has the first ``hash``, the number of rows with it (``same``), and, where that is
+    over 1, the second hash (``tie``), the rows with both (``copies``), those before them
+    (``start``) and the ``rank``.
 
     Counting by the leading bits of the hash tells which prefix a rank falls into; counting
     again inside that prefix narrows it by 12 more bits, until a prefix holds at most
     ``narrow_rows`` rows. Each pass reads the key and label columns only and sends at most
-    4096 counts per label and task.
+    4096 counts per label and task. Only where rows share a hash at a cut, those rows are read
+    once more, whole, and cut by the second hash in the same way.
     """
     group = F.lit(0) if label is None else F.col(label)
-    base = df.select(
-        group.alias("_label"),
-        stable_hash(key, seed).alias("hash"),
-        F.col(key).alias("key"),
-    )
+    first, second = _order(df, key, seed)
+    base = df.select(group.alias("_label"), first.alias("hash"))
     wanted = [rank.cast("bigint") for rank in ranks(F.col("rows"))]
-    bits = PREFIX_BITS
-    counted = base.groupBy("_label", _prefix("hash", bits).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    by_label = Window.partitionBy("_label")
-    upto = by_label.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    spots = (
-        counted.withColumns(
-            {"rows": F.sum("n").over(by_label), "before": F.sum("n").over(upto) - F.col("n")}
+    rows = base.groupBy("_label").agg(F.count(F.lit(1)).alias("rows"))
+    asked = rows.select("_label", F.posexplode(F.array(*wanted)).alias("cut", "rank"))
+    asked = pin(asked.where("rank > 0").withColumn("before", F.lit(0).cast("bigint")))
+    found = _cut(base, asked, "hash", narrow_rows)
+    places = found.withColumnRenamed("n", "same")
+    crowd = places.where("same > 1")
+    if crowd.limit(1).count():
+        inside = df.select(group.alias("_label"), first.alias("hash"), second.alias("tie"))
+        hot = crowd.select("_label", "cut", "rank", "before", F.col("hash").alias("_hot"))
+        same = inside["_label"].eqNullSafe(hot["_label"]) & (inside["hash"] == hot["_hot"])
+        # One table per cut: a label's cuts may fall into the same equal keys.
+        ties = inside.join(
+            hot.select(F.struct("_label", "cut").alias("_at"), F.col("_label"), "_hot"), same
         )
-        .select("*", F.posexplode(F.array(*wanted)).alias("cut", "rank"))
-        .where("before < rank AND rank <= before + n")
-        .drop("rows")
+        ties = ties.select(F.col("_at").alias("_label"), "tie")
+        asked = hot.select(F.struct("_label", "cut").alias("_label"), "cut", "rank", "before")
+        split = _cut(ties, asked, "tie", narrow_rows).select(
+            F.col("_label").alias("_at"), "tie", F.col("n").alias("copies"), F.col("before").alias("start")
+        )
+        here = F.struct("_label", "cut")
+        places = places.withColumn("_at", here).join(split, "_at", "left").drop("_at")
+    else:
+        none = F.lit(None).cast("bigint")
+        places = places.withColumns({"tie": none, "copies": none, "start": none})
+    at = F.struct("hash", "same", "tie", "copies", "start", "rank")
+    cuts = places.groupBy("_label").agg(
+        *[F.max(F.when(F.col("cut") == j, at)).alias(f"_cut{j}") for j in range(len(wanted))]
     )
-    spots, rows = pin(spots)
-    while bits < HASH_BITS and _largest(spots, rows) > narrow_rows:
+    return pin(cuts)
+
+
+def _cut(base: DataFrame, asked: DataFrame, by: str, narrow_rows: int) -> DataFrame:
+    """For each asked rank of a label the value of ``by`` it falls on, with the number of rows
+    that have it (``n``) and of rows before those (``before``)."""
+    bits = PREFIX_BITS
+    spots = pin(_narrow(base, asked.withColumn("prefix", F.lit(0).cast("bigint")), by, bits))
+    while bits < HASH_BITS and (spots.agg(F.max("n")).first()[0] or 0) > narrow_rows:
         bits = min(bits + PREFIX_BITS, HASH_BITS)
-        spots, rows = pin(_narrow(base, spots, bits))
-    # Copies of a key are counted first, so that a hot one is a single row in the window.
-    keys = (
-        _inside(base, spots, bits)
-        .groupBy("_label", "cut", "rank", "before", "hash", "key")
+        spots = pin(_narrow(base, spots, by, bits))
+    # Equal values are counted first, so that a hot one is a single row in the window.
+    values = (
+        _inside(base, spots, by, bits)
+        .groupBy("_label", "cut", "rank", "before", by)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy("_label", "cut").orderBy("hash", "key").rowsBetween(
+    upto = Window.partitionBy("_label", "cut").orderBy(by).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    place = F.col("before") + F.sum("n").over(upto)
-    found = keys.withColumn("place", place).where("place - n < rank AND rank <= place")
-    at = F.struct("hash", "key")
-    cuts = found.groupBy("_label").agg(
-        *[F.max(F.when(F.col("cut") == j, at)).alias(f"_cut{j}") for j in range(len(wanted))]
+    return (
+        values.withColumn("before", F.col("before") + F.sum("n").over(upto) - F.col("n"))
+        .where("before < rank AND rank <= before + n")
     )
-    return pin(cuts)[0]
 
 
 def _prefix(column: str, bits: int) -> Column:
-    return F.shiftright(F.col(column), HASH_BITS - bits)
-
-
-def _largest(spots: DataFrame, rows: pa.Table | None) -> int:
-    """Rows in the fullest prefix."""
-    if rows is not None:
-        return max(rows["n"].to_pylist(), default=0)
-    return spots.agg(F.max("n")).first()[0] or 0
+    # Bits 0: all rows have the empty prefix.
+    return F.shiftright(F.col(column), HASH_BITS - bits) if bits else F.lit(0).cast("bigint")
 
 
-def _inside(base: DataFrame, spots: DataFrame, bits: int) -> DataFrame:
+def _inside(base: DataFrame, spots: DataFrame, by: str, bits: int) -> DataFrame:
     """Rows that share label and prefix with a wanted rank."""
     wanted = spots.select(F.col("_label").alias("_want"), "cut", "rank", "before", "prefix")
     same = base["_label"].eqNullSafe(wanted["_want"])
-    same = same & (_prefix("hash", bits) == wanted["prefix"])
-    return base.join(wanted, same).drop("_want")
+    same = same & (_prefix(by, bits) == wanted["prefix"])
+    return base.join(wanted, same).drop("_want", "prefix")
 
 
-def _narrow(base: DataFrame, spots: DataFrame, bits: int) -> DataFrame:
+def _narrow(base: DataFrame, spots: DataFrame, by: str, bits: int) -> DataFrame:
     """Replace each spot by the longer prefix its rank falls into."""
-    outer = bits - PREFIX_BITS
     counted = (
-        _inside(base, spots, outer)
-        .groupBy("_label", "cut", "rank", "before", _prefix("hash", bits).alias("longer"))
+        _inside(base, spots, by, bits - PREFIX_BITS)
+        .groupBy("_label", "cut", "rank", "before", _prefix(by, bits).alias("longer"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     upto = Window.partitionBy("_label", "cut").orderBy("longer").rowsBetween(

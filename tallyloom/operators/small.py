@@ -1,47 +1,36 @@
-"""Small results, with their size checked before anything relies on it."""
+"""Results that are used several times, and values that become columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import ensure_checkpoint_dir
+from tallyloom.session import scratch_folder
 
-SMALL_ROWS = 10_000
 
+def pin(df: DataFrame) -> DataFrame:
+    """Compute a result once and hold it in the shared folder, whatever its size.
 
-def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, pa.Table | None]:
-    """Compute a result that is expected to be small, once.
-
-    Up to ``max_rows`` rows it comes back as a local relation. Spark then knows its exact
-    size and picks a broadcast join by itself. A larger result never reaches the driver
-    (at most ``max_rows + 1`` rows do); it is written to the checkpoint folder and stays
-    distributed, and joins with it shuffle. The second value is the small result itself, or
-    None for a large one.
+    It comes back as a scan of what was written, so Spark knows its size and chooses joins by
+    it.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, df.schema), head
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(), None
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def levels(
-    df: DataFrame, columns: Sequence[str], max_levels: int = SMALL_ROWS
-) -> dict[str, list[str]]:
+def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Distinct non-null values, as text, of columns whose values become columns.
 
-    One scan for all columns. Numbers come in numeric order. More than ``max_levels`` values
-    raise an error: that many columns cannot be meant.
+    One scan for all columns. Numbers come in numeric order. The values go through the
+    driver, as the columns of any plan do: callers whose columns have very many values pass the
+    wanted ones, or stay in the long form.
     """
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     pairs = texts.unpivot([], list(columns), "column", "value").where("value IS NOT NULL").distinct()
-    found = pairs.limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(f"{', '.join(columns)}: more than {max_levels} values to become columns")
+    found = pairs.collect()
     kinds = dict(df.dtypes)
     order = {c: str if kinds[c] in ("string", "boolean") else float for c in columns}
     return {c: sorted((r[1] for r in found if r[0] == c), key=order[c]) for c in columns}

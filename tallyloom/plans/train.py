@@ -14,7 +14,7 @@ from tallyloom.operators import evaluate, features, models, sampling
 from tallyloom.session import ensure_checkpoint_dir
 from tallyloom.sources.files import write_table
 
-# Share of the log to model on, of test rows, of validation rows; the seed.
+# Share of the training rows to fit on, of test rows, of validation rows; the seed.
 MODEL_SHARE = 0.1
 TEST_SHARE = 0.3
 VALID_SHARE = 0.1
@@ -72,16 +72,18 @@ def prepare(
     share: float = 1.0,
     seed: int = SEED,
 ) -> Prepared:
-    """Sample, split, fold and encode a log.
+    """Split, fold and encode a log. ``share`` bounds the rows fitted on, never the test rows.
+
+    Impressions without a label belong to no part.
 
     Parts are set per impression from its key; then equal rows are folded. The folded table
     is read by every iteration of every fit, so it goes to the checkpoint folder: a lost
     executor costs reading it again, not another pass over the log.
     """
-    rows = features.model_frame(log, columns, target, key)
-    if share < 1:
-        rows = sampling.sample_fraction(rows, key, share, seed)
+    rows = features.model_frame(log, columns, target, key).where("label IS NOT NULL")
     rows = sampling.mark_test(rows, key, TEST_SHARE, seed + 1)
+    if share < 1:
+        rows = rows.where(F.col("is_test") | sampling.falls_in(rows, key, share, seed))
     training = ~F.col("is_test")
     # Fold ends and the end of the validation rows are ranks in one order, found together.
     ends = [f"end{j}" for j in range(1, models.FOLDS)]

@@ -25,16 +25,25 @@ CLICK_LOG_COLUMNS = """
 def read_click_log(spark: SparkSession, path: str) -> DataFrame:
     """Typed scan of a click log in CSV, its hour parsed and calendar columns added.
 
-    No pass over the file is spent on guessing types.
+    Columns are found by the names in the header, in whatever order they stand there; all
+    files of a log must have the same header. A missing column raises an error, further ones
+    follow as text. Values that do not fit their column are null: a click other than 0, 1,
+    true or false, an hour that is none, a code that is no number. No pass over the file is
+    spent on guessing types.
     """
-    raw = spark.read.schema(CLICK_LOG_COLUMNS).option("header", True).csv(path)
-    typed = raw.withColumns(
-        {
-            "click": F.lower(F.trim("click")).isin("1", "true"),
-            "hour": parse_hour(F.col("hour")),
-        }
-    )
-    return with_calendar(typed)
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    kinds = dict(column.split() for column in CLICK_LOG_COLUMNS.split(","))
+    missing = [name for name in kinds if name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    said = F.lower(F.trim("click"))
+    clicked = F.when(said.isin("1", "true"), True).when(said.isin("0", "false"), False)
+    typed = {"click": clicked, "hour": parse_hour(F.col("hour"))}
+    columns = [
+        typed.get(name, F.col(name).try_cast(kind) if kind != "string" else F.col(name)).alias(name)
+        for name, kind in kinds.items()
+    ]
+    return with_calendar(raw.select(*columns, *(c for c in raw.columns if c not in kinds)))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.calendar import with_calendar
+from tallyloom.functions.calendar import hour_start, with_calendar
 
 YEARS = tuple(range(1995, 2002))
 YEAR_COLUMNS = tuple(f"y{year}" for year in YEARS)
@@ -27,7 +27,7 @@ def impressions(spark: SparkSession, folder: str) -> DataFrame:
     log = events.select(
         F.col("event_id").alias("id"),
         (F.col("event_type") == "click").alias("click"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+        hour_start("ts").alias("hour"),
         k.alias("C1"),
         (user % 7).cast("int").alias("banner_pos"),
         F.concat(F.lit("site_"), (k % 6).cast("string")).alias("site_category"),

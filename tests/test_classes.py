@@ -84,8 +84,18 @@ def test_transpose(table):
     assert [tuple(r) for r in wide.orderBy("variable").collect()] == [
         ("y1", 30.0, 10.0, 20.0, 20.0), ("y2", 8.0, 1.1, 3.0, None),
     ]
-    with pytest.raises(ValueError):
-        reshape.transpose(table, "district", ["y1"], max_rows=3)
+    some = reshape.transpose(table, "district", ["y1"], names=["west", "east"])
+    assert some.columns == ["variable", "west", "east"]
+
+
+def test_transpose_loses_no_row(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), ("b", None)], "k string, v int")
+    assert [r.asDict() for r in reshape.transpose(df, "k", ["v"]).collect()] == [
+        {"variable": "v", "a": 1, "b": None, "null": 2}
+    ]
+    twice = df.unionByName(df.limit(1))
+    with pytest.raises(Exception, match="a value is repeated"):
+        reshape.transpose(twice, "k", ["v"]).collect()
 
 
 def test_class_sizes(table):

@@ -103,3 +103,28 @@ def test_empty(scored):
     nothing = scored.where("false")
     for metric in (evaluate.accuracy, evaluate.weighted_f1, evaluate.log_loss, evaluate.roc_auc):
         assert value(metric(nothing)) is None
+
+
+def test_rows_without_label_or_score_take_no_part(scored):
+    nan = float("nan")
+    spark = scored.sparkSession
+    bad = [(None, 0.9, 1, 2), (1, None, None, 2), (0, nan, None, 1), (None, None, None, 1)]
+    odd = scored.unionByName(spark.createDataFrame(bad, scored.schema))
+    for metric in (evaluate.accuracy, evaluate.weighted_f1, evaluate.log_loss, evaluate.roc_auc, evaluate.roc_auc_hard):
+        assert value(metric(odd, weight="n")) == pytest.approx(value(metric(scored, weight="n")))
+    for table in (evaluate.confusion_matrix, evaluate.classification_report):
+        assert sorted(map(tuple, table(odd).collect())) == sorted(map(tuple, table(scored).collect()))
+
+
+def test_log_loss_of_the_usable_rows_alone(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, None), (None, 0.5), (0, float("nan"))], "label int, score double")
+    assert value(evaluate.log_loss(df)) == pytest.approx(-np.log(0.9))
+
+
+def test_three_classes(spark):
+    rows = [(0, 0), (1, 2), (2, 2), (2, 1), (1, 1)]
+    df = spark.createDataFrame(rows, "label int, prediction int")
+    cells = evaluate.confusion_matrix(df, classes=(0, 1, 2)).collect()
+    assert sum(sum(tuple(r)[1:]) for r in cells) == len(rows)
+    with pytest.raises(Exception, match="is none of"):
+        evaluate.confusion_matrix(df).collect()

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions.calendar import parse_hour, with_calendar
+from tallyloom.functions.calendar import hour_start, parse_hour, with_calendar
 from tallyloom.operators.rates import click_rates
 from tallyloom.plans import regions, report
 from tallyloom.sources import files
@@ -45,7 +45,7 @@ def test_click_log(spark, log_file):
 def test_scan_reads_only_what_is_used(spark, log_file):
     rates = click_rates(files.read_click_log(spark, log_file), "banner_pos")
     plan = rates._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<click:string,banner_pos:int>" in plan
+    assert "ReadSchema: struct<click:string,banner_pos:string>" in plan
 
 
 def test_hour_texts(spark):
@@ -112,3 +112,46 @@ def test_stream_brings_the_table_up_to_date(spark, tmp_path):
         keep_rates(stream, "banner_pos", out, state).awaitTermination()
         expected = click_rates(spark.read.parquet(folder), "banner_pos")
         assert {tuple(r) for r in spark.read.parquet(out).collect()} == {tuple(r) for r in expected.collect()}
+
+
+def write(path, names, rows):
+    path.write_text("\n".join([",".join(names), *(",".join(r[n] for n in names) for r in rows)]) + "\n")
+    return str(path)
+
+
+def values(i=1, **other):
+    return dict.fromkeys(NAMES, "0") | {"id": str(i), "click": "1", "hour": "14102113", "C1": "1005"} | other
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    names = [*reversed(NAMES), "more"]
+    log = files.read_click_log(spark, write(tmp_path / "a.csv", names, [values(banner_pos="7", more="x")]))
+    row = log.first()
+    assert (row.click, row.C1, row.banner_pos, row.more, row.hour_in_day) == (True, 1005, 7, "x", 13)
+    assert log.columns[:24] == NAMES
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    path = write(tmp_path / "b.csv", [n for n in NAMES if n not in ("click", "C14")], [values()])
+    with pytest.raises(ValueError, match="no column click, C14"):
+        files.read_click_log(spark, path)
+
+
+def test_values_that_do_not_fit_are_null(spark, tmp_path):
+    rows = [values(1, click="yes"), values(2, click="FALSE"), values(3, click="", C1="abc", hour="noon")]
+    log = files.read_click_log(spark, write(tmp_path / "c.csv", NAMES, rows))
+    assert [(r.click, r.C1, r.hour is None) for r in log.orderBy("id").collect()] == [
+        (None, 1005, False), (False, 1005, False), (None, None, True),
+    ]
+
+
+def test_hours_do_not_depend_on_the_session_zone(spark):
+    df = spark.createDataFrame([("24031002",), ("24110301",)], "t string")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        hours = [r[0] for r in df.select(parse_hour(F.col("t"))).collect()]
+        starts = df.select((parse_hour(F.col("t")) + F.expr("INTERVAL 59 MINUTES 3.5 SECONDS")).alias("ts"))
+        cut = [r[0] for r in starts.select(hour_start("ts")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert hours == cut == [datetime.datetime(2024, 3, 10, 2), datetime.datetime(2024, 11, 3, 1)]

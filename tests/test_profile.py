@@ -2,6 +2,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import ordering, profile, quantiles
@@ -104,6 +105,15 @@ def test_top_rows_take_a_bounded_heap(spark):
 def test_rank_over_ranges_equals_plain_rank(spark):
     df = spark.range(5000).withColumn("v", (F.col("id") * 7919) % 1000)
     order = [F.desc("v"), F.col("id")]
-    plain = ordering.ranked(df, order)
-    cut = ordering.ranked(df, order, small_rows=10)
+    plain = df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    cut = ordering.ranked(df, order)
     assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in cut.collect()}
+
+
+def test_columns_without_a_value_have_a_row(spark):
+    df = spark.createDataFrame([("a", None), ("b", None)], "x string, y string")
+    found = {r["column"]: tuple(r)[1:] for r in profile.describe_categorical(df, ["x", "y"]).collect()}
+    assert found == {"x": (2, 2, "a", 1), "y": (0, 0, None, None)}
+    for frame, n in ((df, 2), (df.where("false"), 0)):
+        counts = {r["column"]: r.n_distinct for r in profile.count_distinct(frame, ["x", "y"]).collect()}
+        assert counts == {"x": n, "y": 0}

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions.hashing import stable_hash
+from tallyloom.functions.hashing import hashes_below, stable_hash
 from tallyloom.operators import sampling
 
 
@@ -63,15 +63,15 @@ def test_narrowing_finds_the_same_cuts(log, narrow_rows):
     ranks = lambda n: [F.ceil(n / 3), F.ceil(n / 2)]
     cuts = sampling.cut_points(log, "id", ranks, 8, "label", narrow_rows=narrow_rows)
     order = by_hash(log, 8)
-    found = {r["_label"]: (r["_cut0"]["key"], r["_cut1"]["key"]) for r in cuts.collect()}
+    hashes = {r.id: r.h for r in log.select("id", stable_hash("id", 8).alias("h")).collect()}
+    found = {r["_label"]: (r["_cut0"]["hash"], r["_cut1"]["hash"]) for r in cuts.collect()}
     assert found == {
-        label: (ids[-(-len(ids) // 3) - 1], ids[-(-len(ids) // 2) - 1]) for label, ids in order.items()
+        label: (hashes[ids[-(-len(ids) // 3) - 1]], hashes[ids[-(-len(ids) // 2) - 1]])
+        for label, ids in order.items()
     }
 
 
-def test_many_labels_go_through_a_shuffled_join(spark, monkeypatch):
-    # More labels than may be held on the driver: the same result by another way.
-    monkeypatch.setattr(sampling, "pin", lambda df: (df.checkpoint(), None))
+def test_many_labels(spark):
     df = spark.range(2000).withColumn("label", F.col("id") % 500)
     split = sampling.stratified_test(df, "id", "label", 0.25, 1)
     assert [tuple(r) for r in split.groupBy("is_test").count().orderBy("is_test").collect()] == [
@@ -127,9 +127,54 @@ def test_bad_arguments(log):
         sampling.sample_fraction(log, "id", 1.5, 1)
 
 
-def test_copies_of_a_key_stay_together(spark):
-    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"))
-    for k in (1, 450, 899):
-        ids = [r.id for r in sampling.sample_exact(df, "id", k, 4).collect()]
-        assert k <= len(ids) <= k + 299
-        assert ids.count(-1) in (0, 300)
+@pytest.fixture(scope="module")
+def odd(spark):
+    """900 rows: a third without a key, a third with one and the same, the rest in pairs of
+    equal rows."""
+    rows = [(None, i, "x") for i in range(200)] + [(None, -1, "x")] * 100
+    rows += [("same", i % 5, "y") for i in range(300)]
+    rows += [(f"k{i // 2}", 0, "z" if i % 4 < 2 else None) for i in range(300)]
+    return spark.createDataFrame(rows, "key string, v int, label string").cache()
+
+
+@pytest.mark.parametrize("k", [1, 10, 299, 450, 777, 899, 900, 2000])
+@pytest.mark.parametrize("key", ["key", ["key", "v"]])
+def test_exact_size_without_a_unique_key(odd, key, k):
+    found = sampling.sample_exact(odd, key, k, 3)
+    assert found.columns == odd.columns
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == min(k, 900)
+    every = [tuple(r) for r in odd.collect()]
+    assert all(rows.count(r) <= every.count(r) for r in set(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_splits_leave_no_row_unmarked(odd, seed):
+    split = sampling.stratified_test(odd, "key", "label", 0.3, seed)
+    marks = split.groupBy("label").agg(
+        F.count_if("is_test").alias("test"), F.count("*").alias("n"), F.count("is_test").alias("marked")
+    )
+    for r in marks.collect():
+        assert r.marked == r.n and r.test == -(-r.n * 3 // 10)
+    folds = sampling.stratified_folds(odd, "key", "label", 3, seed)
+    sizes = folds.groupBy("label", "fold").count().collect()
+    assert sum(r["count"] for r in sizes) == 900 and {r.fold for r in sizes} == {0, 1, 2}
+    for label in ("x", "y", "z", None):
+        of = [r["count"] for r in sizes if r.label == label]
+        assert max(of) - min(of) <= 1
+    marked = sampling.mark_test(odd, "key", 0.3, seed).where("key IS NULL AND v >= 0")
+    assert 0 < marked.where("is_test").count() < marked.count() == 200
+
+
+def test_very_small_shares(spark):
+    rows = spark.range(2_000_000)
+    assert 0 < sampling.sample_fraction(rows, "id", 1e-5, 1).count() < 60
+    assert sampling.sample_fraction(rows, "id", 1e-9, 1).count() <= 2
+    assert hashes_below(1e-9) == round(2**60 / 10**9)
+
+
+def test_keys_of_several_columns_do_not_run_together(spark):
+    rows = [("a", None, "b"), ("a", "b", None), ("a:b", "c", None), ("a", "b:c", None), ("", None, None), (None, "", None)]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
+    hashes = [r[0] for r in df.select(stable_hash(["x", "y", "z"], 1)).collect()]
+    assert len(set(hashes)) == len(rows)
