@@ -374,6 +374,13 @@ def oracle_sql() -> dict[str, str]:
         "gbt_test_rows": imp + _test_rows("true AS is_share, true AS follows"),
         "rf_test_rows": imp + _test_rows("true AS is_share, true AS follows"),
         "saved_lr_test_rows": imp + _test_rows("true AS same"),
+        "model_report": imp
+        + f""", test AS (SELECT click::INT AS label FROM impressions WHERE {_hash(SEED + 1)} < {_hashes(3)})
+        SELECT 'f1_path' AS chart, 'penalty_' || (i + 1) AS name, NULL::BIGINT AS support, true AS is_share
+        FROM range(7) t(i)
+        UNION ALL SELECT 'classification', label::VARCHAR, count(*), true FROM test GROUP BY label
+        UNION ALL SELECT 'classification', unnest(['accuracy', 'macro avg', 'weighted avg']),
+          (SELECT count(*) FROM test), true""",
         "penalty_rule": "SELECT round(power(10::DOUBLE, -3 + i / 2.0), 6) AS c, true AS rule_holds FROM range(7) t(i)",
         "lr_conditions": imp
         + f"""SELECT unnest(['weekday', 'hour_in_day', 'device_conn_type', 'device_type']) AS feature,

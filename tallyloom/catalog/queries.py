@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import calendar
@@ -528,12 +528,7 @@ def feature_matrix(spark, folder):
     log = features.model_frame(
         impressions(spark, folder), features.MODEL_FEATURES, features.TARGET, "id"
     )
-    encoded = features.encoder().fit(log).transform(log)
-    names = F.array(*[F.lit(name) for name in features.feature_names(encoded)])
-    slots = encoded.select("id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
-    return slots.where("value <> 0").select(
-        "id", F.get(names, F.col("slot")).alias("feature"), "value"
-    )
+    return features.long_features(log, features.encoder().fit(log), "id")
 
 
 @query
@@ -608,6 +603,29 @@ def click_model_metrics(spark, folder):
     return train.metrics(train.train(impressions(spark, folder), share=1.0).scored)
 
 
+@query
+def model_report(spark, folder):
+    """The tables of the two model charts, written by the training job and read back: the F1
+    path by penalty and the classification report on the test rows."""
+    out = scratch_folder(spark)
+    train.save(train.train(impressions(spark, folder), share=1.0), out)
+    number = F.row_number().over(Window.orderBy("c"))
+    path = spark.read.parquet(f"{out}/f1_path").select(
+        F.lit("f1_path").alias("chart"),
+        F.concat(F.lit("penalty_"), number.cast("string")).alias("name"),
+        F.lit(None).cast("bigint").alias("support"),
+        F.col("weighted_f1").between(0, 1).alias("is_share"),
+    )
+    lines = spark.read.parquet(f"{out}/classification").select(
+        F.lit("classification").alias("chart"),
+        F.col("class").alias("name"),
+        F.col("support").cast("bigint").alias("support"),
+        (F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1))
+        .alias("is_share"),
+    )
+    return path.unionByName(lines)
+
+
 @query
 def rf_predictions(spark, folder):
     prepared = train.prepare(impressions(spark, folder))

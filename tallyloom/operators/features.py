@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +81,40 @@ def encoder(
     )
 
 
+def long_features(
+    df: DataFrame,
+    fitted: PipelineModel,
+    *ids: str,
+    features: Sequence[str] = MODEL_FEATURES,
+    encoded: Sequence[str] = ENCODED,
+) -> DataFrame:
+    """What the fitted encoder's vectors hold, one row per input row and non-zero slot.
+
+    Made from the columns themselves: a number is its own slot, an encoded value the slot of
+    that value if the encoder knows it. No vector is unfolded, so the work does not grow with
+    the number of slots.
+    """
+    labels = dict(zip(encoded, fitted.stages[0].labelsArray))
+    known = df.sparkSession.createDataFrame(
+        [(c, v) for c, vs in labels.items() for v in vs], "_column string, _text string"
+    )
+    numbers = [
+        F.struct(F.lit(c).alias("_column"), F.lit(None).cast("string").alias("_text"),
+                 F.col(c).cast("double").alias("value"))
+        for c in features if c not in encoded
+    ]
+    texts = [
+        F.struct(F.lit(c).alias("_column"), F.col(c).cast("string").alias("_text"), F.lit(1.0).alias("value"))
+        for c in encoded
+    ]
+    long = df.select(*ids, F.inline(F.array(*numbers, *texts))).where("value <> 0")
+    slots = known.withColumn("feature", F.concat_ws("_", "_column", "_text"))
+    joined = long.join(slots, ["_column", "_text"], "left")
+    is_number = ~F.col("_column").isin(*encoded)
+    name = F.when(is_number, F.col("_column")).otherwise(F.col("feature"))
+    return joined.select(*ids, name.alias("feature"), "value").where("feature IS NOT NULL")
+
+
 def feature_names(df: DataFrame, column: str = "features") -> list[str]:
     """Names of the slots of a feature vector, from its metadata."""
     groups = df.schema[column].metadata["ml_attr"]["attrs"].values()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.quantiles import QUARTILES, DISTINCT_LIMIT, moments, quantiles
+from tallyloom.operators.quantiles import QUARTILES, moments, quantiles
 from tallyloom.operators.reshape import to_long
 
 
@@ -49,16 +49,14 @@ DESCRIBED = (
 )
 
 
-def describe_numeric(
-    df: DataFrame, columns: Sequence[str], distinct_limit: int = DISTINCT_LIMIT
-) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, range and exact interpolated quartiles per column.
 
-    NaN counts as missing. Only the figures of each column, one row apiece, pass through the
-    driver.
+    NaN counts as missing. The source is scanned twice. Only the figures of each column, one row
+    apiece, pass through the driver.
     """
     found = moments(df, columns)
-    cuts = quantiles(df, found, QUARTILES, distinct_limit)
+    cuts = quantiles(df, found, QUARTILES)
     rows = [
         (c, m["count"], m["mean"], m["std"], m["min"], *cuts[c], m["max"])
         for c, m in found.items()

@@ -1,9 +1,10 @@
 """Exact quantiles of whole columns, without one task holding a column.
 
-An exact quantile needs the values at one or two ranks. An approximate percentile just
-below and just above the rank encloses it in a span of values; counting the rows below the
-span tells exactly where it lies. Each round keeps about one row in a thousand, however the
-values are spread, until the span has few enough distinct values to be counted one by one.
+An exact quantile needs the values at one or two ranks. The first scan finds, beside the moments,
+an approximate percentile just below and just above each wanted rank. The second scan counts
+the rows under each such span, and how often each value inside it occurs: about one value in
+a thousand, however the values are spread. What is left is folded and stored, and its running
+counts, range by range, give the values at the ranks.
 """
 
 from __future__ import annotations
@@ -17,24 +18,21 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.reshape import to_long
+from tallyloom.operators.small import pin
 
 QUARTILES = (0.25, 0.5, 0.75)
-DISTINCT_LIMIT = 100_000
 ACCURACY = 10_000
 MARGIN = 2 / ACCURACY
 
 
 @dataclass(frozen=True)
 class Span:
-    """Values ``low..high`` of a column; ``below`` rows lie under it, ``upto`` reach ``high``."""
+    """Values ``low..high`` of a column, which should hold those at ``ranks``."""
 
     column: str
     ranks: tuple[int, ...]
     low: float
     high: float
-    below: int
-    upto: int
-    distinct: int
 
 
 def number(column: str) -> Column:
@@ -43,19 +41,22 @@ def number(column: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Row]:
-    """Count, mean, deviation, range and approximate distinct count, one pass for all.
+def moments(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUARTILES
+) -> dict[str, Row]:
+    """Count, mean, deviation, range and the edges around each quantile, one pass for all.
 
     The columns are aggregated in long form: six functions for all of them make code the JVM
     compiles, six for each would not.
     """
+    around = [e for p in probabilities for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
     summary = {
         "count": F.count("value"),
         "mean": F.avg("value"),
         "std": F.stddev_samp("value"),
         "min": F.min("value"),
         "max": F.max("value"),
-        "distinct": F.approx_count_distinct("value"),
+        "edges": F.percentile_approx("value", F.array(*map(F.lit, around)), ACCURACY),
     }
     long = to_long(df, [], columns, variable="column", as_type="double")
     table = (
@@ -69,23 +70,16 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Row]:
 
 
 def quantiles(
-    df: DataFrame,
-    found: Mapping[str, Row],
-    probabilities: Sequence[float] = QUARTILES,
-    distinct_limit: int = DISTINCT_LIMIT,
+    df: DataFrame, found: Mapping[str, Row], probabilities: Sequence[float] = QUARTILES
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column whose moments are given."""
-    spans = []
-    for column, m in found.items():
-        if not m["count"]:
-            continue
-        whole = Span(column, (), m["min"], m["max"], 0, m["count"], m["distinct"])
-        wanted = [_ranks(p, m["count"]) for p in probabilities]
-        if m["distinct"] <= distinct_limit:
-            spans.append(replace(whole, ranks=tuple(sorted({r for w in wanted for r in w}))))
-        else:
-            spans.extend(replace(whole, ranks=w) for w in wanted)
-    values = _values_at(df, _narrowed(df, spans, distinct_limit))
+    spans = [
+        Span(column, _ranks(p, m["count"]), m["edges"][2 * i], m["edges"][2 * i + 1])
+        for column, m in found.items()
+        if m["count"]
+        for i, p in enumerate(probabilities)
+    ]
+    values = _values_at(df, spans, found)
     result: dict[str, list[float | None]] = {}
     for column, m in found.items():
         if not m["count"]:
@@ -105,79 +99,78 @@ def _ranks(p: float, n: int) -> tuple[int, int]:
     return low, min(low + 1, n - 1)
 
 
-def _within(span: Span) -> Column:
-    value = number(span.column)
-    return F.when((value >= span.low) & (value <= span.high), value)
-
-
-def _narrowed(df: DataFrame, spans: list[Span], limit: int) -> list[Span]:
-    """Tighten every span with more than ``limit`` distinct values."""
-    done = [s for s in spans if s.distinct <= limit]
-    wide = [s for s in spans if s.distinct > limit]
-    while wide:
-        edges = df.agg(*[_edges(s).alias(f"e{i}") for i, s in enumerate(wide)]).first()
-        trial = [replace(s, low=e[0], high=e[1]) for s, e in zip(wide, edges)]
-        counts = df.agg(*[_counts(s).alias(f"c{i}") for i, s in enumerate(trial)]).first()
-        tight = [_checked(s, t, c) for s, t, c in zip(wide, trial, counts)]
-        moved = [t for s, t in zip(wide, tight) if (t.low, t.high) != (s.low, s.high)]
-        stuck = [t for s, t in zip(wide, tight) if (t.low, t.high) == (s.low, s.high)]
-        done += stuck + [s for s in moved if s.distinct <= limit]
-        wide = [s for s in moved if s.distinct > limit]
-    return done
-
-
-def _edges(span: Span) -> Column:
-    rows = span.upto - span.below
-    first = (span.ranks[0] - span.below) / rows - MARGIN
-    last = (span.ranks[-1] - span.below + 1) / rows + MARGIN
-    at = F.array(F.lit(max(first, 0.0)), F.lit(min(last, 1.0)))
-    return F.percentile_approx(_within(span), at, ACCURACY)
-
-
-def _counts(span: Span) -> Column:
-    value = number(span.column)
-    return F.struct(
-        F.count_if(value < span.low).alias("below"),
-        F.count_if(value <= span.high).alias("upto"),
-        F.approx_count_distinct(_within(span)).alias("distinct"),
-    )
-
-
-def _checked(span: Span, trial: Span, counts: Row) -> Span:
-    """Take over each new edge only if the exact counts show the ranks inside it."""
-    tight = replace(span, distinct=min(span.distinct, counts["distinct"]))
-    if counts["below"] <= span.ranks[0]:
-        tight = replace(tight, low=trial.low, below=counts["below"])
-    if counts["upto"] > span.ranks[-1]:
-        tight = replace(tight, high=trial.high, upto=counts["upto"])
-    return tight
+def _folded(df: DataFrame, spans: Sequence[Span]) -> DataFrame:
+    """(span, value, n): how often each value of a span occurs; null stands for all below it."""
+    entries = [
+        F.when(
+            number(s.column) <= s.high,
+            F.struct(
+                F.lit(i).alias("span"),
+                F.when(number(s.column) >= s.low, number(s.column)).alias("value"),
+            ),
+        )
+        for i, s in enumerate(spans)
+    ]
+    rows = df.select(F.inline(F.array(*entries))).where("span IS NOT NULL")
+    return pin(rows.groupBy("span", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _values_at(df: DataFrame, spans: list[Span]) -> dict[tuple[str, int], float]:
-    """Count the values of each span one by one and read off those at its ranks."""
+def _values_at(
+    df: DataFrame, spans: Sequence[Span], found: Mapping[str, Row]
+) -> dict[tuple[str, int], float]:
+    """The values at the ranks of all spans."""
     if not spans:
         return {}
-    entries = [
-        F.struct(F.lit(i).alias("span"), _within(s).alias("value")) for i, s in enumerate(spans)
-    ]
-    counted = (
-        df.select(F.inline(F.array(*entries)))
-        .where("value IS NOT NULL")
-        .groupBy("span", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+    folded = _folded(df, spans)
+    counts = {
+        r["span"]: r
+        for r in folded.groupBy("span").agg(
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("below"),
+            F.sum("n").alias("upto"),
+        ).collect()
+    }
+    held = {
+        i: c["below"]
+        for i, c in counts.items()
+        if c["below"] <= spans[i].ranks[0] and spans[i].ranks[-1] < c["upto"]
+    }
+    values = _read_off(folded, {i: s for i, s in enumerate(spans) if i in held}, held)
+    # Few rows can have ranks that the percentiles' margin does not span: whole columns then.
+    missed = [s for i, s in enumerate(spans) if i not in held]
+    if missed:
+        whole = [replace(s, low=found[s.column]["min"], high=found[s.column]["max"]) for s in missed]
+        everything = dict.fromkeys(range(len(whole)), 0)
+        values |= _read_off(_folded(df, whole), dict(enumerate(whole)), everything)
+    return values
+
+
+def _read_off(
+    folded: DataFrame, spans: Mapping[int, Span], below: Mapping[int, int]
+) -> dict[tuple[str, int], float]:
+    """Values at the ranks, by running counts inside ranges of values and over the ranges."""
+    if not spans:
+        return {}
+    inside = folded.where("value IS NOT NULL").repartitionByRange("span", "value")
+    ranges = pin(inside.withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("span").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("span", "_range").agg(F.sum("n").alias("_n")).select(
+        "span", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    upto = Window.partitionBy("span", "_range").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, 0
     )
-    upto = Window.partitionBy("span").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumn("upto", F.sum("n").over(upto))
+    running = ranges.withColumn("_upto", F.sum("n").over(upto)).join(offsets, ["span", "_range"])
     wanted = pa.table(
         {
-            "span": pa.array([i for i, s in enumerate(spans) for _ in s.ranks], pa.int32()),
-            "rank": pa.array([r for s in spans for r in s.ranks], pa.int64()),
-            "at": pa.array([r - s.below for s in spans for r in s.ranks], pa.int64()),
+            "span": pa.array([i for i, s in spans.items() for _ in s.ranks], pa.int32()),
+            "rank": pa.array([r for s in spans.values() for r in s.ranks], pa.int64()),
+            "at": pa.array([r - below[i] for i, s in spans.items() for r in s.ranks], pa.int64()),
         }
     )
+    last = F.col("_before") + F.col("_upto")
     hits = (
-        running.join(df.sparkSession.createDataFrame(wanted), "span")
-        .where("upto - n <= at AND at < upto")
+        running.join(folded.sparkSession.createDataFrame(wanted), "span")
+        .where((last - F.col("n") <= F.col("at")) & (F.col("at") < last))
         .select("span", "rank", "value")
     )
     return {(spans[r["span"]].column, r["rank"]): r["value"] for r in hits.collect()}

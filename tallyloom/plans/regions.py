@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.operators.classes import MEAN, always, classify
 from tallyloom.operators.rates import frequencies_of
 from tallyloom.operators.reshape import series
+from tallyloom.operators.small import pin
 from tallyloom.sources.files import read_csv, write_table
 
 # Class names of the two regional tables; means are cut to four decimals.
@@ -36,9 +37,12 @@ def regional_report(
     names: tuple[str, str],
     key: str = "district",
 ) -> None:
-    """Classes, class sizes, always-high regions and line-chart data of one CSV."""
-    table = read_csv(spark, path)
-    classed = classes(table, columns, names)
+    """Classes, class sizes, always-high regions and line-chart data of one CSV.
+
+    The file is read twice, for its types and for its rows; all tables come from what was read.
+    """
+    table = pin(read_csv(spark, path))
+    classed = pin(classes(table, columns, names))
     class_columns = [f"class_{c}" for c in columns]
     write_table(classed, f"{folder}/classes")
     write_table(frequencies_of(classed, class_columns), f"{folder}/class_sizes")

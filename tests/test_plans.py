@@ -13,7 +13,7 @@ def plan(df):
 
 
 # Fits are iterative jobs; their plans are Spark ML's own.
-FITTED = BY_MODEL | {"gbt_test_rows", "rf_test_rows", "saved_lr_test_rows", "penalty_rule", "lr_conditions"}
+FITTED = BY_MODEL | {"gbt_test_rows", "rf_test_rows", "saved_lr_test_rows", "penalty_rule", "lr_conditions", "model_report"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - FITTED))

@@ -35,8 +35,9 @@ def test_numeric_of_few_rows(spark):
     assert found["none"]["count"] == 0 and found["none"]["p50"] is None
 
 
-@pytest.mark.parametrize("limit", [5, 200, 100_000])
-def test_narrowing_is_exact(spark, limit):
+@pytest.mark.parametrize("margin", [0.0, 2 / 10_000, 0.1])
+def test_narrowing_is_exact(spark, monkeypatch, margin):
+    monkeypatch.setattr(quantiles, "MARGIN", margin)
     # Heavy tail, a hot value holding a third of all rows, negative values, two columns.
     rng = np.random.default_rng(1)
     x = np.concatenate([np.exp(rng.normal(0, 8, 20_000)), np.full(10_000, 3.25)])
@@ -44,7 +45,7 @@ def test_narrowing_is_exact(spark, limit):
     df = spark.createDataFrame(
         [(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"
     ).repartition(7)
-    found = described(df, ["x", "y"], distinct_limit=limit)
+    found = described(df, ["x", "y"])
     check(found["x"], x)
     check(found["y"], y)
 
@@ -52,7 +53,22 @@ def test_narrowing_is_exact(spark, limit):
 def test_narrowing_with_almost_equal_values(spark):
     values = [1.0] * 5000 + [1.0 + i * 1e-12 for i in range(5000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    check(described(df, ["v"], distinct_limit=3)["v"], values)
+    check(described(df, ["v"])["v"], values)
+
+
+def test_the_source_is_scanned_twice(spark):
+    """Every scan of the source counts its rows in an accumulator."""
+    rng = np.random.default_rng(2)
+    source = spark.createDataFrame([(float(v),) for v in rng.normal(size=5000)], "v double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    described(source.mapInPandas(counted, "v double"), ["v"])
+    assert seen.value == 2 * 5000
 
 
 def test_no_quantiles_of_nothing():
