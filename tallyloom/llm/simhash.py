@@ -149,24 +149,51 @@ def _nearest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, most: int) -> np.nd
     return np.unique(order[place < most] % len(a))
 
 
+def _first_lists(differ: np.ndarray, max_bits: int) -> np.ndarray:
+    """The first list that two nodes share as near ones, from the differing bits of all their
+    fingerprints (a row per pair): place of the fingerprint * 32 + number of the triple."""
+    place = (np.bitwise_count(differ) <= max_bits).argmax(axis=1)
+    own = np.ascontiguousarray(differ[np.arange(len(differ)), place])
+    same = own.view(np.uint8).reshape(-1, BYTES) == 0
+    triples = np.stack([same[:, list(t)].all(axis=1) for t in position_triples()], axis=1)
+    return place * 32 + triples.argmax(axis=1)
+
+
 def links_of_postings(
-    code: np.ndarray, fps: np.ndarray, place: np.ndarray, node: np.ndarray, max_bits: int, most: int | None
+    code: np.ndarray,
+    fps: np.ndarray,
+    place: np.ndarray,
+    node: np.ndarray,
+    block: np.ndarray,
+    max_bits: int,
+    most: int | None,
 ) -> pd.DataFrame:
     """Links within the posting lists of one group: a forest, or the ``most`` closest of each
-    node. ``fps`` has a row per posting; ``place`` says which fingerprint the list is of."""
+    node. ``fps`` has a row per posting; ``place`` says which fingerprint the list is of. Of
+    two blocks only links from one to the other are looked for.
+
+    Two nodes share many lists, but a close link is close in each of them: with ``most`` it
+    is returned by the group of the first list only, so the rows are not many times the links.
+    """
     order = np.lexsort((node, code))
-    code, fps, node = code[order], fps[order].view(np.uint64), node[order]
+    code, fps, node, block = code[order], fps[order].view(np.uint64), node[order], block[order]
     own = fps[np.arange(len(order)), place[order]]
-    a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    two_blocks = len(block) > 0 and block.min() != block.max()
+    # A link is a pair of rows; that of the smallest list of the group comes first.
+    p, q = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     bits = np.zeros(0, dtype=np.int64)
 
     def fewer() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = node[p], node[q]
         if most is None:
             nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
             kept = _forest(ids[: len(a)], ids[len(a) :], bits, len(nodes))
         else:
-            kept = _nearest(a, b, bits, most)
-        return a[kept], b[kept], bits[kept]
+            sorting = np.lexsort((code[p], b, a))
+            new = np.append(True, (a[sorting][1:] != a[sorting][:-1]) | (b[sorting][1:] != b[sorting][:-1]))
+            once = sorting[new[: len(sorting)]]
+            kept = once[_nearest(a[once], b[once], bits[once], most)]
+        return p[kept], q[kept], bits[kept]
 
     for step in range(1, len(code)):
         i = np.nonzero(code[step:] == code[:-step])[0]
@@ -175,15 +202,21 @@ def links_of_postings(
         differ = own[i] ^ own[i + step]
         shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
         near = (shared >= BYTES - max_bits) & (node[i] != node[i + step])
+        if two_blocks:
+            near &= block[i] != block[i + step]
         near[near] = np.bitwise_count(differ[near]) <= max_bits
         i = i[near]
-        a, b = np.append(a, node[i]), np.append(b, node[i + step])
+        p, q = np.append(p, i), np.append(q, i + step)
         apart = np.bitwise_count(fps[i] ^ fps[i + step]).sum(axis=1, dtype=np.int64)
         bits = np.append(bits, apart)
-        if len(a) > LINKS_AT_A_TIME:
-            a, b, bits = fewer()
-    a, b, bits = fewer()
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits})
+        if len(p) > LINKS_AT_A_TIME:
+            p, q, bits = fewer()
+    p, q, bits = fewer()
+    if most is not None and len(p):
+        here = (code[p] >> 32) * 32 + ((code[p] >> 24) & 31)
+        first = here == _first_lists(fps[p] ^ fps[q], max_bits)
+        p, q, bits = p[first], q[first], bits[first]
+    return pd.DataFrame({"a": np.minimum(node[p], node[q]), "b": np.maximum(node[p], node[q]), "bits": bits})
 
 
 def near_links(prints: DataFrame, max_bits: int = MAX_BITS, most: int | None = None) -> DataFrame:
@@ -232,14 +265,14 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, most: int | None = N
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         .select(
             "g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-            "code", "place", *places, "node",
+            "code", "place", *places, "node", "own",
         )
     )
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         fps = np.ascontiguousarray(group[places].to_numpy())
-        code, place, node = (group[c].to_numpy() for c in ("code", "place", "node"))
-        return links_of_postings(code, fps, place, node, max_bits, most)
+        code, place, node, block = (group[c].to_numpy() for c in ("code", "place", "node", "own"))
+        return links_of_postings(code, fps, place, node, block, max_bits, most)
 
     found = dealt.groupBy("g", "low", "high").applyInPandas(linked, "a bigint, b bigint, bits bigint")
     if most is None:
