@@ -1,9 +1,13 @@
+from collections import defaultdict
+
 import pytest
+import regex
 from awkward import documents, none
 from pyspark.sql import functions as F
 
 from tallyloom.llm import leaks
-from tallyloom.llm.leaks import leak_report, without_leaks
+from tallyloom.llm.leaks import MIN_WINDOWS, UNITS, WINDOW, leak_report, without_leaks
+from tallyloom.sources.tables import table
 
 ITEM = (
     "A train leaves Paris at noon and travels 120 km in 3 hours while Alice walks 5 km from her "
@@ -85,3 +89,66 @@ def test_awkward_rows(spark):
 def test_templates(spark, text, tokens):
     row = spark.range(1).select(leaks.template(leaks.marked(F.lit(text))).alias("t")).first()
     assert row.t == tokens
+
+
+def tokens_by_hand(text):
+    """(token, kind) of every token: N a name, 0 a number, U a unit, w another word."""
+    text = regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", text or "")
+    text = regex.sub(r"(?<=[0-9])(?=\p{L})", " ", text)
+    found = []
+    for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", text):
+        word = m.group()
+        inside = regex.search(r"[\p{L}\p{N},;]\s{1,3}$", text[max(0, m.start() - 5) : m.start()])
+        kind = "w"
+        if inside and regex.match(r"\p{Lu}\p{Ll}", word):
+            kind = "N"
+        elif regex.fullmatch("[0-9]+", word):
+            kind = "0"
+        elif word.lower() in UNITS and found and found[-1][1] == "0":
+            kind = "U"
+        found.append((word.lower(), kind))
+    return found
+
+
+def leaks_by_hand(docs, items):
+    """(doc_id, item_id, windows) by comparing every window of every document."""
+    same = lambda t: tuple(w if k == "w" else k for w, k in t)
+    cut, by_window, n_windows = {i: tokens_by_hand(t) for i, t in items}, defaultdict(list), {}
+    for i, row in cut.items():
+        width = min(WINDOW, len(row))
+        n_windows[i] = len(row) - width + 1 if row else 0
+        for p in range(n_windows[i]):
+            by_window[same(row[p : p + width])].append((i, p, width))
+    widths = {w for found in by_window.values() for _, _, w in found}
+    found = set()
+    for d, text in docs:
+        row, lines = tokens_by_hand(text), defaultdict(set)
+        for width in widths:
+            for p in range(len(row) - width + 1):
+                for i, q, _ in by_window.get(same(row[p : p + width]), ()):
+                    lines[i, p - q].add((q, width))
+        good = defaultdict(set)
+        for (i, line), places in lines.items():
+            pairs = {
+                (cut[i][q + k][0], row[q + line + k][0])
+                for q, width in places
+                for k in range(width)
+                if cut[i][q + k][1] != "w"
+            }
+            if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+                good[i] |= {q for q, _ in places}
+        found |= {(d, i, len(q)) for i, q in good.items() if len(q) >= min(MIN_WINDOWS, n_windows[i])}
+    return found
+
+
+def test_same_as_by_hand(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    extra = [(100_000 + i, t, None, None, 0) for i, t in enumerate((ITEM, OTHER, MIXED, PROSE + ITEM, PROSE))]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    items = items.unionByName(spark.createDataFrame([(9_000, ITEM), (9_001, "wrote the Iliad then")], items.schema))
+    got = {(r.doc_id, r.item_id, r.n_windows) for r in leak_report(docs, items).collect()}
+    wanted = leaks_by_hand([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in items.collect()])
+    assert got == wanted
+    assert {d for d, i, _ in got if i == 9_000} == {100_000, 100_001, 100_003}
+    assert len(got) > 3

@@ -1,5 +1,11 @@
+from itertools import combinations
+
 import corpus_pipeline as pipeline
 from awkward import documents, none
+from test_llm_leaks import leaks_by_hand
+from test_llm_lines import by_hand as lines_by_hand
+from test_llm_mixing import by_hand as mix_by_hand
+from test_llm_simhash import joined, words_of
 
 import __spark_entry__ as entry
 from tallyloom.llm.shared import written
@@ -23,6 +29,40 @@ def test_stages_keep_columns_and_act(spark):
     assert {"epoch", "taken", *docs.columns} == set(mix.columns)
 
 
+def copies_by_hand(rows):
+    """Ids that stay when every two texts are compared."""
+    shingles = []
+    for _, text in rows:
+        w = words_of(text)
+        shingles.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if alike(shingles[i], shingles[j])]
+    label = joined(len(rows), links)
+    least = {}
+    for (doc_id, _), x in zip(rows, label):
+        least[x] = min(doc_id, least.get(x, doc_id))
+    return set(least.values())
+
+
+def test_each_stage_is_what_comparing_everything_gives(spark):
+    """Every stage on its own input, after the classifier (whose measure is held-out accuracy)."""
+    docs = written(pipeline.keep_good(spark, table(spark, FOLDER, "documents"), FOLDER))
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    lined = written(pipeline.drop_lines(spark, docs, FOLDER))
+    assert {(r.doc_id, r.text) for r in lined.collect()} == {(i, t) for i, _, _, t in lines_by_hand(rows)}
+    for before in (docs, lined):
+        kept = written(pipeline.drop_copies(spark, before, FOLDER))
+        assert {r.doc_id for r in kept.collect()} == copies_by_hand([(r.doc_id, r.text) for r in before.collect()])
+    clean = written(pipeline.drop_leaks(spark, docs, FOLDER))
+    items = [tuple(r) for r in table(spark, FOLDER, "benchmark").collect()]
+    leaky = {d for d, _, _ in leaks_by_hand([(i, t) for i, t, *_ in rows], items)}
+    assert {r.doc_id for r in clean.collect()} == {i for i, *_ in rows} - leaky
+    taken = {}
+    for r in pipeline.mix(spark, docs, FOLDER).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    assert taken == {i: n for i, _, _, _, n in mix_by_hand(rows) if n}
+
+
 def test_run_is_what_the_stages_give(spark):
     docs = table(spark, FOLDER, "documents")
     for _, stage in pipeline.STAGES:
