@@ -51,29 +51,37 @@ _HIDDEN = re.compile(
 )
 
 
+# Words in a name by which it speaks of something else on the page.
+_ABOUT = frozenset(("has", "no", "with", "without"))
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
 def is_chrome(attributes: str) -> bool:
     """Whether class, id, role or style say that an element is not part of the article."""
     if not attributes:
         return False
     for _, a, b, c in _NAMED.findall(attributes):
-        if not CHROME_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", (a or b or c).lower())):
-            return True
+        for name in (a or b or c).split():
+            parts = {w.lower() for w in _WORD.findall(name)}
+            if not CHROME_NAMES.isdisjoint(parts) and _ABOUT.isdisjoint(parts):
+                return True
     return bool(_HIDDEN.search(attributes))
 
 
-def lines_of(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, surroundings, in the main element) of every block, in page order.
+def lines_of(html: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, in surroundings, in the main element, in surroundings inside that) of every
+    block, in page order.
 
     Blocks of the surroundings are kept as lines so that they leave a gap in the distribution.
     """
-    lines: list[tuple[str, bool, bool]] = []
+    lines: list[tuple[str, bool, bool, bool]] = []
     parts: list[str] = []
-    # Open elements: name, whether it or one around it is chrome, whether in a main element.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open elements: their names, and what holds inside them.
+    stack: list[tuple[str, bool, bool, bool]] = []
     opened: Counter[str] = Counter()
 
-    def state() -> tuple[bool, bool]:
-        return stack[-1][1:] if stack else (False, False)
+    def state() -> tuple[bool, bool, bool]:
+        return stack[-1][1:] if stack else (False, False, False)
 
     def end_line() -> None:
         text = " ".join(unescape("".join(parts)).split())
@@ -99,26 +107,25 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
                     end_line()
                 continue
             depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
-            after = stack[depth - 1][1:] if depth else (False, False)
+            after = stack[depth - 1][1:] if depth else (False, False, False)
             if not inline or state() != after:
                 end_line()
-            for name, _, _ in stack[depth:]:
-                opened[name] -= 1
+            for closed in stack[depth:]:
+                opened[closed[0]] -= 1
             del stack[depth:]
             continue
         if tag == "body":  # whatever the head left open ends here
             end_line()
             stack.clear()
             opened.clear()
-        chrome, main = state()
-        is_main = tag in MAIN_TAGS
-        marks = tag in CHROME_TAGS or is_chrome(token["attributes"])
+        chrome, main, inner = state()
+        is_main = main or tag in MAIN_TAGS
+        marks = tag != "body" and (tag in CHROME_TAGS or is_chrome(token["attributes"]))
         if not inline or marks:
             end_line()
         if tag in VOID_TAGS or token["attributes"].endswith("/"):
             continue
-        # A main element ends surroundings that were left open before it.
-        stack.append((tag, marks or (chrome and (main or not is_main)), main or is_main))
+        stack.append((tag, chrome or marks, is_main, is_main and (inner or marks)))
         opened[tag] += 1
     parts.append(html[at:])
     end_line()
@@ -134,7 +141,11 @@ def main_text(html: str) -> str:
     the edges of those elements with text, as headings and short paragraphs belong to it;
     else all dense stretches are kept. Surroundings inside a stretch are left out.
     """
-    lines = lines_of(html)
+    found = lines_of(html)
+    lines = [(text, chrome, main) for text, chrome, main, _ in found]
+    if not any(main and not chrome for _, chrome, main in lines):
+        # Surroundings that nobody closed must not swallow the article.
+        lines = [(text, inner if main else chrome, main) for text, chrome, main, inner in found]
     named = any(main and not chrome for _, chrome, main in lines)
     lengths = [0 if chrome or (named and not main) else len(text) for text, chrome, main in lines]
     if not any(lengths):

@@ -36,6 +36,17 @@ def test_nothing_to_find(html):
     assert main_text(html) in ("", "<", "<p")
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [("", "<aside><article><p>A teaser</p></article></aside>"),
+     ("<aside><article>Another teaser</article></aside>", ""),
+     ("", "<div id='readerComments'><article><p>I do not agree</p></article></div>"),
+     ("<div class='page has-sidebar'>", "</div>"), ("<div class='ad'>", ""), ("<div class='content-with-sidebar'>", "")],
+)
+def test_other_articles_and_open_wrappers(before, after):
+    assert main_text(AROUND.format(before + ARTICLE.format("") + after)) == WANTED
+
+
 def test_unclosed_tags_and_long_pages():
     assert main_text("<html><head><title>t<body><article><p>a<b>b<p>c") in ("ab\nc", "")
     many = "<b>" * 20_000 + "<p>x</p>" * 20_000
