@@ -31,7 +31,7 @@ ID, TEXT_HASH = "_quality_id", "_quality_th"
 STATISTICS = (
     "log_words log_chars word_chars distinct_words upper lower digits stops marks symbols pipes "
     "bang non_ascii blanks line_words repeated_lines symbol_ended bang_ended capitalised all_caps "
-    "top_word short_words entropy brackets"
+    "top_word short_words entropy brackets doubled"
 ).split()
 _STOPS, _MARKS, _SYMBOLS, _BRACKETS = b".,", b";:'\"?-", b"#$%&*+=@^_~\\/", b"<>[](){}"
 
@@ -75,6 +75,7 @@ def statistics(text: str) -> np.ndarray:
             sum(len(w) < 4 for w in words) / n_words,
             float(-(share * np.log2(share)).sum()) if len(raw) else 0.0,
             part(_BRACKETS),
+            sum(a == b for a, b in zip(words, words[1:])) / n_words,
         ]
     )
 
