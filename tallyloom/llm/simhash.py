@@ -27,10 +27,15 @@ BYTES = 8
 WIDTH = 4
 #: Postings that one task group should hold; lists beyond twice that are compared in blocks.
 GROUP_ROWS = 4096
-#: The pipeline's stage: words of a shingle, least Jaccard similarity, fingerprints per text.
-STAGE_WIDTH, STAGE_SIMILARITY, STAGE_PRINTS = 5, 0.8, 4
-#: Closest partners of a text that the stage checks; fingerprints make the choice.
-STAGE_PARTNERS = 6
+#: The pipeline's stage: words of a shingle, least Jaccard similarity.
+STAGE_WIDTH, STAGE_SIMILARITY = 5, 0.8
+#: Texts whose shingles are counted, and frequent shingles kept, to put rare ones first. They
+#: change the cost, never the result.
+SAMPLE_TEXTS, FREQUENT = 20_000, 100_000
+#: Meetings that a round looks through: so many per posting, or at least so many.
+ROUND_SHARE, ROUND_LEAST = 4, 1_000_000
+#: Members of a list that are compared as one block.
+BLOCK_ROWS = 2048
 HASHES_AT_A_TIME = 1 << 16
 LINKS_AT_A_TIME = 1 << 18
 
@@ -323,43 +328,35 @@ ID, TEXT_HASH, NODE = "_simhash_id", "_simhash_th", "_simhash_node"
 
 
 def one_of_each(
-    docs: DataFrame,
-    width: int = STAGE_WIDTH,
-    similarity: float = STAGE_SIMILARITY,
-    prints: int = STAGE_PRINTS,
-    max_bits: int = MAX_BITS,
-    partners: int = STAGE_PARTNERS,
+    docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY
 ) -> DataFrame:
     """``docs`` without near copies: of each group the row with the smallest id stays, once.
 
     Texts with the same sequence of words (A-Z lower-cased) are copies. Others are near copies
     if the Jaccard similarity of their shingles of ``width`` words is ``similarity`` or more;
-    groups are connected through such pairs. Candidates are pairs of which one of ``prints``
-    fingerprints of the different words differs in at most ``max_bits`` bits: a text with a few
-    words exchanged keeps nearly all its words, though it loses ``width`` shingles for each.
-    Of each text the ``partners`` closest candidates over all fingerprints are checked by their
-    shingles, whatever the size of the group: copies hang together through their closest ones,
-    and pairs do not grow with the square of a group. Texts without words are copies of each other.
-    Null ids come after all others; all columns are returned as they are.
+    groups are connected through such pairs, and no such pair is missed. Texts without words
+    are copies of each other. Null ids come after all others; all columns are returned as they
+    are.
+
+    With all shingles in one order, two near copies share one of the first of each, as many as
+    a near copy may lack and one more. Lists of the texts by these shingles (rare ones first)
+    therefore hold every pair. Each text is first checked against the smallest of its lists;
+    then pairs that share a list and are still in different groups are checked, in rounds of
+    bounded size, until none is left: pairs do not grow with the square of a group.
     """
     keyed = docs.withColumns({ID: known_id(), TEXT_HASH: text_hash()})
     plain = F.array_join(words(ascii_lower(whole_text())), " ")
     rows = keyed.select(ID, TEXT_HASH, plain.alias("plain"))
-    named = rows.select(ID, TEXT_HASH, F.xxhash64("plain").alias(NODE), "plain")
-    made = fingerprints(
-        named, f"{ID}, {TEXT_HASH}, {NODE}", shingle_hashes(F.col("plain"), 1, distinct=True), prints
-    )
-    texts = written(made)
+    shingles = shingle_hashes(F.col("plain"), width, distinct=True)
+    order = _frequent(rows, shingles, docs.count())
+    named = rows.select(ID, TEXT_HASH, F.xxhash64("plain").alias(NODE), shingles.alias("h"))
+    texts = written(_prefixes(named, similarity, *order))
     nodes = written(
-        texts.groupBy(NODE).agg(F.min(F.struct(ID, TEXT_HASH)).alias("first"), F.first("fps").alias("fps"))
+        texts.groupBy(NODE).agg(
+            F.min(F.struct(ID, TEXT_HASH)).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        )
     )
-    links = written(near_links(nodes.select(F.col(NODE).alias("node"), "fps"), max_bits, partners))
-    shingles = _shingles_of(rows, nodes, links, width)
-    left = links.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    member = components(near)
+    member = _near_groups(rows, nodes, width, similarity)
     placed = nodes.select(F.col(NODE).alias("node"), "first").join(member, "node", "left")
     kept = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col(f"first.{ID}").alias(ID), F.col(f"first.{TEXT_HASH}").alias(TEXT_HASH))
@@ -367,9 +364,174 @@ def one_of_each(
     return stays.dropDuplicates([ID, TEXT_HASH]).drop(ID, TEXT_HASH)
 
 
-def _shingles_of(rows: DataFrame, nodes: DataFrame, links: DataFrame, width: int) -> DataFrame:
-    """Different shingle hashes of the nodes that have a link, each from its first row."""
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _frequent(rows: DataFrame, shingles: Column, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that repeat most in a share of the texts, sorted, and how often they do."""
+    share = max(1, n_rows // SAMPLE_TEXTS)
+    sample = rows.filter(F.pmod(F.xxhash64(ID, TEXT_HASH), F.lit(share)) == 0)
+    found = (
+        sample.select(F.explode(shingles).alias("h")).groupBy("h").count().filter("count > 1")
+        .orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    )
+    found = np.array(sorted(tuple(r) for r in found), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def _prefixes(named: DataFrame, similarity: float, known: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """ID, TEXT_HASH, NODE, ``n`` shingles, and ``prefix``: the first of them in the order of
+    all shingles, one more than a near copy may lack."""
+    names = [ID, TEXT_HASH, NODE]
+
+    def cut(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        often = np.zeros(len(values), dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            often = np.where(known[at] == values, counts[at], 0)
+        order = np.lexsort((values, often, row))
+        place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        taken = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+        return values[order[place < taken[row]]], taken
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("h")
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            start = 0
+            while start < batch.num_rows:
+                most = ends[start] + 16 * HASHES_AT_A_TIME
+                stop = max(start + 1, int(np.searchsorted(ends, most, side="right")) - 1)
+                sizes = np.diff(ends[start : stop + 1]).astype(np.int64)
+                prefix, taken = cut(values[ends[start] : ends[stop]], sizes)
+                offsets = np.append(0, np.cumsum(taken)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(start, stop - start) for c in names),
+                        pa.array(sizes.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
+                    ],
+                    names=[*names, "n", "prefix"],
+                )
+                start = stop
+
+    schema = ", ".join(f"`{c}` bigint" for c in names) + ", n int, prefix array<bigint>"
+    return named.select(*names, "h").mapInArrow(cut_all, schema)
+
+
+def _near_groups(rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes that have a near copy."""
+    postings = nodes.select(F.col(NODE).alias("node"), "n", F.posexplode("prefix").alias("pos", "code"))
+    heads = postings.groupBy("code").agg(F.count("*").alias("c"), F.min("node").alias("head"))
+    shared = written(
+        postings.join(heads.filter("c > 1"), "code").select("code", "node", "n", "pos", "head")
+    )
+    shingles = _shingles_of(rows, nodes, shared.select("node").distinct(), width)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        # The side with the fewer repeats comes first; a hot other side then is a skewed join.
+        right = pairs.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = right.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return written(
+            both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        )
+
+    first = shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = near(first.distinct())
+    bound = max(ROUND_LEAST, ROUND_SHARE * shared.count())
+    done = 0.0
+    while True:
+        member = written(components(links))
+        if done >= 1:
+            return member
+        placed = shared.drop("head").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        by_root = placed.groupBy("code", "root").agg(F.count("*").alias("c"))
+        open_lists = written(
+            by_root.groupBy("code")
+            .agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"))
+            .filter("k > 1")
+        )
+        meetings = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0]
+        if not meetings:
+            return member
+        upto = min(1.0, done + bound / meetings)
+        links = links.unionByName(near(_open_pairs(placed, open_lists, similarity, done, upto)))
+        done = upto
+
+
+def _open_pairs(
+    placed: DataFrame, open_lists: DataFrame, similarity: float, low: float, high: float
+) -> DataFrame:
+    """(a, b) of different roots that share a list and can be near copies by size and by the
+    number of lists they share; of all pairs those with a hash from ``low`` to ``high``.
+
+    Long lists are cut into blocks by node; every two blocks meet in a task group of their own.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    groups = max(1, math.ceil((open_lists.agg(F.sum("m")).first()[0] or 0) / GROUP_ROWS))
+    dealt = (
+        placed.join(open_lists.select("code", blocks.alias("blocks")), "code")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            F.when(F.col("blocks") > 1, F.col("code")).otherwise(F.pmod("code", F.lit(groups))).alias("g"),
+            F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+            "code", "node", "root", "n", "pos", "own",
+        )
+    )
+
+    def met(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["code", "node"])
+        code, node, root, n, pos, own = (group[c].to_numpy() for c in ("code", "node", "root", "n", "pos", "own"))
+        two_blocks = group["lo"].iloc[0] != group["hi"].iloc[0]
+        tally: list[np.ndarray] = []
+
+        def folded() -> pd.DataFrame:
+            rows = np.concatenate(tally) if tally else np.zeros((0, 5), dtype=np.int64)
+            frame = pd.DataFrame(rows, columns=["a", "b", "na", "nb", "c"])
+            return frame.groupby(["a", "b", "na", "nb"], as_index=False)["c"].sum()
+
+        held = 0
+        for step in range(1, len(code)):
+            same = code[step:] == code[:-step]
+            if not same.any():
+                break
+            apart = same & (root[step:] != root[:-step])
+            if two_blocks:
+                apart &= own[step:] != own[:-step]
+            i = np.nonzero(apart)[0]
+            j = i + step
+            ni, nj = n[i].astype(np.int64), n[j].astype(np.int64)
+            wanted = similarity / (1 + similarity) * (ni + nj) - 1e-6
+            most = np.minimum(pos[i], pos[j]) + np.minimum(ni - pos[i], nj - pos[j])
+            fits = (np.minimum(ni, nj) >= similarity * np.maximum(ni, nj) - 1e-6) & (most >= wanted)
+            with np.errstate(over="ignore"):
+                x = node[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ node[j].view(np.uint64)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            share = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+            fits &= (share >= low) & (share < high)
+            i, j, ni, nj = i[fits], j[fits], ni[fits], nj[fits]
+            tally.append(np.stack([node[i], node[j], ni, nj, np.ones(len(i), dtype=np.int64)], axis=1))
+            held += len(i)
+            if held > LINKS_AT_A_TIME:
+                tally = [folded().to_numpy(dtype=np.int64)]
+                held = len(tally[0]) // 2
+        return folded()
+
+    schema = "a bigint, b bigint, na bigint, nb bigint, c bigint"
+    pairs = dealt.groupBy("g", "lo", "hi").applyInPandas(met, schema)
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+
+    # Beyond what the two prefixes share, one of the two texts has no more than its rest to share.
+    def rest(n: str) -> Column:
+        return F.ceil(similarity * F.col(n) - 1e-9) - 1
+
+    wanted = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    return pairs.filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= wanted).select("a", "b")
+
+
+def _shingles_of(rows: DataFrame, nodes: DataFrame, linked: DataFrame, width: int) -> DataFrame:
+    """Different shingle hashes of the ``linked`` nodes, each from its first row."""
     firsts = (
         nodes.select(F.col(NODE).alias("node"), "first.*").join(linked, "node")
         .dropDuplicates([ID, TEXT_HASH])

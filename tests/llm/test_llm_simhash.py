@@ -142,3 +142,25 @@ def test_one_of_awkward_rows(spark):
     wanted = {(i or -1, t or "") for i, t, *_ in TEXTS} - {(5, ""), (6, " \t\n \r\n"), (-1, "")}
     assert left == sorted(wanted)
     assert one_of_each(none(docs)).count() == 0
+
+
+def stays_by_hand(texts, least=0.8):
+    near = ((a, b) for a, b in combinations(range(len(texts)), 2) if similarity(texts[a], texts[b]) >= least)
+    return set(joined(len(texts), near))
+
+
+def vocabulary(dice, n=3000):
+    return ["".join(dice.choice(list("abcdefgh"), dice.integers(2, 9))) for _ in range(n)]
+
+
+def test_same_words_in_other_order_hide_no_copy(spark):
+    """Forty orders of one text, each with one near copy: forty stay."""
+    dice = np.random.default_rng(4)
+    base, texts = [str(w) for w in dice.choice(vocabulary(dice), 200)], []
+    for _ in range(40):
+        words = [str(w) for w in dice.permutation(base)]
+        texts += [" ".join(words), " ".join([*words[:100], "other", *words[101:]])]
+    wanted = stays_by_hand(texts)
+    assert len(wanted) == 40
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert {r.doc_id for r in one_of_each(docs).collect()} == wanted
