@@ -8,7 +8,7 @@ item stands for one value of the document along the passage, and the other way r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import known_id, text_hash, whole_text, written
@@ -112,9 +112,11 @@ def find_leaks(
     and ``_leak_th`` that name the row. A pair counts from ``min_windows`` windows on, or when
     all windows of a shorter item are found. Items of fewer than ``width`` tokens have one
     window, the whole item, which is looked for at its own width; an item without a token
-    leaks nowhere. Slots are compared along one alignment of document and item: windows in
-    line share a map from the item's values to the document's, and a value with two partners
-    makes the alignment void.
+    leaks nowhere. Slots are compared along each run of windows in line: they share a map from
+    the item's values to the document's. A value with two partners voids the windows that hold
+    it, unless their slots are those of the item. Where such windows are half of the run or more
+    it is another question in the same form: there only passages of twice ``WINDOW`` tokens or
+    more with the very slots of the item count.
 
     Null ids count as one id after all others, repeated ids with different texts are told
     apart by the text, null texts are empty, further columns are not read. Empty tables give
@@ -155,19 +157,7 @@ def find_leaks(
     met = doc_hits.join(item_hits, "hash").withColumn("line", F.col("pos") - F.col("item_pos"))
     met = written(met)
     key = ["id", "th", "item_id", "item_th"]
-    values = met.select(
-        *key, "line", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")
-    ).select(*key, "line", F.col("s.item_slots").alias("there"), F.col("s.slots").alias("here"))
-    partners = values.distinct()
-    odd = (
-        partners.groupBy(*key, "line", "there").agg(F.count("*").alias("n"))
-        .unionByName(
-            partners.groupBy(*key, "line", "here").agg(F.count("*").alias("n"))
-            .withColumnRenamed("here", "there")
-        )
-        .filter("n > 1").select(*key, "line").distinct()
-    )
-    good = met.join(odd, [*key, "line"], "left_anti")
+    good = _agreeing(met, key)
     counts = item_windows.groupBy(F.col("id").alias("item_id"), F.col("th").alias("item_th")).agg(
         F.count("*").alias("n_item_windows")
     )
@@ -188,6 +178,33 @@ def find_leaks(
     )
 
 
+def _agreeing(met: DataFrame, key: list[str]) -> DataFrame:
+    """The windows of ``met`` whose slots agree along their run."""
+    in_line = Window.partitionBy(*key, "line").orderBy("pos")
+    runs = written(met.withColumn("run", F.col("pos") - F.row_number().over(in_line)))
+    run = [*key, "line", "run"]
+    values = runs.select(*run, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    partners = values.select(*run, F.col("s.item_slots").alias("there"), F.col("s.slots").alias("here")).distinct()
+
+    def with_two(side: str) -> DataFrame:
+        return partners.groupBy(*run, side).agg(F.count("*").alias("n")).filter("n > 1").select(*run, side)
+
+    odd = (
+        with_two("there").unionByName(with_two("here"), allowMissingColumns=True)
+        .groupBy(*run).agg(F.collect_set("there").alias("odd_there"), F.collect_set("here").alias("odd_here"))
+    )
+    same = F.col("item_slots") == F.col("slots")
+    void = ~same & (F.arrays_overlap("item_slots", "odd_there") | F.arrays_overlap("slots", "odd_here"))
+    judged = (
+        runs.join(odd, run, "left")
+        .withColumns({"same": same, "clear": F.col("odd_there").isNull() | ~void})
+        .withColumn("share", F.avg(F.col("clear").cast("int")).over(Window.partitionBy(*run)))
+        .withColumn("part", F.col("pos") - F.row_number().over(Window.partitionBy(*run, "same").orderBy("pos")))
+        .withColumn("long", F.count("*").over(Window.partitionBy(*run, "same", "part")) > WINDOW)
+    )
+    return judged.filter(F.col("clear") & ((F.col("share") > 0.5) | (F.col("same") & F.col("long"))))
+
+
 def _with_slots(found: DataFrame, texts: DataFrame) -> DataFrame:
     """The windows with what fills their placeholders."""
     rows = texts.select(

@@ -152,3 +152,13 @@ def test_same_as_by_hand(spark):
     assert got == wanted
     assert {d for d, i, _ in got if i == 9_000} == {100_000, 100_001, 100_003}
     assert len(got) > 3
+
+
+def test_one_contradiction_leaves_the_rest_of_a_copy(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    number = lambda a, b: " ".join([*words[:30], a, *words[31:70], b, *words[71:]])
+    assert leaky(spark, [number("5", "6"), number("4", "4")], [number("5", "5"), number("3", "5")]) == {
+        (d, i) for d in (0, 1) for i in (0, 1)
+    }
+    edited = ITEM.replace("5 km", "120 miles")
+    assert leaky(spark, [edited, MIXED], [ITEM]) == {(0, 0)}
