@@ -164,3 +164,27 @@ def test_same_words_in_other_order_hide_no_copy(spark):
     assert len(wanted) == 40
     docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
     assert {r.doc_id for r in one_of_each(docs).collect()} == wanted
+
+
+@pytest.mark.parametrize("block, least, share", [(2048, 1_000_000, 4), (7, 3000, 0)])
+def test_stage_is_what_comparing_all_pairs_gives(spark, monkeypatch, block, least, share):
+    """Added, removed and exchanged words, and a group around one text; blocks and rounds of any size."""
+    for name, value in (("BLOCK_ROWS", block), ("ROUND_LEAST", least), ("ROUND_SHARE", share)):
+        monkeypatch.setattr(simhash, name, value)
+    dice = np.random.default_rng(5)
+    known = vocabulary(dice)
+    some = lambda n: [str(w) for w in dice.choice(known, n)]
+    texts = []
+    for i in range(15):
+        words = some(200)
+        texts += [words, words + some(20), words + some(30), some(40) + words, words[: 200 - 10 - 2 * i]]
+        texts.append([w if p % 50 else some(1)[0] for p, w in enumerate(words)])
+    middle = some(100)
+    for _ in range(40):
+        copy = list(middle)
+        for p in dice.choice(100, dice.integers(1, 5), replace=False):
+            copy[p] = some(1)[0]
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert {r.doc_id for r in one_of_each(docs).collect()} == stays_by_hand(texts)
