@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import language, leaks, lines, mixing, nearest, pages, pii, quality, simhash, tokens
+from tallyloom.llm import (
+    language, leaks, lines, manifest, mixing, nearest, pages, pii, quality, simhash, spelling, tokens, urls,
+)
 from tallyloom.llm.shared import documents
 from tallyloom.sources.tables import table
 
@@ -51,6 +53,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(documents(spark, folder), table(spark, folder, "labels"))
 
 
+def op11_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.url_report(table(spark, folder, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_report(documents(spark, folder))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.manifest_report(documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup,
@@ -63,9 +77,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_groups,
         op9_html_extraction,
         op10_quality_classifier,
+        op11_url_filters,
+        op12_spelling_variants,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE_SQL, "op6_source_mixing": mixing.ORACLE_SQL}
+    return {
+        "op1_line_dedup": lines.ORACLE_SQL,
+        "op6_source_mixing": mixing.ORACLE_SQL,
+        "op11_url_filters": urls.ORACLE_SQL,
+        "op12_spelling_variants": spelling.ORACLE_SQL,
+        "op13_merkle_manifest": manifest.ORACLE_SQL,
+    }
