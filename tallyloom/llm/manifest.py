@@ -154,7 +154,7 @@ def manifest(
         docs.select(
             label.alias("g"), F.col(order).alias("_order"),
             leaf_hash([F.col(c) for c in columns]).alias("h"),
-            F.struct(*[e.alias(c) for c, e in kept.items()]).alias("kept"),
+            *[e.alias(f"kept_{c}") for c, e in kept.items()],
             # Equal rows, however many, are dealt to several ranges.
             F.monotonically_increasing_id().alias("_row"),
         )
@@ -176,7 +176,7 @@ def manifest(
     groups = written(descend(upper, top).select("label", F.col("h").alias("subroot"), "root", "path"))
     rows = descend(levels, groups.withColumnRenamed("label", "g"))
     return Manifest(
-        rows.select(*[F.col(f"kept.{c}").alias(c) for c in kept], F.col("h").alias("leaf"), "subroot", "root", "path"),
+        rows.select(*[F.col(f"kept_{c}").alias(c) for c in kept], F.col("h").alias("leaf"), "subroot", "root", "path"),
         groups.select("label", "subroot", "root"),
         levels,
     )

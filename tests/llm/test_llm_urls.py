@@ -1,0 +1,100 @@
+import pytest
+from awkward import CLASHING, none
+from pyspark.sql import functions as F
+
+from tallyloom.llm import urls
+from tallyloom.llm.urls import RULES, bloom_filter, judge, may_hold, url_report
+
+URLS = [
+    "http://example.com/en/1", "https://WWW.Example.COM/en/x?y=/z", "http://a.www.example.com/en/", "http://example.com/en",
+    "http://example.com", "ftp://x.net/es/", "http://net/fr/1#t", "http://x.net/de/", "http://notexample.com/en/1",
+    "http://example.com?/en/", "http://example.com#/en/", "no url at all", "", None, "://", "http:///en/", "a://b://c/d",
+    "http://example.com:80/en/", "http://example.com./en/", "http://.com/", "http://x.ÉCOLE.com/é?é", "x://example.com//en/",
+    "http://" + "a." * 3000 + "com/" + "b/" * 3000, "http://" + "net/fr/" * 2000, "http://example.com/EN/1", " http://x.com/ ",
+]
+FIELDS = "page_id bigint, url string"
+
+
+def host_and_path(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    path = rest[end:]
+    cut = min([path.find(c) for c in "?#" if c in path], default=len(path))
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), path[:cut]
+
+
+def by_hand(url, rules):
+    host, path = host_and_path(url)
+    fits = [
+        (len(h + p), len(h), v, h + p)
+        for h, p, v in rules
+        if (host == h or host.endswith("." + h)) and path.startswith(p)
+    ]
+    best = max(fits, default=None)
+    return host, path, best and best[3], best[2] if best else "allow"
+
+
+def frame(spark, rows=URLS):
+    df = spark.createDataFrame(list(enumerate(rows)), FIELDS)
+    return df.withColumns({n: F.lit("mine") for n in [*CLASHING, "host", "path", "verdict", "block", "_key", "w0"]})
+
+
+def result(df, key="page_id"):
+    return {r[key]: (r.host, r.path, r.rule, r.verdict) for r in df.collect()}
+
+
+def test_report_by_hand(spark):
+    got = url_report(frame(spark))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert result(got) == {i: by_hand(u, RULES) for i, u in enumerate(URLS)}
+    assert result(got)[1][2:] == ("www.example.com/en/", "allow") and result(got)[0][3] == "block"
+
+
+def test_awkward_rows(spark):
+    twice = spark.createDataFrame([(1, URLS[0]), (1, URLS[0]), (None, URLS[0]), (None, None)], FIELDS)
+    assert sorted((r.page_id or 0, r.verdict) for r in url_report(twice).collect()) == [
+        (0, "allow"), (0, "block"), (1, "block"), (1, "block")
+    ]
+    assert url_report(none(frame(spark))).count() == 0
+    rules = spark.createDataFrame([], "host string, path string, verdict string")
+    judged = judge(frame(spark), rules)
+    assert {r.verdict for r in judged.collect()} == {"allow"}
+    assert judged.count() == len(URLS)
+    assert sorted(judged.columns) == sorted({*frame(spark).columns, "rule"})
+
+
+def listed_rules():
+    deep = ".".join("abcdefghijkl") + ".org"
+    rules = [(f"s{i}.com", f"/p{i % 7}", "block") for i in range(800)]
+    rules += [(deep, "/" + "x" * 300, "block"), ("org", "/" + "x" * 200, "allow"), (deep, "/", "block"), ("s1.com", "/p1", "allow"),
+              ("COM", "", "block"), (None, "/", "block"), ("s2.com", None, "block"), ("s3.com", "p", "block")]
+    pages = [f"http://{w}s{i}.com/p{j}/x" for i in range(0, 900, 9) for j in (i % 7, 3) for w in ("", "w.")]
+    pages += [f"http://z.{deep}/" + "x" * n for n in (0, 199, 200, 299, 300, 301)] + [f"http://{deep}x/", "http://b.org/" + "x" * 250]
+    return rules, pages
+
+
+@pytest.mark.parametrize("blocks, broadcast, bits", [(1 << 17, 100_000, 12), (1, 0, 12), (3, 0, 1)])
+def test_long_lists_full_filters_and_shuffled_joins(spark, monkeypatch, blocks, broadcast, bits):
+    for name, value in (("MAX_BLOCKS", blocks), ("BROADCAST_RULES", broadcast), ("KEY_BITS", bits)):
+        monkeypatch.setattr(urls, name, value)
+    rules, pages = listed_rules()
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = result(judge(frame(spark, pages), listed))
+    known = [(h.lower(), p, "block" if (h, p) == ("s1.com", "/p1") else v) for h, p, v in rules if h and p is not None]
+    assert got == {i: by_hand(u, known) for i, u in enumerate(pages)}
+
+
+def test_filter_holds_all_its_keys_and_few_others(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    blocks = 3000 * urls.KEY_BITS // urls.BLOCK_BITS
+    bloom = bloom_filter(keys, blocks)
+    assert bloom.count() <= blocks
+
+    def passed(names):
+        rows = names.withColumn("block", urls._block(F.col("key"), blocks)).join(bloom, "block", "left")
+        return rows.filter(may_hold(F.col("key"))).count()
+
+    assert passed(keys) == 3000
+    assert passed(spark.range(10_000).select(F.concat(F.lit("other"), "id").alias("key"))) < 300
