@@ -1,9 +1,14 @@
 """Benchmark decontamination by templates.
 
-A text becomes a row of tokens: lower-cased words, and typed placeholders for numbers, names
-and units. Windows of templates are joined by hash, so a question whose numbers or names were
+A text becomes a row of tokens: lower-cased words, and typed placeholders for numbers, units
+and names. Windows of templates are joined by hash, so a question whose numbers or names were
 exchanged still meets its original. What fills the slots must then agree: one value of the
 item stands for one value of the document along the passage, and the other way round.
+
+Every capitalised word may be a name or the first of a sentence, so windows are read in two
+forms: with such words as they are (which finds copies in any case), and with a placeholder for
+each. Windows of hardly more than placeholders prove nothing by their form; they count only with
+the very values of the item.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from tallyloom.llm.shared import known_id, text_hash, whole_text, written
 WINDOW = 8
 #: Windows in line that make a passage: 5 windows of 8 are 12 tokens.
 MIN_WINDOWS = 5
+#: Words that a window has at least beside placeholders, to be found by its form.
+LITERALS = 3
 #: Window hashes, and names of documents with a hit, are broadcast up to this many (16 bytes
 #: each); beyond it the joins shuffle.
 BROADCAST_HASHES = 1_000_000
@@ -32,49 +39,91 @@ ID, TEXT_HASH = "_leak_id", "_leak_th"
 
 
 def marked(text: Column) -> Column:
-    """The text as tokens with one blank between them, case kept, names with a mark before them.
+    """The text as tokens with one blank between them, case kept, and a mark before each word of a
+    capital and a small letter.
 
     A number keeps its digits only (1,000.5 is 10005), and letters that follow it are a token
-    of their own. A name is a capitalised word after a word, a digit or a comma, so the first
-    word of a sentence is none.
+    of their own.
     """
     text = F.replace(text, F.lit(NAME_MARK), F.lit(" "))
     # Most texts have no digit: two passes less for them.
     plain = F.regexp_replace(text, r"([0-9])[.,](?=[0-9])", "$1")
     plain = F.regexp_replace(plain, r"([0-9])(?=\p{L})", "$1 ")
     text = F.when(text.rlike("[0-9]"), plain).otherwise(text)
-    # Looks back only where a blank is followed by a capital.
-    name = r"(\s{1,3})(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;]\s{1,3})(\p{Lu}\p{Ll}+)"
-    text = F.regexp_replace(text, name, f"$1{NAME_MARK}$2")
+    # Looks back only where a capital and a small letter follow.
+    text = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{M}\p{N}])", NAME_MARK)
     return F.btrim(F.regexp_replace(text, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME_MARK}]+", " "))
 
 
-def template(marked_text: Column) -> Column:
-    """Placeholders N (name), 0 (number) and U (unit) in place of tokens, the rest lower-cased."""
-    text = F.regexp_replace(F.lower(marked_text), rf"{NAME_MARK}\S+", "N")
+def words_only(marked_text: Column) -> Column:
+    """The tokens in lower case, without marks."""
+    return F.replace(F.lower(marked_text), F.lit(NAME_MARK), F.lit(""))
+
+
+def _numbers(text: Column) -> Column:
+    """Placeholders 0 (number) and U (unit after a number) in place of tokens."""
     number = F.regexp_replace(text, r"(?<!\S)[0-9]+(?!\S)", "0")
     number = F.regexp_replace(number, rf"(?<=(?<!\S)0 )(?:{'|'.join(UNITS)})(?!\S)", "U")
     return F.when(text.rlike("[0-9]"), number).otherwise(text)
 
 
+def template(marked_text: Column) -> Column:
+    """Placeholders for numbers and units, names as they are."""
+    return _numbers(words_only(marked_text))
+
+
+def named_template(marked_text: Column) -> Column:
+    """Placeholders for numbers and units, and N for each marked word."""
+    return _numbers(F.regexp_replace(F.lower(marked_text), rf"{NAME_MARK}\S+", "N"))
+
+
 def tokens(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
-def windows(of: Column, width: int) -> Column:
-    """(pos, hash) of every window of ``width`` tokens; positions from 0."""
-    return F.transform(
-        F.array(of),
-        lambda row: F.transform(
-            F.when(F.size(row) >= width, F.sequence(F.lit(0), F.size(row) - width)).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i: F.struct(
-                i.alias("pos"),
-                F.xxhash64(F.lit(width), F.slice(row, i + 1, F.lit(width))).alias("hash"),
-            ),
-        ),
-    )[0]
+def kinds(text: Column) -> Column:
+    """A letter per token of a template: its placeholder, or w."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?<!\S)(?![N0U](?!\S))\S+", "w"), " ", "")
+
+
+def _windows(by_form: Column, width: int) -> Column:
+    """(pos, hash, form) of the windows of ``width`` tokens of one text; positions from 0.
+
+    ``by_form`` has the tokens (``words``), those of the template (``plain``) and of the one with
+    names (``named``), their ``kinds``, and whether placeholders stand next to each other
+    (``dense``). Form 0 is the template; where that has fewer than ``LITERALS`` words, the tokens
+    themselves. Form 1 is the template with names, of windows with a name and enough words.
+    """
+    least = min(LITERALS, width)
+    row = by_form
+    places = F.when(F.size(row["words"]) >= width, F.sequence(F.lit(0), F.size(row["words"]) - width)).otherwise(
+        F.array().cast("array<int>")
+    )
+
+    def hashed(column: str, i: Column, seed: int) -> Column:
+        return F.xxhash64(F.lit(seed), F.slice(row[column], i + 1, F.lit(width)))
+
+    def n_words(column: str, i: Column) -> Column:
+        return F.char_length(F.translate(F.substr(row[column], i + 1, F.lit(width)), "N0U", ""))
+
+    def entry(i: Column, value: Column, form: int) -> Column:
+        return F.struct(i.alias("pos"), value.alias("hash"), F.lit(form).alias("form"))
+
+    def plain(i: Column) -> Column:
+        return entry(i, hashed("plain", i, width), 0)
+
+    def checked(i: Column) -> Column:
+        value = F.when(n_words("plain_kinds", i) >= least, hashed("plain", i, width))
+        return entry(i, value.otherwise(hashed("words", i, -width)), 0)
+
+    # At full width a window short of words has two placeholders side by side.
+    always = F.lit(width < WINDOW) | row["dense"]
+    first = F.when(always, F.transform(places, checked)).otherwise(F.transform(places, plain))
+    has_name = lambda i: F.substr(row["kinds"], i + 1, F.lit(width)).contains("N")
+    with_names = F.filter(places, lambda i: has_name(i) & (n_words("kinds", i) >= least))
+    second = F.transform(with_names, lambda i: entry(i, hashed("named", i, width), 1))
+    none = F.array().cast("array<struct<pos:int,hash:bigint,form:int>>")
+    return F.concat(first, F.when(F.instr(row["kinds"], "N") > 0, second).otherwise(none))
 
 
 def _tokenised(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -85,18 +134,25 @@ def _tokenised(df: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def _all_windows(df: DataFrame, widths: list[int]) -> DataFrame:
-    """One row per window: id, th, width, pos, hash."""
-    of = tokens(template(F.col("marked")))
-    found = windows(of, widths[0])
-    if len(widths) == 1:
-        rows = df.select("id", "th", F.lit(widths[0]).alias("width"), F.explode(found).alias("w"))
-    else:
-        by_width = F.array(
-            *[F.struct(F.lit(n).alias("width"), windows(of, n).alias("w")) for n in widths]
-        )
-        rows = df.select("id", "th", F.explode(by_width).alias("x"))
-        rows = rows.select("id", "th", "x.width", F.explode("x.w").alias("w"))
-    return rows.select("id", "th", "width", "w.pos", "w.hash")
+    """One row per window and form: id, th, width, pos, hash, form."""
+    plain = template(F.col("marked"))
+    cut = df.select(
+        "id", "th", words_only(F.col("marked")).alias("words"), plain.alias("plain"),
+        # Without a mark the two templates are one.
+        F.when(F.instr("marked", NAME_MARK) > 0, named_template(F.col("marked"))).otherwise(plain).alias("named"),
+    )
+    row = F.struct(
+        tokens(F.col("words")).alias("words"), tokens(F.col("plain")).alias("plain"),
+        tokens(F.col("named")).alias("named"), kinds(F.col("plain")).alias("plain_kinds"),
+        kinds(F.col("named")).alias("kinds"),
+        F.col("plain").rlike(r"(?<!\S)[0U] [0U](?!\S)").alias("dense"),
+    )
+    by_width = lambda r: F.array(
+        *[F.struct(F.lit(n).alias("width"), _windows(r, n).alias("w")) for n in widths]
+    )
+    rows = cut.select("id", "th", F.explode(F.transform(F.array(row), by_width)[0]).alias("x"))
+    rows = rows.select("id", "th", "x.width", F.explode("x.w").alias("w"))
+    return rows.select("id", "th", "width", "w.pos", "w.hash", "w.form")
 
 
 def find_leaks(
@@ -112,11 +168,12 @@ def find_leaks(
     and ``_leak_th`` that name the row. A pair counts from ``min_windows`` windows on, or when
     all windows of a shorter item are found. Items of fewer than ``width`` tokens have one
     window, the whole item, which is looked for at its own width; an item without a token
-    leaks nowhere. Slots are compared along each run of windows in line: they share a map from
-    the item's values to the document's. A value with two partners voids the windows that hold
-    it, unless their slots are those of the item. Where such windows are half of the run or more
-    it is another question in the same form: there only passages of twice ``WINDOW`` tokens or
-    more with the very slots of the item count.
+    leaks nowhere. A window of fewer than ``LITERALS`` words beside its placeholders is found
+    only with the item's own tokens. Slots are compared along each run of windows in line: they
+    share a map from the item's values to the document's. A value with two partners voids the
+    windows that hold it, unless their slots are those of the item. Where such windows are half of
+    the run or more it is another question in the same form: there only passages of twice
+    ``WINDOW`` tokens or more with the very slots of the item count.
 
     Null ids count as one id after all others, repeated ids with different texts are told
     apart by the text, null texts are empty, further columns are not read. Empty tables give
@@ -124,10 +181,11 @@ def find_leaks(
 
     The benchmark's window hashes are counted first: as many as ``BROADCAST_HASHES`` go to
     every executor, and document windows that match none never leave their task. Beyond that
-    the same join shuffles.
+    the same join shuffles. Pairs of a document and an item are counted before any token is
+    looked at again; those with too few windows go.
     """
     items = written(_tokenised(benchmark, "item_id", "text"))
-    length = F.size(tokens(template(F.col("marked"))))
+    length = F.size(tokens(words_only(F.col("marked"))))
     lengths = items.filter((length > 0) & (length < width)).select(length.alias("n")).distinct()
     widths = [width, *sorted(r.n for r in lengths.collect())]
     # An item is looked for at one width: the given one, or its own if it is shorter.
@@ -137,35 +195,37 @@ def find_leaks(
         .filter(F.col("width") == F.least(F.lit(width), F.col("n")))
         .distinct()
     )
-    hashes = item_windows.select("hash").distinct()
+    hashes, of_items = item_windows.select("hash").distinct(), item_windows
     if item_windows.count() <= BROADCAST_HASHES:
-        hashes = F.broadcast(hashes)
+        hashes, of_items = F.broadcast(hashes), F.broadcast(of_items)
     texts = _tokenised(docs, "doc_id", "text")
     found = written(_all_windows(texts, widths).join(hashes, "hash").distinct())
 
-    # Only documents with a hit are read again; texts are shuffled only if very many have one.
-    hits = written(found.select("id", "th").distinct())
-    if hits.count() <= BROADCAST_HASHES:
-        hits = F.broadcast(hits)
-    held = docs.select(known_id("doc_id").alias("id"), text_hash().alias("th"), "text")
-    held = held.join(hits, ["id", "th"], "left_semi").withColumn("marked", marked(whole_text()))
-    doc_hits = _with_slots(found, held)
-    item_hits = _with_slots(item_windows, items).select(
-        F.col("id").alias("item_id"), F.col("th").alias("item_th"), "hash",
-        F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"),
-    )
-    met = doc_hits.join(item_hits, "hash").withColumn("line", F.col("pos") - F.col("item_pos"))
-    met = written(met)
     key = ["id", "th", "item_id", "item_th"]
-    good = _agreeing(met, key)
+    of_items = of_items.select(
+        "hash", "form", F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos")
+    )
+    met = written(found.join(of_items, ["hash", "form"]))
     counts = item_windows.groupBy(F.col("id").alias("item_id"), F.col("th").alias("item_th")).agg(
-        F.count("*").alias("n_item_windows")
+        F.count_distinct("pos").alias("n_item_windows")
     )
+    least = F.least(F.lit(min_windows), F.col("n_item_windows"))
+    enough = (
+        met.groupBy(*key).agg(F.count_distinct("item_pos").alias("n"))
+        .join(counts, ["item_id", "item_th"]).filter(F.col("n") >= least).select(*key)
+    )
+    line = F.col("pos") - F.col("item_pos")
+    # A window found in both forms counts as it is.
+    met = (
+        met.join(enough, key, "left_semi").groupBy(*key, "pos", "item_pos", "width")
+        .agg(F.min("form").alias("form")).withColumn("line", line)
+    )
+    good = _agreeing(written(_with_slots(written(met), docs, items)), key)
     pairs = (
         good.groupBy(*key)
         .agg(F.count_distinct("item_pos").alias("n_windows"))
         .join(counts, ["item_id", "item_th"])
-        .filter(F.col("n_windows") >= F.least(F.lit(min_windows), F.col("n_item_windows")))
+        .filter(F.col("n_windows") >= least)
     )
     return pairs.select(
         F.col("id").alias("doc_id"),
@@ -205,41 +265,52 @@ def _agreeing(met: DataFrame, key: list[str]) -> DataFrame:
     return judged.filter(F.col("clear") & ((F.col("share") > 0.5) | (F.col("same") & F.col("long"))))
 
 
-def _with_slots(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """The windows with what fills their placeholders."""
-    rows = texts.select(
-        "id", "th",
-        tokens(F.col("marked")).alias("m"), tokens(template(F.col("marked"))).alias("t"),
-    ).dropDuplicates(["id", "th"])
-    grouped = found.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "width", "hash")).alias("w"))
-    joined = rows.join(grouped, ["id", "th"])
-    filled = F.transform(
-        "w",
-        lambda w: F.struct(
-            w["hash"].alias("hash"),
-            w["pos"].alias("pos"),
-            _window_slots(F.col("m"), F.col("t"), w["pos"], w["width"]).alias("slots"),
+def _with_slots(met: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The windows of ``met`` with the tokens in the item's placeholders, names included, and those
+    of the document in their places (``item_slots``, ``slots``)."""
+    key = ["id", "th"]
+    # Only documents with enough windows are read again; texts are shuffled only if very many have.
+    hits = written(met.select(*key).distinct())
+    if hits.count() <= BROADCAST_HASHES:
+        hits = F.broadcast(hits)
+    held = docs.select(known_id("doc_id").alias("id"), text_hash().alias("th"), "text")
+    held = held.join(hits, key, "left_semi").dropDuplicates(key)
+    held = held.select(*key, tokens(words_only(marked(whole_text()))).alias("words"))
+    place = F.struct("item_id", "item_th", "item_pos", "pos", "line", "width")
+    grouped = met.groupBy(*key).agg(F.collect_list(place).alias("places"))
+    here = held.join(grouped, key).select(
+        *key,
+        F.inline(
+            F.transform("places", lambda p: F.struct(p.alias("p"), F.slice("words", p["pos"] + 1, p["width"]).alias("here")))
         ),
     )
-    return joined.select("id", "th", F.inline(filled))
-
-
-def _window_slots(m: Column, t: Column, pos: Column, width: Column) -> Column:
-    pairs = F.zip_with(
-        F.slice(m, pos + 1, width),
-        F.slice(t, pos + 1, width),
-        lambda v, kind: F.when(kind.isin("N", "0", "U"), F.lower(v)),
-    )
-    return F.filter(pairs, lambda v: v.isNotNull())
+    here = here.select(*key, "p.*", "here")
+    there = items.dropDuplicates(key).select(
+        F.col("id").alias("item_id"), F.col("th").alias("item_th"),
+        tokens(words_only(F.col("marked"))).alias("item_words"), kinds(named_template(F.col("marked"))).alias("item_kinds"),
+    )
+    both = here.join(there, ["item_id", "item_th"])
+    at = F.col("item_pos")
+    numbers = F.sequence(F.lit(1), F.col("width"))
+    filled = F.filter(numbers, lambda i: F.substr("item_kinds", at + i, F.lit(1)) != "w")
+    return both.select(
+        *key, "item_id", "item_th", "item_pos", "pos", "line",
+        F.transform(filled, lambda i: F.get("item_words", at + i - 1)).alias("item_slots"),
+        F.transform(filled, lambda i: F.get("here", i - 1)).alias("slots"),
+    )
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, columns as they are."""
+    """The rows of ``docs`` that hold no passage of the benchmark, columns as they are.
+
+    Null, empty and very long texts, repeated rows, empty tables and columns of any name: as for
+    :func:`find_leaks`; of repeated rows all stay or all go.
+    """
     leaks = find_leaks(docs, benchmark, **how).select(ID, TEXT_HASH).distinct()
     rows = docs.withColumns({ID: known_id(), TEXT_HASH: text_hash()})
     return rows.join(leaks, [ID, TEXT_HASH], "left_anti").drop(ID, TEXT_HASH)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The leaks by document and item."""
+    """The leaks by document and item; nulls, empty texts and tables as for :func:`find_leaks`."""
     return find_leaks(docs, benchmark).drop(ID, TEXT_HASH)
