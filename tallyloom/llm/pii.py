@@ -1,6 +1,6 @@
 """Personal data in texts: fixed patterns, and further spans by a semi-Markov random field.
 
-The field scores whole spans of up to ``MAX_TOKENS`` tokens: what a span looks like as a whole
+The field scores whole spans of up to ``MAX_TOKENS`` tokens (words joined by spelled dots are one): what a span looks like as a whole
 (digits, separators, check sums, words around it) decides on its kind and its borders at
 once. The best segmentation is found by dynamic programming with bounded span length.
 """
@@ -35,8 +35,13 @@ FIT_PASSAGES = 200
 #: A span is added only if the field gives it at least this share of all segmentations.
 MIN_PROBABILITY = 0.6
 
-_TOKEN = re.compile(r"\S+")
-_ANCHOR = re.compile(r"[0-9@]|[\[(<]at[\])>]|\bdot\b", re.IGNORECASE)
+# Words joined by spelled dots are one token, however many there are.
+_TOKEN = re.compile(
+    r"[A-Za-z0-9%+_.-]*[A-Za-z0-9](?:\s+[\[(<]?dot[\])>]?\s+[A-Za-z0-9-]+)+|\S+", re.IGNORECASE
+)
+#: What a span has at least: a digit, an @, a spelled at or dot; a bare "at" only before a domain.
+ANCHOR = r"[0-9@]|[\[(<]at[\])>]|\bdot\b|\bat\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_ANCHOR = re.compile(ANCHOR, re.IGNORECASE)
 _EDGE = ".,;:!?\"'|*#$%&<>[]{}"
 _WORDY = frozenset(("at", "dot", "(at)", "[at]", "(dot)", "[dot]", "<at>", "<dot>"))
 # Words before a number that say what it is.
@@ -44,6 +49,11 @@ PHONE_WORDS = frozenset("tel telephone phone call mobile cell fax whatsapp telef
 CARD_WORDS = frozenset("card visa mastercard amex credit debit karte carte tarjeta".split())
 IP_WORDS = frozenset("ip host server address addr ipv4 from".split())
 MAIL_WORDS = frozenset("mail email e-mail contact write courriel correo".split())
+# Words that come before "at" and a site, and are no name there.
+AT_WORDS = frozenset(
+    "look looking available hosted found visit site us here online live order book read more details "
+    "arrive arrived stay meet store shop info website page published posted released and or is are was".split()
+)
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -100,7 +110,8 @@ FEATURES = (
     "bias has_at at_word dot_word domain_end one_at long_local digits_4_8 digits_9_12 digits_13_19 "
     "digits_more only_digits letters two_letters quad octets dotted luhn groups_of_4 plus parens "
     "dashes blanks two_tokens three_tokens more_tokens clean_edges bad_edges phone_word card_word "
-    "ip_word mail_word hex leading_zero_group short_groups balanced"
+    "ip_word mail_word hex leading_zero_group short_groups balanced trunk_zero zero_and_phone_word "
+    "groups_3_2_4 common_word_at bare_at_domain"
 ).split()
 _INDEX = {name: i for i, name in enumerate(FEATURES)}
 
@@ -153,6 +164,11 @@ def span_features(span: str, n_tokens: int, before: str) -> list[int]:
         "leading_zero_group": any(len(g) > 1 and g[0] == "0" for g in groups[1:]),
         "short_groups": bool(groups) and max(map(len, groups)) <= 4,
         "balanced": span.count("(") == span.count(")"),
+        "trunk_zero": bool(re.match(r"0[1-9]", span)) and 7 <= n <= 12,
+        "zero_and_phone_word": bool(re.match(r"\(?0[1-9]", span)) and 7 <= n <= 12 and before in PHONE_WORDS,
+        "groups_3_2_4": [len(g) for g in groups] == [3, 2, 4],
+        "common_word_at": wordy_at > 0 and parts[0] in AT_WORDS,
+        "bare_at_domain": bool(re.match(r"\S+\s+at\s+\S+\.[a-z]{2,}$", low)),
     }
     return [_INDEX[name] for name, yes in has.items() if yes]
 
@@ -176,7 +192,7 @@ class Passage:
 
 
 def passages(text: str, taken: list[Span]) -> Iterator[Passage]:
-    """Stretches of tokens near an anchor (digit, @ or a spelled at), none of them taken.
+    """Stretches of tokens near an anchor (digit, @, a spelled at or dot), none of them taken.
 
     No other span can be personal data, so the best segmentation of the whole text is made of
     those of its passages. Tokens lose quotes and stops at their edges.
@@ -191,7 +207,8 @@ def passages(text: str, taken: list[Span]) -> Iterator[Passage]:
         while end > start and text[end - 1] in _EDGE:
             end -= 1
         if start < end:
-            if _ANCHOR.search(text, start, end):
+            # A bare "at" is one by what follows it.
+            if _ANCHOR.search(text, start, end) or (text[start:end].lower() == "at" and _ANCHOR.match(text, start)):
                 anchors.append(len(tokens))
             tokens.append((start, end))
     covered = sorted((s, e) for _, s, e in taken)
@@ -310,10 +327,15 @@ def variants(passage_text: str, gold: list[Span]) -> Iterator[tuple[str, list[Sp
     for kind, start, end in gold:
         span = passage_text[start:end]
         forms: list[tuple[str, bool]] = []
+        called: list[tuple[str, str]] = []
         if kind == 0:
             local, _, domain = span.partition("@")
             forms = [
-                (f"{local} at {domain.replace('.', ' dot ')}", domain.count(".") <= 2),
+                (f"{local} at {domain.replace('.', ' dot ')}", True),
+                (f"{local} at mail dot {domain.replace('.', ' dot ')}", True),
+                (f"{local} at {domain}", True),
+                (f"look at {domain}", False),
+                (f"available at www.{domain}", False),
                 (f"{local}(at){domain}", True),
                 (f"{local} [at] {domain}", True),
                 (f"{local} (at) {domain}", True),
@@ -333,9 +355,19 @@ def variants(passage_text: str, gold: list[Span]) -> Iterator[tuple[str, list[Sp
                 (f"{local[:3]}-{local[3:6]}-{local[6:]}", len(local) == 10),
                 (f"{local[:3]}.{local[3:6]}.{local[6:]}", len(local) == 10),
                 (f"00{digits[:2]} {digits[2:5]} {digits[5:]}", len(digits) > 8),
+                (f"{local[:3]}-{local[3:5]}-{local[5:9]}", False),
+                (f"0{local[1:4]} {local[4:8]}", False),
             ]
+            trunk = local.lstrip("0")
+            called = [
+                ("call", f"0{trunk[:2]} {trunk[2:9]}"), ("tel", f"0{trunk[:3]} {trunk[3:6]} {trunk[6:]}"),
+                ("phone", f"0{trunk[:3]}-{trunk[3:]}"), ("fax", f"0{trunk[:9]}"),
+            ]
         for form, is_one in forms:
             yield passage_text[:start] + form + passage_text[end:], [(kind, start, start + len(form))] if is_one else []
+        for word, form in called if len(called) and len(trunk) >= 8 else ():
+            at = start + len(word) + 1
+            yield f"{passage_text[:start]}{word} {form}{passage_text[end:]}", [(kind, at, at + len(form))]
 
 
 def examples_of(text: str) -> Iterator[tuple[str, list[Span]]]:
@@ -362,7 +394,8 @@ PLAIN = (
     "between 1914-1918 and 1939 - 1945", "meet at noon and dot the i at 5", "ratio 3 : 4 at 100 % of 250 ml",
     "id 7f3a9c21 commit 04dbebab91ab85687d33", "the sum of 100 200 300 400 is 1000", "1 (2) 3 - 4 . 5",
     "ISBN 978-3-16-148410-0 was printed", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" ok",
-    "call foo@bar and @name or x@y", "lat 48.8566 lon 2.3522 alt 35", "a 1234567890123456 b", "from 08:00 to 17:30 at 5 dot 3",
+    "ssn 123-45-6789 was given", "number 078-05-1120 and 219-09-9999", "look at example.com for more", "we arrive at 5.30 or at noon.Then",
+    "batch 0301 4567 of lot 0099 1234", "serial 0471 221 998 is old", "call foo@bar and @name or x@y", "lat 48.8566 lon 2.3522 alt 35", "a 1234567890123456 b", "from 08:00 to 17:30 at 5 dot 3",
 )
 
 
@@ -430,7 +463,8 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
     ``base`` are the spans of the fixed patterns, ``spans`` those and the ones the field adds:
     kind:start:end by kind and start, comma-joined, offsets in code points. A null or empty
     text has none; null ids stay null; repeated rows count again; other columns are not
-    read. Rows are independent and texts are read whole, one at a time.
+    read; an empty table gives no rows. Rows are independent and texts are read whole, one at a
+    time.
     """
     field = field or fit_field(docs)
     schema = "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string"
@@ -452,13 +486,14 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
             )
 
     # A text without digit, @ and a spelled at has no span: it need not go to Python.
-    may = F.col("text").rlike(r"[0-9@]|(?i:[\[(<]at[\])>]|dot)")
+    may = F.col("text").rlike(f"(?i){ANCHOR}")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(may, F.col("text")).alias("text"))
     return rows.mapInArrow(found, schema)
 
 
 def personal_data_digest(docs: DataFrame) -> DataFrame:
-    """The spans by document; the counts and the hash are those of the fixed patterns."""
+    """The spans by document; the counts and the hash are those of the fixed patterns. Nulls, empty
+    and long texts, repeated rows and empty tables: as for :func:`find_personal_data`."""
     found = find_personal_data(docs)
     return found.select(
         "doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans"
