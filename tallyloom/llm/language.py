@@ -39,20 +39,25 @@ class Grams:
         self.codes = np.where(letters, np.arange(0x110000), 32).astype(np.uint32)
 
     def counts(self, text: str) -> np.ndarray:
+        """Of the whole text; where it is cut the last codes are kept, and every n-gram counts in the
+        piece that holds its end."""
         total = np.zeros(BUCKETS, dtype=np.int64)
-        longest = max(ORDERS)
+        text = text.lower()
+        before = np.zeros(0, dtype=np.uint32)
         for start in range(0, len(text), PIECE_CHARS):
-            piece = text[max(0, start - longest + 1) : start + PIECE_CHARS].lower()
-            raw = np.frombuffer(piece.encode("utf-32-le", "replace"), dtype=np.uint32)
-            codes = self.codes[raw]
+            raw = np.frombuffer(text[start : start + PIECE_CHARS].encode("utf-32-le", "replace"), dtype=np.uint32)
+            codes = np.concatenate([before, self.codes[raw]])
             blank = codes == 32
-            codes = codes[np.append(True, ~(blank[1:] & blank[:-1]))]
+            single = np.append(True, ~(blank[1:] & blank[:-1]))
+            old = int(single[: len(before)].sum())
+            codes = codes[single]
             mixed = np.zeros(len(codes), dtype=np.uint32)
             for order in ORDERS:
                 # Multiplications wrap around, as wanted of a hash.
-                mixed = mixed[: len(codes) - order + 1] * np.uint32(0x9E3779B1) + codes[order - 1 :]
+                mixed = mixed[: max(0, len(codes) - order + 1)] * np.uint32(0x9E3779B1) + codes[order - 1 :]
                 slot = (mixed * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 12)
-                total += np.bincount(slot, minlength=BUCKETS)
+                total += np.bincount(slot[max(0, old - order + 1) :], minlength=BUCKETS)
+            before = codes[max(0, len(codes) - max(ORDERS) + 1) :]
         return total
 
 
@@ -168,7 +173,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     ``lang_pred`` is the language of the nearest centroid (of equally near ones the first by
     name), ``score`` its cosine, 0 to 1, ``rejected`` whether that is under the language's
     limit. A text that is null or without a letter is ``und`` with score 0 and rejected; so is
-    everything without a model. Whole texts are read, one at a time; rows are independent.
+    everything without a model. Whole texts are read, one at a time; rows are independent, so
+    repeated rows get the same answer each. An empty table gives no rows.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     text = F.when(has_letter(F.col("text")), F.col("text")).alias("_language_text")
@@ -207,7 +213,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def language_report(docs: DataFrame) -> DataFrame:
     """Predictions for all documents by a model that never saw those held out (crc32 of the
-    id modulo 4 is 2; a null id is held out as well)."""
+    id modulo 4 is 2; a null id is held out as well), one row for every row, repeated ones too;
+    null, empty and long texts and empty tables as in :func:`identify`."""
     held_out = F.coalesce(id_remainder(4) == 2, F.lit(True))
     model = fit(docs.filter(~held_out))
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))

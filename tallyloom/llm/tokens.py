@@ -13,9 +13,10 @@ from tallyloom.llm.shared import whole_text
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Characters handed to the encoder together, and those of one piece of a long text.
-BATCH_CHARS = 1_000_000
-PIECE_CHARS = 65_536
+#: Bytes handed to the encoder together (a piece more at most), and those of one piece of a long
+#: text.
+BATCH_BYTES = 1_000_000
+PIECE_BYTES = 65_536
 #: Lengths that a worker remembers.
 KNOWN_LENGTHS = 300_000
 # Fixed value: the vocabulary writes a blank as this character.
@@ -47,40 +48,51 @@ class Encoder:
         self.known: dict[str, int] = {}
 
     def counts(self, texts: Iterable[str]) -> list[int]:
-        """Tokens per text; the encoder gets batches of about equal size."""
+        """Tokens per text."""
         found: list[int] = []
-        batch: list[tuple[int, list[str], int]] = []
+        for batch in self.batches(texts, found):
+            self._encode([(i, *self._parts(piece)) for i, piece in batch], found)
+        return found
+
+    def batches(self, texts: Iterable[str], found: list[int]) -> Iterator[list[tuple[int, str]]]:
+        """Pieces with the number of their text, in batches of equal bytes: each is closed by the
+        piece with which it reaches ``BATCH_BYTES``. ``found`` gets a 0 for each text."""
+        batch: list[tuple[int, str]] = []
         size = 0
         for i, text in enumerate(texts):
             found.append(0)
-            for piece in self._pieces(text):
-                batch.append((i, *self._parts(piece)))
-                size += len(piece)
-                if size >= BATCH_CHARS:
-                    self._encode(batch, found)
+            for piece, n_bytes in self._pieces(text):
+                batch.append((i, piece))
+                size += n_bytes
+                if size >= BATCH_BYTES:
+                    yield batch
                     batch, size = [], 0
-        self._encode(batch, found)
-        return found
-
-    def _pieces(self, text: str) -> Iterator[str]:
-        """The text in pieces of at most ``PIECE_CHARS``, if it has blanks to cut at."""
-        start = 0
-        if self.cuts and len(text) > PIECE_CHARS:
-            text = text.replace(BLANK, " ")
-            while len(text) - start > PIECE_CHARS:
-                cut = self._cut(text, start)
+        if batch:
+            yield batch
+
+    def _pieces(self, text: str) -> Iterator[tuple[str, int]]:
+        """The text in pieces of about ``PIECE_BYTES``, if it has blanks to cut at, with their bytes."""
+        data = text.encode()
+        if self.cuts and len(data) > PIECE_BYTES:
+            data = text.replace(BLANK, " ").encode()
+            start = 0
+            while len(data) - start > PIECE_BYTES:
+                cut = self._cut(data, start)
                 if cut < 0:
                     break
-                yield text[start:cut]
+                yield data[start:cut].decode(), cut - start
                 start = cut + 1
-        if start < len(text):
-            yield text[start:] if start else text
-
-    def _cut(self, text: str, start: int) -> int:
-        """Place of a blank between two other parts, near the size of a piece; -1 if none."""
-        at = start + PIECE_CHARS
-        while (at := text.find(" ", at)) > 0 and at + 1 < len(text):
-            if text[at - 1] != " ":
+            if start < len(data):
+                yield data[start:].decode(), len(data) - start
+        elif text:
+            yield text, len(data)
+
+    def _cut(self, data: bytes, start: int) -> int:
+        """Place of a blank between two other parts, near the size of a piece; -1 if none. A blank's
+        byte is part of no other character."""
+        at = start + PIECE_BYTES
+        while (at := data.find(b" ", at)) > 0 and at + 1 < len(data):
+            if data[at - 1] != 32:
                 return at
             at += 1
         return -1
@@ -111,8 +123,8 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
 
     Neither begin, end nor added special tokens count; their strings inside a text are
     ordinary text. A null or empty text has 0 bytes and 0 tokens; a null id stays null; a
-    repeated row is counted again; other columns are not read. Very long texts are encoded
-    in pieces. Only lengths come back from Python.
+    repeated row is counted again; other columns are not read; an empty table gives no rows. Very
+    long texts are encoded in pieces. Only lengths come back from Python.
     """
     schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 

@@ -1,7 +1,11 @@
+import math
+
+import pytest
 from awkward import documents, none
 from pyspark.sql import functions as F
 
-from tallyloom.llm.language import fit, identify, language_report
+from tallyloom.llm import language
+from tallyloom.llm.language import BUCKETS, fit, identify, language_report
 from tallyloom.sources.tables import table
 
 
@@ -45,3 +49,62 @@ def test_nothing_to_learn_from(spark):
 def test_one_text_per_language(spark):
     got = language_report(documents(spark, [(1, "alpha beta gamma", "xx", None), (3, "ωμέγα δέλτα", "yy", None), (7, "alpha gamma", "zz", None)]))
     assert got.count() == 3
+
+
+def grams_by_hand(text):
+    """Counts of hashed n-grams, one character after the other."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    single = "".join(c for i, c in enumerate(letters) if c != " " or letters[i - 1 : i] != " ")
+    counts = [0] * BUCKETS
+    for order in (1, 2, 3):
+        for i in range(len(single) - order + 1):
+            h = 0
+            for c in single[i : i + order]:
+                h = (h * 0x9E3779B1 + ord(c)) % 2**32
+            counts[(h * 0x85EBCA6B % 2**32) >> 20] += 1
+    return counts
+
+
+def cosines_by_hand(text, model):
+    weighted = [math.log1p(n) * float(w) for n, w in zip(grams_by_hand(text), model.idf)]
+    length = math.sqrt(sum(x * x for x in weighted))
+    return [sum(a * float(b) for a, b in zip(weighted, centre)) / length for centre in model.centroids]
+
+
+def test_predictions_are_those_of_every_centroid_by_hand(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = fit(docs, fit_texts=60)
+    assert len(model.centroids) > len(set(model.names)) > 2
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in identify(docs, model).collect()}
+    checked = 0
+    for i, text in texts.items():
+        if not text or not any(c.isalpha() for c in text):
+            assert got[i].lang_pred == "und"
+            continue
+        if len(text) > 4000:
+            continue  # by hand they take long; the counts of long texts are compared below
+        cosines = cosines_by_hand(text, model)
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(got[i].score - cosines[best]) < 1e-4
+        assert got[i].lang_pred == model.names[best] or cosines[best] - cosines[model.names.index(got[i].lang_pred)] < 1e-4
+        assert got[i].rejected == (cosines[best] < model.limits[best]) or abs(cosines[best] - model.limits[best]) < 1e-4
+        checked += 1
+    assert checked > 100
+
+
+def test_frequencies_are_those_of_all_texts(spark):
+    rows = [(i, t, "en" if i % 2 else "de", "a") for i, t in enumerate(["ab ab", "abc", "xyz a", "b", "12", None, "Ünï"])]
+    model = fit(documents(spark, rows))
+    vectors = [grams_by_hand(t) for _, t, *_ in rows if t and any(c.isalpha() for c in t)]
+    for slot in range(BUCKETS):
+        seen = sum(v[slot] > 0 for v in vectors)
+        assert abs(model.idf[slot] - (math.log((1 + len(vectors)) / (1 + seen)) + 1)) < 1e-5
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 1 << 20])
+def test_a_cut_counts_nothing_twice(monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE_CHARS", piece)
+    grams = language.Grams()
+    for text in ("", "a", "ab", "  ab  c,d ÉF 12 gh", "a1b2c3" * 5, "x" * 20, "İstanbul ΣΑΣ ΣΑΣ."):
+        assert grams.counts(text).tolist() == grams_by_hand(text)

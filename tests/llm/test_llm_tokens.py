@@ -14,7 +14,7 @@ def plain():
 
 
 def test_any_text_counts_as_the_library_counts(monkeypatch):
-    monkeypatch.setattr(tokens, "PIECE_CHARS", 50)
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 50)
     encoder, library, dice = Encoder(), plain(), random.Random(3)
     texts = ["".join(dice.choice(PARTS) for _ in range(dice.randint(0, 200))) for _ in range(400)]
     texts += ["", " ", "  ", "▁", "a ", " a", "a" * 500]
@@ -34,3 +34,24 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert token_counts(none(documents(spark))).count() == 0
+
+
+def test_batches_are_equal_in_bytes_but_for_a_piece(monkeypatch):
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 200)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 1000)
+    dice = random.Random(4)
+    texts = ["日本 é word " * dice.choice([0, 1, 5, 300]) for _ in range(80)] + ["x" * 90, "", "日" * 60]
+    found = []
+    batches = list(Encoder().batches(texts, found))
+    size = lambda piece: len(piece.encode())
+    assert found == [0] * len(texts)
+    for batch in batches[:-1]:
+        sizes = [size(p) for _, p in batch]
+        assert 1000 <= sum(sizes) < 1000 + sizes[-1]
+    pieces = [size(p) for batch in batches for _, p in batch]
+    assert max(pieces) < 230  # cut at the first blank between words
+    joined = {}
+    for batch in batches:
+        for i, piece in batch:
+            joined.setdefault(i, []).append(piece)
+    assert {i: " ".join(p) for i, p in joined.items()} == {i: t for i, t in enumerate(texts) if t}
