@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
@@ -27,15 +27,6 @@ BYTES = 8
 WIDTH = 4
 #: Postings that one task group should hold; lists beyond twice that are compared in blocks.
 GROUP_ROWS = 4096
-#: The pipeline's stage: words of a shingle, least Jaccard similarity.
-STAGE_WIDTH, STAGE_SIMILARITY = 5, 0.8
-#: Texts whose shingles are counted, and frequent shingles kept, to put rare ones first. They
-#: change the cost, never the result.
-SAMPLE_TEXTS, FREQUENT = 20_000, 100_000
-#: Meetings that a round looks through: so many per posting, or at least so many.
-ROUND_SHARE, ROUND_LEAST = 4, 1_000_000
-#: Members of a list that are compared as one block.
-BLOCK_ROWS = 2048
 HASHES_AT_A_TIME = 1 << 16
 LINKS_AT_A_TIME = 1 << 18
 
@@ -58,22 +49,15 @@ def position_triples() -> list[tuple[int, int, int]]:
     ]
 
 
-def shingle_hashes(text: Column, width: int, distinct: bool = False, seed: int | None = None) -> Column:
+def shingle_hashes(text: Column, width: int) -> Column:
     """XXH64 (seed 42) of every shingle of ``width`` words; the whole sequence if it is shorter."""
 
-    def hashed(shingle: Column) -> Column:
-        return F.xxhash64(shingle) if seed is None else F.xxhash64(F.lit(seed), shingle)
-
     def of_row(row: Column) -> Column:
-        row = F.array_distinct(row) if distinct and width == 1 else row
-        if width == 1:
-            return F.transform(row, hashed)
         parts = F.transform(
             F.sequence(F.lit(1), F.greatest(F.size(row) - width + 1, F.lit(1))),
-            lambda i: hashed(F.array_join(F.slice(row, i, F.lit(width)), " ")),
+            lambda i: F.xxhash64(F.array_join(F.slice(row, i, F.lit(width)), " ")),
         )
-        found = F.when(F.size(row) == 0, F.array().cast("array<bigint>")).otherwise(parts)
-        return F.array_distinct(found) if distinct else found
+        return F.when(F.size(row) == 0, F.array().cast("array<bigint>")).otherwise(parts)
 
     return F.transform(F.array(words(ascii_lower(text))), of_row)[0]
 
@@ -89,33 +73,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def _spread(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The same hashes as other random numbers, for fingerprint number ``n``."""
-    if not n:
-        return hashes
-    x = hashes.view(np.uint64) + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
-
-
-def fingerprints(rows: DataFrame, names: str, hashes: Column, prints: int = 1) -> DataFrame:
-    """Columns ``names`` of ``rows`` and ``fps``, ``prints`` fingerprints of the shingle hashes."""
+def fingerprints(rows: DataFrame, names: str, hashes: Column) -> DataFrame:
+    """Columns ``names`` of ``rows`` and ``fp``, the fingerprint of the shingle hashes."""
     kept = [n.strip() for n in names.split(",")]
-    schema = ", ".join(f"`{n}` {dict(rows.dtypes)[n]}" for n in kept) + ", fps array<bigint>"
+    schema = ", ".join(f"`{n}` {dict(rows.dtypes)[n]}" for n in kept) + ", fp bigint"
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("h")
             values = column.values.to_numpy(zero_copy_only=False)
             ends = column.offsets.to_numpy()
-            found = [
-                [majority(_spread(values[ends[r] : ends[r + 1]], n)) for n in range(prints)]
-                for r in range(batch.num_rows)
-            ]
+            found = [majority(values[ends[r] : ends[r + 1]]) for r in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in kept), pa.array(found, pa.list_(pa.int64()))],
-                names=[*kept, "fps"],
+                [*(batch.column(n) for n in kept), pa.array(found, pa.int64())], names=[*kept, "fp"]
             )
 
     return rows.select(*kept, hashes.alias("h")).mapInArrow(printed, schema)
@@ -145,92 +115,43 @@ def _forest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, n: int) -> np.ndarra
     return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
-    """Indices of links that are among the ``most`` closest of one of their ends."""
-    end, other = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.lexsort((other, np.concatenate([bits, bits]), end))
-    starts = np.append(True, end[order][1:] != end[order][:-1])
-    place = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
-    return np.unique(order[place < most] % len(a))
-
-
-def _first_lists(differ: np.ndarray, max_bits: int) -> np.ndarray:
-    """The first list that two nodes share as near ones, from the differing bits of all their
-    fingerprints (a row per pair): place of the fingerprint * 32 + number of the triple."""
-    place = (np.bitwise_count(differ) <= max_bits).argmax(axis=1)
-    own = np.ascontiguousarray(differ[np.arange(len(differ)), place])
-    same = own.view(np.uint8).reshape(-1, BYTES) == 0
-    triples = np.stack([same[:, list(t)].all(axis=1) for t in position_triples()], axis=1)
-    return place * 32 + triples.argmax(axis=1)
-
-
 def links_of_postings(
-    code: np.ndarray,
-    fps: np.ndarray,
-    place: np.ndarray,
-    node: np.ndarray,
-    block: np.ndarray,
-    max_bits: int,
-    most: int | None,
+    code: np.ndarray, fp: np.ndarray, node: np.ndarray, block: np.ndarray, max_bits: int
 ) -> pd.DataFrame:
-    """Links within the posting lists of one group: a forest, or the ``most`` closest of each
-    node. ``fps`` has a row per posting; ``place`` says which fingerprint the list is of. Of
-    two blocks only links from one to the other are looked for.
-
-    Two nodes share many lists, but a close link is close in each of them: with ``most`` it
-    is returned by the group of the first list only, so the rows are not many times the links.
-    """
+    """A forest of the links within the posting lists of one group, the closest ones first. Of
+    two blocks only links from one to the other are looked for."""
     order = np.lexsort((node, code))
-    code, fps, node, block = code[order], fps[order].view(np.uint64), node[order], block[order]
-    own = fps[np.arange(len(order)), place[order]]
+    code, fp, node, block = code[order], fp[order].view(np.uint64), node[order], block[order]
     two_blocks = len(block) > 0 and block.min() != block.max()
-    # A link is a pair of rows; that of the smallest list of the group comes first.
-    p, q = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    bits = np.zeros(0, dtype=np.int64)
+    a, b, bits = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
     def fewer() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = node[p], node[q]
-        if most is None:
-            nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
-            kept = _forest(ids[: len(a)], ids[len(a) :], bits, len(nodes))
-        else:
-            sorting = np.lexsort((code[p], b, a))
-            new = np.append(True, (a[sorting][1:] != a[sorting][:-1]) | (b[sorting][1:] != b[sorting][:-1]))
-            once = sorting[new[: len(sorting)]]
-            kept = once[_nearest(a[once], b[once], bits[once], most)]
-        return p[kept], q[kept], bits[kept]
+        nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
+        kept = _forest(ids[: len(a)], ids[len(a) :], bits, len(nodes))
+        return a[kept], b[kept], bits[kept]
 
     for step in range(1, len(code)):
         i = np.nonzero(code[step:] == code[:-step])[0]
         if not len(i):
             break
-        differ = own[i] ^ own[i + step]
+        differ = fp[i] ^ fp[i + step]
         shared = (differ.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
         near = (shared >= BYTES - max_bits) & (node[i] != node[i + step])
         if two_blocks:
             near &= block[i] != block[i + step]
-        near[near] = np.bitwise_count(differ[near]) <= max_bits
+        apart = np.bitwise_count(differ).astype(np.int64)
+        near &= apart <= max_bits
         i = i[near]
-        p, q = np.append(p, i), np.append(q, i + step)
-        apart = np.bitwise_count(fps[i] ^ fps[i + step]).sum(axis=1, dtype=np.int64)
-        bits = np.append(bits, apart)
-        if len(p) > LINKS_AT_A_TIME:
-            p, q, bits = fewer()
-    p, q, bits = fewer()
-    if most is not None and len(p):
-        here = (code[p] >> 32) * 32 + ((code[p] >> 24) & 31)
-        first = here == _first_lists(fps[p] ^ fps[q], max_bits)
-        p, q, bits = p[first], q[first], bits[first]
-    return pd.DataFrame({"a": np.minimum(node[p], node[q]), "b": np.maximum(node[p], node[q]), "bits": bits})
-
-
-def near_links(prints: DataFrame, max_bits: int = MAX_BITS, most: int | None = None) -> DataFrame:
-    """(a, b, bits): links between ``node`` s of ``prints``, a stored table with one row per node,
-    of which one of the ``fps`` (compared by place) differs in at most ``max_bits`` bits. ``bits``
-    counts the differing bits of all ``fps``.
-
-    Without ``most`` there are enough links to join all nodes that such links join. With it,
-    there are the links that are among the ``most`` closest of one of their ends.
+        a, b, bits = np.append(a, node[i]), np.append(b, node[i + step]), np.append(bits, apart[near])
+        if len(a) > LINKS_AT_A_TIME:
+            a, b, bits = fewer()
+    a, b, bits = fewer()
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "bits": bits})
+
+
+def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b, bits): enough links to join all ``node`` s of ``prints``, a stored table with one row
+    per node, that are joined by fingerprints ``fp`` of ``max_bits`` or fewer differing bits.
 
     Postings are grouped by a hash of their list, a bounded number of rows each. A group that
     a long list makes larger is cut into blocks by node, and every two blocks are compared in
@@ -247,17 +168,9 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, most: int | None = N
         )
         for number, t in enumerate(position_triples())
     ]
-    n = prints.agg(F.count("*").alias("n"), F.max(F.size("fps")).alias("k")).first()
-    groups = max(1, math.ceil(n.n * (n.k or 1) * len(codes) / GROUP_ROWS))
-    places = [f"f{i}" for i in range(n.k or 1)]
-    held = prints.select("node", "fps", *(F.get("fps", F.lit(i)).alias(f) for i, f in enumerate(places)))
-    each = held.select("node", *places, F.posexplode("fps").alias("place", "fp"))
-    postings = each.select("node", *places, "place", F.explode(F.array(*codes)).alias("code")).select(
-        F.pmod(F.xxhash64("place", "code"), F.lit(groups)).alias("g"),
-        (F.col("place").cast("bigint") * (1 << 32) + F.col("code")).alias("code"),
-        "place",
-        *places,
-        "node",
+    groups = max(1, math.ceil(prints.count() * len(codes) / GROUP_ROWS))
+    postings = prints.select("node", "fp", F.explode(F.array(*codes)).alias("code")).select(
+        F.pmod(F.xxhash64("code"), F.lit(groups)).alias("g"), "code", "fp", "node"
     )
     crowded = written(
         postings.groupBy("g").count().filter(F.col("count") > 2 * GROUP_ROWS)
@@ -270,25 +183,36 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, most: int | None = N
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         .select(
             "g", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-            "code", "place", *places, "node", "own",
+            "code", "fp", "node", "own",
         )
     )
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
-        fps = np.ascontiguousarray(group[places].to_numpy())
-        code, place, node, block = (group[c].to_numpy() for c in ("code", "place", "node", "own"))
-        return links_of_postings(code, fps, place, node, block, max_bits, most)
-
-    found = dealt.groupBy("g", "low", "high").applyInPandas(linked, "a bigint, b bigint, bits bigint")
-    if most is None:
-        return found.distinct()
-    found = written(found.distinct())
-    ends = found.select(F.col("a").alias("end"), F.col("b").alias("other"), "bits").unionByName(
-        found.select(F.col("b").alias("end"), F.col("a").alias("other"), "bits")
-    )
-    closest = Window.partitionBy("end").orderBy("bits", "other")
-    ends = ends.withColumn("_rn", F.row_number().over(closest)).filter(F.col("_rn") <= most)
-    return ends.select(F.least("end", "other").alias("a"), F.greatest("end", "other").alias("b"), "bits").distinct()
+        return links_of_postings(*(group[c].to_numpy() for c in ("code", "fp", "node", "own")), max_bits)
+
+    return dealt.groupBy("g", "low", "high").applyInPandas(linked, "a bigint, b bigint, bits bigint").distinct()
+
+
+ID, TEXT_HASH = "_simhash_id", "_simhash_th"
+
+
+def _grouped(docs: DataFrame, width: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ID, TEXT_HASH and ``fp`` of every row; ``fp`` and ``root``, a fingerprint of its
+    group, of every fingerprint. Both are stored.
+
+    Equal fingerprints become one node before anything is compared, so exact copies cost
+    nothing further.
+    """
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), known_id().alias(ID), text_hash().alias(TEXT_HASH),
+        whole_text().alias("text"),
+    )
+    made = fingerprints(rows, f"doc_id, {ID}, {TEXT_HASH}", shingle_hashes(F.col("text"), width))
+    prints = written(made)
+    nodes = written(prints.select("fp").distinct())
+    links = near_links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits)
+    member = components(links.select("a", "b")).select(F.col("node").alias("fp"), "root")
+    return prints, written(nodes.join(member, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
 def fingerprint_groups(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
@@ -299,23 +223,11 @@ def fingerprint_groups(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_
     fewer words is one shingle; a text without a word (null, empty, blank) has fingerprint 0
     and is linked like any other. Rows link at ``max_bits`` or fewer differing bits;
     ``component_id`` is the smallest id reachable (null if all are null). Repeated rows and ids
-    give a row each; other columns are not read; texts of any length are read whole.
-
-    Equal fingerprints become one node before anything is compared, so exact copies cost
-    nothing further.
+    give a row each; other columns are not read; texts of any length are read whole. An empty table gives no rows.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), known_id().alias("id"), whole_text().alias("text")
-    )
-    made = fingerprints(rows, "doc_id, id", shingle_hashes(F.col("text"), width))
-    prints = written(made.select("doc_id", "id", F.get("fps", F.lit(0)).alias("fp")))
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    links = near_links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), max_bits)
-    member = components(links.select("a", "b")).select(F.col("node").alias("fp"), "root")
-    placed = written(
-        nodes.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    )
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    prints, placed = _grouped(docs, width, max_bits)
+    nodes = prints.groupBy("fp").agg(F.min(ID).alias("least"))
+    smallest = nodes.join(placed, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = placed.join(smallest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         "doc_id",
@@ -324,218 +236,26 @@ def fingerprint_groups(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_
     )
 
 
-ID, TEXT_HASH, NODE = "_simhash_id", "_simhash_th", "_simhash_node"
-
-
-def one_of_each(
-    docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY
-) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest id stays, once.
-
-    Texts with the same sequence of words (A-Z lower-cased) are copies. Others are near copies
-    if the Jaccard similarity of their shingles of ``width`` words is ``similarity`` or more;
-    groups are connected through such pairs, and no such pair is missed. Texts without words
-    are copies of each other. Null ids come after all others; all columns are returned as they
-    are.
+def one_of_each(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each group of ``fingerprint_groups``: the one with the smallest id
+    (of equal ids the one with the smallest hash of its text), once.
 
-    With all shingles in one order, two near copies share one of the first of each, as many as
-    a near copy may lack and one more. Lists of the texts by these shingles (rare ones first)
-    therefore hold every pair. Each text is first checked against the smallest of its lists;
-    then pairs that share a list and are still in different groups are checked, in rounds of
-    bounded size, until none is left: pairs do not grow with the square of a group.
+    Null ids come after all others. Texts without a word have fingerprint 0 and are one group
+    with all that is near it. Repeated rows are one row. All columns are returned as they are,
+    whatever their names; an empty table gives no rows. Texts are shuffled only where rows
+    repeat throughout, or where more rows go than can be sent to all executors.
     """
+    prints, placed = _grouped(docs, width, max_bits)
+    name = F.struct(ID, TEXT_HASH)
+    nodes = prints.groupBy("fp").agg(F.min(name).alias("first"))
+    firsts = nodes.join(placed, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    of_print = placed.join(firsts, "root").select("fp", "first")
+    # Rows are counted by fingerprint and name first, so no group's copies meet in one task.
+    rows = prints.groupBy("fp", ID, TEXT_HASH).agg(F.count("*").alias("n")).join(of_print, "fp")
+    rows = written(rows.select(ID, TEXT_HASH, "n", (name == F.col("first")).alias("stays")))
     keyed = docs.withColumns({ID: known_id(), TEXT_HASH: text_hash()})
-    plain = F.array_join(words(ascii_lower(whole_text())), " ")
-    rows = keyed.select(ID, TEXT_HASH, plain.alias("plain"))
-    shingles = shingle_hashes(F.col("plain"), width, distinct=True)
-    order = _frequent(rows, shingles, docs.count())
-    named = rows.select(ID, TEXT_HASH, F.xxhash64("plain").alias(NODE), shingles.alias("h"))
-    texts = written(_prefixes(named, similarity, *order))
-    nodes = written(
-        texts.groupBy(NODE).agg(
-            F.min(F.struct(ID, TEXT_HASH)).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-        )
-    )
-    member = _near_groups(rows, nodes, width, similarity)
-    placed = nodes.select(F.col(NODE).alias("node"), "first").join(member, "node", "left")
-    kept = placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col(f"first.{ID}").alias(ID), F.col(f"first.{TEXT_HASH}").alias(TEXT_HASH))
-    stays = keyed.join(kept, [ID, TEXT_HASH], "left_semi")
-    return stays.dropDuplicates([ID, TEXT_HASH]).drop(ID, TEXT_HASH)
-
-
-def _frequent(rows: DataFrame, shingles: Column, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that repeat most in a share of the texts, sorted, and how often they do."""
-    share = max(1, n_rows // SAMPLE_TEXTS)
-    sample = rows.filter(F.pmod(F.xxhash64(ID, TEXT_HASH), F.lit(share)) == 0)
-    found = (
-        sample.select(F.explode(shingles).alias("h")).groupBy("h").count().filter("count > 1")
-        .orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
-    )
-    found = np.array(sorted(tuple(r) for r in found), dtype=np.int64).reshape(-1, 2)
-    return found[:, 0].copy(), found[:, 1].copy()
-
-
-def _prefixes(named: DataFrame, similarity: float, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """ID, TEXT_HASH, NODE, ``n`` shingles, and ``prefix``: the first of them in the order of
-    all shingles, one more than a near copy may lack."""
-    names = [ID, TEXT_HASH, NODE]
-
-    def cut(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        often = np.zeros(len(values), dtype=np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-            often = np.where(known[at] == values, counts[at], 0)
-        order = np.lexsort((values, often, row))
-        place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        taken = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
-        return values[order[place < taken[row]]], taken
-
-    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("h")
-            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            start = 0
-            while start < batch.num_rows:
-                most = ends[start] + 16 * HASHES_AT_A_TIME
-                stop = max(start + 1, int(np.searchsorted(ends, most, side="right")) - 1)
-                sizes = np.diff(ends[start : stop + 1]).astype(np.int64)
-                prefix, taken = cut(values[ends[start] : ends[stop]], sizes)
-                offsets = np.append(0, np.cumsum(taken)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(start, stop - start) for c in names),
-                        pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)),
-                    ],
-                    names=[*names, "n", "prefix"],
-                )
-                start = stop
-
-    schema = ", ".join(f"`{c}` bigint" for c in names) + ", n int, prefix array<bigint>"
-    return named.select(*names, "h").mapInArrow(cut_all, schema)
-
-
-def _near_groups(rows: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, root) of the nodes that have a near copy."""
-    postings = nodes.select(F.col(NODE).alias("node"), "n", F.posexplode("prefix").alias("pos", "code"))
-    heads = postings.groupBy("code").agg(F.count("*").alias("c"), F.min("node").alias("head"))
-    shared = written(
-        postings.join(heads.filter("c > 1"), "code").select("code", "node", "n", "pos", "head")
-    )
-    shingles = _shingles_of(rows, nodes, shared.select("node").distinct(), width)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        # The side with the fewer repeats comes first; a hot other side then is a skewed join.
-        right = pairs.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        both = right.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return written(
-            both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-        )
-
-    first = shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    links = near(first.distinct())
-    bound = max(ROUND_LEAST, ROUND_SHARE * shared.count())
-    done = 0.0
-    while True:
-        member = written(components(links))
-        if done >= 1:
-            return member
-        placed = shared.drop("head").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_root = placed.groupBy("code", "root").agg(F.count("*").alias("c"))
-        open_lists = written(
-            by_root.groupBy("code")
-            .agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("k"))
-            .filter("k > 1")
-        )
-        meetings = open_lists.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0]
-        if not meetings:
-            return member
-        upto = min(1.0, done + bound / meetings)
-        links = links.unionByName(near(_open_pairs(placed, open_lists, similarity, done, upto)))
-        done = upto
-
-
-def _open_pairs(
-    placed: DataFrame, open_lists: DataFrame, similarity: float, low: float, high: float
-) -> DataFrame:
-    """(a, b) of different roots that share a list and can be near copies by size and by the
-    number of lists they share; of all pairs those with a hash from ``low`` to ``high``.
-
-    Long lists are cut into blocks by node; every two blocks meet in a task group of their own.
-    """
-    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
-    groups = max(1, math.ceil((open_lists.agg(F.sum("m")).first()[0] or 0) / GROUP_ROWS))
-    dealt = (
-        placed.join(open_lists.select("code", blocks.alias("blocks")), "code")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.when(F.col("blocks") > 1, F.col("code")).otherwise(F.pmod("code", F.lit(groups))).alias("g"),
-            F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-            "code", "node", "root", "n", "pos", "own",
-        )
-    )
-
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["code", "node"])
-        code, node, root, n, pos, own = (group[c].to_numpy() for c in ("code", "node", "root", "n", "pos", "own"))
-        two_blocks = group["lo"].iloc[0] != group["hi"].iloc[0]
-        tally: list[np.ndarray] = []
-
-        def folded() -> pd.DataFrame:
-            rows = np.concatenate(tally) if tally else np.zeros((0, 5), dtype=np.int64)
-            frame = pd.DataFrame(rows, columns=["a", "b", "na", "nb", "c"])
-            return frame.groupby(["a", "b", "na", "nb"], as_index=False)["c"].sum()
-
-        held = 0
-        for step in range(1, len(code)):
-            same = code[step:] == code[:-step]
-            if not same.any():
-                break
-            apart = same & (root[step:] != root[:-step])
-            if two_blocks:
-                apart &= own[step:] != own[:-step]
-            i = np.nonzero(apart)[0]
-            j = i + step
-            ni, nj = n[i].astype(np.int64), n[j].astype(np.int64)
-            wanted = similarity / (1 + similarity) * (ni + nj) - 1e-6
-            most = np.minimum(pos[i], pos[j]) + np.minimum(ni - pos[i], nj - pos[j])
-            fits = (np.minimum(ni, nj) >= similarity * np.maximum(ni, nj) - 1e-6) & (most >= wanted)
-            with np.errstate(over="ignore"):
-                x = node[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ node[j].view(np.uint64)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            share = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-            fits &= (share >= low) & (share < high)
-            i, j, ni, nj = i[fits], j[fits], ni[fits], nj[fits]
-            tally.append(np.stack([node[i], node[j], ni, nj, np.ones(len(i), dtype=np.int64)], axis=1))
-            held += len(i)
-            if held > LINKS_AT_A_TIME:
-                tally = [folded().to_numpy(dtype=np.int64)]
-                held = len(tally[0]) // 2
-        return folded()
-
-    schema = "a bigint, b bigint, na bigint, nb bigint, c bigint"
-    pairs = dealt.groupBy("g", "lo", "hi").applyInPandas(met, schema)
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-
-    # Beyond what the two prefixes share, one of the two texts has no more than its rest to share.
-    def rest(n: str) -> Column:
-        return F.ceil(similarity * F.col(n) - 1e-9) - 1
-
-    wanted = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
-    return pairs.filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= wanted).select("a", "b")
-
-
-def _shingles_of(rows: DataFrame, nodes: DataFrame, linked: DataFrame, width: int) -> DataFrame:
-    """Different shingle hashes of the ``linked`` nodes, each from its first row."""
-    firsts = (
-        nodes.select(F.col(NODE).alias("node"), "first.*").join(linked, "node")
-        .dropDuplicates([ID, TEXT_HASH])
-    )
-    found = rows.join(firsts, [ID, TEXT_HASH]).dropDuplicates(["node"])
-    hashes = shingle_hashes(F.col("plain"), width, distinct=True)
-    return written(found.select("node", hashes.alias("shingles")))
+    once = rows.filter(F.col("stays") & (F.col("n") > 1)).select(ID, TEXT_HASH)
+    aside = rows.filter(~F.col("stays")).select(ID, TEXT_HASH).unionByName(once)
+    single = keyed.join(aside, [ID, TEXT_HASH], "left_anti")
+    repeated = keyed.join(once, [ID, TEXT_HASH], "left_semi").dropDuplicates([ID, TEXT_HASH])
+    return single.unionByName(repeated).drop(ID, TEXT_HASH)
