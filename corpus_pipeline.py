@@ -36,7 +36,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
+    """One document of each SimHash group stays, the one with the smallest id; texts without a
+    word are one group with those near them, repeated rows one row."""
     return simhash.one_of_each(docs)
 
 
