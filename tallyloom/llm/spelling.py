@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tallyloom.llm.shared import LOWER, UPPER, ascii_lower, written
 from tallyloom.llm.sql import crc32_sql
@@ -35,8 +35,10 @@ SHORTEST, LONGEST = 2, 6
 LIST_WORDS, FREQUENT = 64, 50_000
 #: Lists are merged pair by pair up to this length, longer ones are cut further.
 PAIRED_WORDS = 256
-#: Postings that one task group should hold.
-GROUP_ROWS = 100_000
+#: Low bits of a list's key: its longest gram.
+LEVEL_BITS = 3
+#: Words that one task makes the postings of, and postings that one task group should hold.
+TASK_WORDS, GROUP_ROWS = 20_000, 100_000
 #: Words beyond this length are verified one by one, shorter ones in arrays.
 ARRAY_LETTERS = 32
 
@@ -120,39 +122,56 @@ def affected_by_one_edit(word: str, grams: list[tuple[int, int]], longest: int,
     return max(*reach, before)
 
 
-def _levels(length: int) -> Iterator[tuple[int, int]]:
-    """(longest gram, shorter length of a pair) in which words of a length are compared: with
-    equal or longer words, and with words shorter by one."""
-    found = {min(LONGEST, shorter // 2) for shorter in (length - 1, length)}
-    return iter(sorted(found))
+def level_of(shorter: int) -> int:
+    """The longest gram of the lists in which a word is compared with equally long and longer ones."""
+    return min(LONGEST, shorter // 2)
 
 
-def _key(*parts: object) -> int:
-    return int.from_bytes(blake2b("\n".join(map(str, parts)).encode(), digest_size=8).digest(), "big", signed=True)
+def _key(level: int, *parts: object) -> int:
+    """64 bits as a signed number, the last of them the level. Equal keys of different lists make
+    lists longer, not results wrong."""
+    bits = xxh3_64_intdigest("\n".join(map(str, parts))) >> LEVEL_BITS << LEVEL_BITS | level
+    return bits - (bits >> 63 << 64)
 
 
 def listed_under(word: str, frequent: dict[str, int], endings: set[str]) -> list[tuple[int, int, int]]:
-    """(key, from, to) of the lists a word is in: a gram with all before it (what comes after is
-    open), or with all after it (what comes before is open)."""
+    """(key, start, end) of the lists a word is in: a gram with all before it, or a gram with all
+    after it. What lies from start to end, on the other side, is open."""
     found = []
-    for longest in _levels(len(word)):
-        grams = cut_into_grams(word, longest, frequent)
-        reach = affected_by_one_edit(word, grams, longest, endings)
+    for level in sorted({level_of(len(word) - 1), level_of(len(word))}):
+        grams = cut_into_grams(word, level, frequent)
+        reach = affected_by_one_edit(word, grams, level, endings)
         rare = sorted(grams, key=lambda g: (frequent.get(word[slice(*g)], 0), word[slice(*g)], g))
         for start, end in rare[: reach + 1]:
-            found.append((_key(longest, "before", end, word[:end]), end, len(word)))
-            found.append((_key(longest, "after", len(word) - start, word[start:]), 0, start))
+            found.append((_key(level, "before", word[:end]), end, len(word)))
+            found.append((_key(level, "after", word[start:]), 0, start))
     return found
 
 
-def cut_further(key: int, word: str, start: int, end: int) -> set[int]:
-    """Keys of the parts of a long list: near words of a list agree in what is left when a code
-    point of the open part is taken out of one of them, or the same one of both."""
-    keys = {_key(key, "as it is", word)}
-    for i in range(start, end):
-        rest = word[:i] + word[i + 1 :]
-        keys |= {_key(key, "as it is", rest), _key(key, i, len(word), rest)}
-    return keys
+def halved(key: int, word: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(key, start, end) of the parts of a long list that a word is in.
+
+    The open parts of two near words of a list are one edit apart: what stands on one side of the
+    middle is the same. Words of one length are cut at their middle; a longer one meets those that
+    are shorter by one where it is cut at theirs. Parts of one open place or none need no further
+    cut: their words are near, or differ in what was cut.
+    """
+    level, opened = key & (1 << LEVEL_BITS) - 1, word[start:end]
+    for size in (len(opened), len(opened) - 1):
+        longer = len(opened) > size
+        if size < 0:
+            continue
+        if size == 0:
+            yield _key(level, key, 0), 0, 0
+        elif size == 1:
+            for code in set(opened):
+                yield _key(level, key, 1, code), 0, 0
+            if not longer:
+                yield _key(level, key, 1), 0, 0
+        else:
+            half = size // 2
+            yield _key(level, key, size, "a", opened[:half]), start + half, end
+            yield _key(level, key, size, "b", opened[half + longer :]), start, start + half + longer
 
 
 def _aligned(words: list[bytes], right: bool) -> np.ndarray:
@@ -213,46 +232,48 @@ def near_words(words: DataFrame) -> DataFrame:
     for ``words`` with ``word`` (different words of at least ``MIN_LENGTH`` letters) and ``n``.
     Rows may repeat.
 
-    No list is dropped or cut short. Lists of more than ``PAIRED_WORDS`` words are cut by what is
-    left of the words when a code point of their open part is taken out, which near words of a
-    list agree in; their parts hold near words and little else. So a task group holds a bounded
-    number of postings, and pairs that are no links never leave it.
+    No list is dropped or cut short. Lists of more than ``PAIRED_WORDS`` words are cut by the halves
+    of what is open in them, again and again until they are short or their words differ in one
+    place. So a task group holds a bounded number of postings, and pairs that are no links never
+    leave it.
     """
     frequent = frequent_grams(words)
     endings = {g[k:] for g in frequent for k in range(1, len(g))}
     schema = "key bigint, start int, end int, word string, n bigint"
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+
+    def rows_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "end", "word", "n"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (*at, word, n)
-                for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist())
-                for at in listed_under(word, frequent, endings)
-            ]
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64())
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "end", "word", "n"])
+            named = zip(batch.column("word").to_pylist(), batch.column("n").to_pylist())
+            yield from rows_of([(*at, word, n) for word, n in named for at in listed_under(word, frequent, endings)])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (key, r["word"], r["n"])
-                for r in batch.to_pylist()
-                for key in cut_further(r["key"], r["word"], r["start"], r["end"])
-            ]
-            if rows:
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "word", "n"])
-
-    postings = written(words.select("word", "n").mapInArrow(post, schema))
-    sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    # Lists of one word meet nobody.
-    shared = written(postings.join(sizes, "key"))
-    short = F.col("size") <= PAIRED_WORDS
-    lists = shared.filter(short).select("key", "word", "n")
-    lists = written(lists.unionByName(shared.filter(~short).mapInArrow(cut, "key bigint, word string, n bigint")))
-    groups = max(1, math.ceil(lists.count() / GROUP_ROWS))
+            named = zip(*(batch.column(c).to_pylist() for c in ("key", "word", "start", "end", "n")))
+            yield from rows_of([(*at, r[1], r[4]) for r in named for at in halved(*r[:4])])
+
+    # The vocabulary is small beside the work that a word makes.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, math.ceil(words.count() / TASK_WORDS))
+    rows = written(words.select("word", "n").repartition(tasks, "word").mapInArrow(post, schema))
+    lists, postings = None, 0
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("end") - F.col("start")).alias("open"))
+        # Lists of one word meet nobody.
+        shared = written(rows.join(sizes.filter("size > 1"), "key"))
+        long = (F.col("size") > PAIRED_WORDS) & (F.col("open") > 0)
+        counts = shared.agg(F.count_if(long).alias("long"), F.count_if(~long).alias("short")).first()
+        short = shared.filter(~long).select("key", "word", "n")
+        lists, postings = short if lists is None else lists.unionByName(short), postings + counts["short"]
+        if not counts["long"]:
+            break
+        rows = written(shared.filter(long).select("key", "word", "start", "end", "n").mapInArrow(halve, schema))
+    groups = max(1, math.ceil(postings / GROUP_ROWS))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", kind="stable")
@@ -261,12 +282,15 @@ def near_words(words: DataFrame) -> DataFrame:
         pairs = Pairs(words)
         ends = np.searchsorted(key, key, side="right")
         place = np.arange(len(key))
+        level = key & (1 << LEVEL_BITS) - 1
         found, apart = [], 1
         while True:  # every word with the next one of its list, the one after that, ...
-            a = place[place + apart < ends[place]]
-            if not len(a):
+            place = place[place + apart < ends[place]]
+            if not len(place):
                 break
-            place = a
+            # Words of two levels are compared in that of the shorter one.
+            shorter = np.minimum(pairs.length[place], pairs.length[place + apart])
+            a = place[np.minimum(LONGEST, shorter // 2) == level[place]]
             good = a[pairs.near(a, a + apart)]
             found.append(np.stack([good, good + apart]))
             apart += 1
@@ -275,7 +299,7 @@ def near_words(words: DataFrame) -> DataFrame:
         words = np.array(words, dtype=object)
         return pd.DataFrame({"word": words[here], "near": words[there], "n": n[there]}).drop_duplicates()
 
-    bucket = F.pmod("key", F.lit(groups)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("bucket")
     return (
         lists.select(bucket, "key", "word", "n").groupBy("bucket")
         .applyInPandas(merge, "word string, near string, n bigint")
