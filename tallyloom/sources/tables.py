@@ -5,10 +5,13 @@ Each returns a lazy frame; columns a query does not use never leave the scan.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.calendar import hour_start, with_calendar
+from tallyloom.functions.hashing import hashes_below, stable_hash
 
 YEARS = tuple(range(1995, 2002))
 YEAR_COLUMNS = tuple(f"y{year}" for year in YEARS)
@@ -41,6 +44,21 @@ def impressions(spark: SparkSession, folder: str) -> DataFrame:
     return with_calendar(log)
 
 
+#: Share of clicks in the planted log, and what a site and the evening add to it.
+PLANTED_RATE, PLANTED_SITE, PLANTED_EVENING = 0.1, 0.5, 0.2
+PLANTED_SEED = 7
+
+
+def planted_clicks(spark: SparkSession, folder: str) -> DataFrame:
+    """The click log with clicks by a rule that models can find: one site and the evening have more."""
+    site, evening = F.col("site_category") == "site_1", F.col("hour_in_day") >= 18
+    below = lambda share: F.lit(hashes_below(round(share, 6)))
+    both = F.when(site & evening, below(PLANTED_RATE + PLANTED_SITE + PLANTED_EVENING))
+    limit = both.when(site, below(PLANTED_RATE + PLANTED_SITE)).when(evening, below(PLANTED_RATE + PLANTED_EVENING))
+    rate = limit.otherwise(below(PLANTED_RATE))
+    return impressions(spark, folder).withColumn("click", stable_hash("id", PLANTED_SEED) < rate)
+
+
 def event_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """The measures of the event stream, with calendar columns and the code C1."""
     events = table(spark, folder, "events").select(
@@ -77,8 +95,10 @@ def site_categories(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def region_year(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per region and one money column per year.
+def region_year(spark: SparkSession, folder: str, years: Sequence[int] = YEARS) -> DataFrame:
+    """One row per region and one money column for each of the years.
+
+    Orders of other years belong to no column; :func:`orders_outside` tells of them.
 
     Orders are folded by customer before they meet the customer table: a customer with a
     third of all orders is one row by then, and the join needs no second shuffle.
@@ -86,20 +106,33 @@ def region_year(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     price = F.col("o_totalprice").cast(MONEY)
     year = F.year("o_orderdate")
+    names = [f"y{y}" for y in years]
     yearly = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        *[F.sum(F.when(year == y, price)).alias(c) for y, c in zip(YEARS, YEAR_COLUMNS)]
+        *[F.sum(F.when(year == y, price)).alias(c) for y, c in zip(years, names)]
     )
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     by_nation = (
         yearly.join(customers, "c_custkey")
         .groupBy(F.col("c_nationkey").alias("n_nationkey"))
-        .agg(*[F.sum(c).alias(c) for c in YEAR_COLUMNS])
+        .agg(*[F.sum(c).alias(c) for c in names])
     )
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     return (
         by_nation.join(nations, "n_nationkey")
         .groupBy(F.col("n_name").alias("district"))
-        .agg(*[F.sum(c).cast("double").alias(c) for c in YEAR_COLUMNS])
+        .agg(*[F.sum(c).cast("double").alias(c) for c in names])
+    )
+
+
+def orders_outside(spark: SparkSession, folder: str, years: Sequence[int] = YEARS) -> DataFrame:
+    """``orders`` and ``total`` that no year of the regional table holds (no year at all included),
+    beside ``all_orders``: one row."""
+    outside = ~F.coalesce(F.year("o_orderdate").isin(*years), F.lit(False))
+    price = F.col("o_totalprice").cast(MONEY)
+    return table(spark, folder, "orders").agg(
+        F.count_if(outside).alias("orders"),
+        F.coalesce(F.sum(F.when(outside, price)), F.lit(0)).cast("double").alias("total"),
+        F.count(F.lit(1)).alias("all_orders"),
     )
 
 

@@ -155,3 +155,59 @@ def test_hours_do_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert hours == cut == [datetime.datetime(2024, 3, 10, 2), datetime.datetime(2024, 11, 3, 1)]
+
+
+def broken(tmp_path):
+    """Lines with a fault of each kind, among them good ones and empty fields."""
+    good = [line(i, i % 2, "14102113", 1, 1) for i in range(4)]
+    lines = [
+        *good,
+        good[0].rsplit(",", 1)[0],  # a field too few
+        good[1] + ",9,9",  # two too many
+        line(10, "maybe", "14102113", 1, 1),
+        line(11, 1, "noon", "x", 1),
+        line(12, "", "", "", ""),  # empty fields are missing values
+        line(13, " TRUE ", "14102113", " 7 ", 1),
+        "",
+        "garbage",
+    ]
+    path = tmp_path / "broken.csv"
+    path.write_text("\n".join([",".join(NAMES), *lines]) + "\n")
+    return str(path), len(lines) - 1
+
+
+def test_good_and_rejected_rows_are_all_lines(spark, tmp_path):
+    path, n = broken(tmp_path)
+    checked = files.check_click_log(spark, path)
+    counts = {r.reason: r.rows for r in files.reject_counts(checked).collect()}
+    assert counts == {"lines": n, "good": 6, "rejected": n - 6, "fields": 3, "click": 1, "hour": 1, "banner_pos": 1}
+    rejected = {(r.id, tuple(r.reasons)): r.line for r in files.rejects(checked).collect()}
+    ids = {i for i, _ in rejected}
+    assert str(10**18 + 10) in ids and str(10**18 + 11) in ids
+    assert rejected[str(10**18 + 11), ("hour", "banner_pos")] is None
+    assert sorted(v for v in rejected.values() if v)[-1] == "garbage"
+    assert all(r.source.endswith("broken.csv") for r in files.rejects(checked).collect())
+
+
+def test_good_rows_are_those_of_the_plain_scan(spark, tmp_path):
+    path, _ = broken(tmp_path)
+    good = files.good_rows(files.check_click_log(spark, path))
+    plain = files.read_click_log(spark, path)
+    assert good.dtypes == plain.dtypes
+    ids = [r.id for r in good.collect()]
+    assert len(ids) == 6
+    same = plain.where(F.col("id").isin(ids) & F.col("C21").isNotNull() & (F.col("site_id") == "0"))
+    assert sorted(map(tuple, good.collect()), key=str) == sorted({tuple(r) for r in same.collect()} & {tuple(r) for r in good.collect()}, key=str)
+
+
+def test_checked_scan_of_reordered_columns(spark, tmp_path):
+    names = [*reversed(NAMES), "more"]
+    path = write(tmp_path / "r.csv", names, [values(1, more="x"), values(2, click="7", more="y")])
+    checked = files.check_click_log(spark, path)
+    assert [(r.id, r.more) for r in files.good_rows(checked).collect()] == [("1", "x")]
+    assert [(r.id, r.reasons) for r in files.rejects(checked).collect()] == [("2", ["click"])]
+    short = write(tmp_path / "s.csv", [n for n in NAMES if n != "hour"], [values()])
+    with pytest.raises(ValueError, match="no column hour"):
+        files.check_click_log(spark, short)
+    empty = write(tmp_path / "e.csv", NAMES, [])
+    assert files.reject_counts(files.check_click_log(spark, empty)).count() == 0
