@@ -5,7 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    SQLTransformer,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+    VectorSlicer,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +88,83 @@ def encoder(
     )
 
 
+#: Bits of a value's hash that choose its slot.
+SLOT_BITS = 60
+
+
+def _slot_sql(column: str, slots: int) -> str:
+    """SQL of the slot of a value: bits of an md5 of its text, the same for every run and table."""
+    text = f"md5(concat('{column}=', CAST(`{column}` AS STRING)))"
+    return f"CAST(conv(substring({text}, 1, {SLOT_BITS // 4}), 16, 10) AS BIGINT) % {slots}"
+
+
+def hashed_slots(df: DataFrame, columns: Sequence[str], slots: int, *ids: str) -> DataFrame:
+    """``column`` and ``slot`` of the value of each column, one row per input row and column; a null
+    has none."""
+    if slots < 1:
+        raise ValueError("at least one slot is needed")
+    entries = [
+        F.struct(F.lit(c).alias("column"), F.expr(_slot_sql(c, slots)).alias("slot")) for c in columns
+    ]
+    return df.select(*ids, F.inline(F.array(*entries))).where("slot IS NOT NULL")
+
+
+def hash_collisions(df: DataFrame, columns: Sequence[str], slots: int) -> DataFrame:
+    """What hashing costs, per column: different ``values``, ``slots`` in use, values and rows that
+    share a slot with another value (``shared_values``, ``shared_rows``). Columns without a value
+    have no row. Values are counted where they are shuffled to, none goes through the driver."""
+    entries = [
+        F.struct(
+            F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), F.expr(_slot_sql(c, slots)).alias("slot")
+        )
+        for c in columns
+    ]
+    long = df.select(F.inline(F.array(*entries))).where("value IS NOT NULL")
+    values = long.groupBy("column", "slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    by_slot = values.groupBy("column", "slot").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
+    shared = F.col("values") > 1
+    return by_slot.groupBy("column").agg(
+        F.sum("values").alias("values"),
+        F.count(F.lit(1)).alias("slots"),
+        F.coalesce(F.sum(F.when(shared, F.col("values"))), F.lit(0)).alias("shared_values"),
+        F.coalesce(F.sum(F.when(shared, F.col("n"))), F.lit(0)).alias("shared_rows"),
+    )
+
+
+def hashing_encoder(
+    features: Sequence[str] = MODEL_FEATURES,
+    encoded: Sequence[str] = ENCODED,
+    slots: int = 1024,
+) -> Pipeline:
+    """Like :func:`encoder`, but each encoded column has a fixed number of slots, and the hash of a
+    value chooses its own.
+
+    For columns of any number of values: fitting reads nothing, no value reaches the driver, and
+    the vector has the same length for every log. A value that was not seen before has a slot as
+    well; a null is 0 in every slot. Values that share a slot count as one:
+    :func:`hash_collisions` tells how many do.
+    """
+    if slots < 2:
+        raise ValueError("at least two slots are needed")
+    named = [f"{c}_slot" for c in encoded]
+    indexed = [f"{c}_index" for c in encoded]
+    hot = [f"{c}_hot" for c in encoded]
+    added = ", ".join(f"CAST({_slot_sql(c, slots)} AS STRING) AS `{n}`" for c, n in zip(encoded, named))
+    numbers = [str(i) for i in range(slots)]
+    indexer = StringIndexerModel.from_arrays_of_labels(
+        [numbers] * len(named), inputCols=named, outputCols=indexed, handleInvalid="keep"
+    )
+    numeric = [c for c in features if c not in encoded]
+    return Pipeline(
+        stages=[
+            SQLTransformer(statement=f"SELECT *, {added} FROM __THIS__"),
+            indexer,
+            OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
+            VectorAssembler(inputCols=numeric + hot, outputCol="features"),
+        ]
+    )
+
+
 def long_features(
     df: DataFrame,
     fitted: PipelineModel,

@@ -80,10 +80,10 @@ def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
         F.max("n").alias("freq"),
     )
-    return _every_column(found, columns, "count", "unique")
+    return every_column(found, columns, "count", "unique")
 
 
-def _every_column(found: DataFrame, columns: Sequence[str], *counts: str) -> DataFrame:
+def every_column(found: DataFrame, columns: Sequence[str], *counts: str) -> DataFrame:
     """A row for each of the columns, its counts 0 where nothing was found."""
     names = found.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(found, "column", "left").withColumns(
@@ -116,4 +116,4 @@ def count_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .distinct()
     )
     found = counted.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    return _every_column(found, columns, "n_distinct")
+    return every_column(found, columns, "n_distinct")

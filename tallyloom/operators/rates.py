@@ -192,10 +192,18 @@ def rate_summary(
     as small as the product of the keys' value counts (these are report dimensions: hours,
     days, positions). ``total`` names an extra table of a single row over everything.
     """
+    folded = fold_counts(df, list(charts.values()), click)
+    return summary_of_counts(folded, charts, total)
+
+
+def fold_counts(df: DataFrame, keys: Sequence[str], click: str = "click") -> DataFrame:
+    """Clicks and impressions for each combination of the keys."""
+    return df.groupBy(*keys).agg(clicks(click).alias("clicks"), impressions(click).alias("impressions"))
+
+
+def summary_of_counts(folded: DataFrame, charts: Mapping[str, str], total: str | None = None) -> DataFrame:
+    """The same table from counts by the keys of all charts; counts of equal keys add up."""
     keys = list(charts.values())
-    folded = df.groupBy(*keys).agg(
-        clicks(click).alias("clicks"), impressions(click).alias("impressions")
-    )
     sets: list[list[Column]] = [[F.col(k)] for k in keys]
     if total:
         sets.append([])

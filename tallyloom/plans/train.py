@@ -71,8 +71,11 @@ def prepare(
     target: str = features.TARGET,
     share: float = 1.0,
     seed: int = SEED,
+    slots: int | None = None,
 ) -> Prepared:
     """Split, fold and encode a log. ``share`` bounds the rows fitted on, never the test rows.
+    With ``slots`` encoded columns are hashed into so many slots each, however many values they
+    have; without it every value has a slot, and all of them pass through the driver.
 
     Impressions without a label belong to no part.
 
@@ -98,7 +101,11 @@ def prepare(
     folded = features.fold_equal_rows(rows, *columns, "label", *parts)
     ensure_checkpoint_dir(log.sparkSession)
     folded = folded.checkpoint()
-    encoder = features.encoder(columns, encoded).fit(folded.where("NOT is_test"))
+    if slots is None:
+        stages = features.encoder(columns, encoded)
+    else:
+        stages = features.hashing_encoder(columns, encoded, slots)
+    encoder = stages.fit(folded.where("NOT is_test"))
     return Prepared(folded, tuple(columns), encoder)
 
 
@@ -133,9 +140,11 @@ def forest(prepared: Prepared, **settings) -> PipelineModel:
     return PipelineModel([*prepared.encoder.stages, fitted])
 
 
-def train(log: DataFrame, key: str = "id", share: float = MODEL_SHARE, **settings) -> Trained:
+def train(
+    log: DataFrame, key: str = "id", share: float = MODEL_SHARE, slots: int | None = None, **settings
+) -> Trained:
     """Penalty path, feature selection, boosted trees, scored test rows."""
-    prepared = prepare(log, key, share=share)
+    prepared = prepare(log, key, share=share, slots=slots)
     path = models.penalty_path(prepared.train_in_folds)
     c = models.choose_penalty(path)
     first = logistic(prepared, c)

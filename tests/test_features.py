@@ -71,3 +71,43 @@ def test_model_frame(spark):
     df = spark.createDataFrame([(1, 5, True, "no")], "id int, f int, click boolean, other string")
     out = features.model_frame(df, ["f"], "click", "id")
     assert out.dtypes == [("id", "int"), ("f", "int"), ("label", "int")]
+
+
+def test_hashing_needs_no_pass_over_the_values(spark, frame):
+    """Fitting reads nothing: it succeeds on a frame whose rows cannot be computed."""
+    failing = frame.withColumn("site", F.when(F.lit(True), F.raise_error(F.lit("read"))).cast("string"))
+    model = features.hashing_encoder(["hour", "site", "banner"], ["site", "banner"], 8).fit(failing)
+    encoded = model.transform(frame)
+    names = features.feature_names(encoded)
+    assert names == ["hour", *[f"{c}_{i}" for c in ("site", "banner") for i in range(8)]]
+    slots = {(r.hour, r.column): r.slot for r in features.hashed_slots(frame, ["site", "banner"], 8, "hour").collect()}
+    assert len(slots) == 6 and all(0 <= s < 8 for s in slots.values())
+    for r in encoded.select("hour", "features").collect():
+        wanted = {"hour": float(r.hour)}
+        wanted |= {f"{c}_{slots[r.hour, c]}": 1.0 for c in ("site", "banner") if (r.hour, c) in slots}
+        assert dict(zip((names[i] for i in r.features.indices), r.features.values)) == wanted
+
+
+def test_hashing_an_unseen_value_and_many_values(spark):
+    wide = spark.range(5000).select(F.concat(F.lit("v"), "id").alias("site"), F.lit(1).alias("hour"))
+    model = features.hashing_encoder(["hour", "site"], ["site"], 64).fit(wide.limit(1))
+    vectors = [r[0] for r in model.transform(wide).select("features").collect()]
+    assert {v.size for v in vectors} == {65} and {len(v.indices) for v in vectors} == {2}
+    with pytest.raises(ValueError):
+        features.hashing_encoder(slots=1)
+
+
+def test_collisions(spark):
+    rows = [("x", i % 50) for i in range(500)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "site string, code int")
+    slots = {r.slot for r in features.hashed_slots(df, ["code"], 16).distinct().collect()}
+    found = {r.column: r for r in features.hash_collisions(df, ["site", "code"], 16).collect()}
+    assert tuple(found["site"])[1:] == (1, 1, 0, 0)
+    by_slot = {}
+    for r in features.hashed_slots(df, ["code"], 16, "code").distinct().collect():
+        by_slot.setdefault(r.slot, set()).add(r.code)
+    shared = [v for s in by_slot.values() if len(s) > 1 for v in s]
+    in_shared = sum(10 + (v == 3) for v in shared)
+    assert tuple(found["code"])[1:] == (50, len(slots), len(shared), in_shared)
+    assert features.hash_collisions(df.where("false"), ["site"], 4).count() == 0
+    assert {r.column: r.shared_values for r in features.hash_collisions(df, ["code"], 2**40).collect()} == {"code": 0}
