@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.evaluate import rounded, weighted_f1
-from tallyloom.operators.features import kept_slots
+from tallyloom.operators.features import ZERO_COEFFICIENT, kept_slots
 from tallyloom.session import ensure_checkpoint_dir
 
 # Seven inverse penalties, evenly spaced in logarithm from 0.001 to 1; limits
@@ -66,43 +66,92 @@ class PathPoint:
     kept: float
 
 
-def penalty_path(
+def at_optimum(data: DataFrame, model: LogisticRegressionModel, c: float, l1: float = 1.0) -> DataFrame:
+    """How far a fit on ``data`` is from its optimum, feature by feature: ``slot`` (-1 for the
+    intercept), ``coefficient``, the ``slope`` of the weighted mean loss, the ``penalty`` in the
+    same units, and what is left ``apart``.
+
+    At the optimum the slope and the penalty's own slope cancel out; at a coefficient of zero the
+    lasso's penalty outweighs the slope. The intercept has no penalty. One aggregate over the rows.
+    """
+    total = F.sum("weight")
+    values = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    scored = model.transform(data).withColumn("_off", F.col("weight") * (vector_to_array("probability")[1] - F.col("label")))
+    long = scored.select("_off", "weight", F.posexplode(values).alias("slot", "value"))
+    slopes = long.groupBy("slot").agg((F.sum(F.col("_off") * F.col("value")) / total).alias("slope"), total.alias("_total"))
+    found = [float(x) for x in model.coefficients]
+    rows = [*enumerate(found), (len(found), float(model.intercept))]
+    named = data.sparkSession.createDataFrame(rows, "slot int, coefficient double")
+    inside = F.col("slot") < len(found)
+    penalty = F.when(inside, 1 / (c * F.col("_total"))).otherwise(0.0)
+    own = penalty * (l1 * F.signum("coefficient") + (1 - l1) * F.col("coefficient"))
+    zero = F.abs("coefficient") < ZERO_COEFFICIENT
+    at_zero = F.greatest(F.abs("slope") - l1 * penalty, F.lit(0.0))
+    apart = F.when(zero & inside & F.lit(l1 > 0), at_zero).otherwise(F.abs(F.col("slope") + own))
+    return named.join(slopes, "slot").select(
+        F.when(inside, F.col("slot")).otherwise(-1).alias("slot"), "coefficient", "slope",
+        penalty.alias("penalty"), apart.alias("apart"),
+    )
+
+
+@dataclass(frozen=True)
+class FoldFit:
+    """A fit on all folds but one, and what it gave on that one."""
+
+    c: float
+    fold: int
+    weighted_f1: float
+    model: LogisticRegressionModel
+
+
+def fold_fits(
     data: DataFrame,
     penalties: Sequence[float] = PENALTIES,
     folds: int = FOLDS,
     parallelism: int = 4,
-) -> list[PathPoint]:
-    """Mean weighted F1 and mean number of kept features over the folds, per penalty.
+) -> list[FoldFit]:
+    """Lasso fits for every penalty and fold.
 
     ``data`` carries a ``fold`` column. The fits are independent, so ``parallelism`` of them
-    share the cluster at a time. The figures are one row per penalty.
+    share the cluster at a time.
     """
 
     data = data.persist()
     by_fold = {row[0]: row[1] for row in data.groupBy("fold").agg(F.sum("weight")).collect()}
 
-    def one(job: tuple[float, int]) -> tuple[float, float, int]:
+    def one(job: tuple[float, int]) -> FoldFit:
         c, fold = job
         total = sum(w for at, w in by_fold.items() if at != fold)
         model = fit_logistic(data.where(F.col("fold") != fold), c, total=total)
         scored = model.transform(data.where(F.col("fold") == fold))
-        f1 = weighted_f1(scored, weight="n").first()[0]
-        return c, f1, len(kept_slots(model.coefficients))
+        return FoldFit(c, fold, weighted_f1(scored, weight="n").first()[0], model)
 
     jobs = [(c, fold) for fold in range(folds) for c in penalties]
     try:
         with ThreadPool(parallelism) as pool:
-            done = pool.map(inheritable_thread_target(data.sparkSession)(one), jobs)
+            return pool.map(inheritable_thread_target(data.sparkSession)(one), jobs)
     finally:
         data.unpersist()
-    return [
-        PathPoint(
-            c,
-            sum(f1 for at, f1, _ in done if at == c) / folds,
-            sum(kept for at, _, kept in done if at == c) / folds,
-        )
-        for c in penalties
-    ]
+
+
+def path_of(fits: Sequence[FoldFit]) -> list[PathPoint]:
+    """Mean weighted F1 and mean number of kept features per penalty."""
+    points = []
+    for c in dict.fromkeys(fit.c for fit in fits):
+        own = [fit for fit in fits if fit.c == c]
+        kept = sum(len(kept_slots(fit.model.coefficients)) for fit in own)
+        points.append(PathPoint(c, sum(fit.weighted_f1 for fit in own) / len(own), kept / len(own)))
+    return points
+
+
+def penalty_path(
+    data: DataFrame,
+    penalties: Sequence[float] = PENALTIES,
+    folds: int = FOLDS,
+    parallelism: int = 4,
+) -> list[PathPoint]:
+    """Mean weighted F1 and mean number of kept features over the folds, per penalty."""
+    return path_of(fold_fits(data, penalties, folds, parallelism))
 
 
 def choose_penalty(path: Sequence[PathPoint], tolerance: float = 0.01) -> float:

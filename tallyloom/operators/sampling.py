@@ -12,6 +12,7 @@ that are equal throughout are counted, and as many of them as needed fall on eit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
@@ -49,16 +50,41 @@ def train_test(
     return df.where(~test), df.where(test)
 
 
-def sample_exact(df: DataFrame, key: Key, k: int, seed: int) -> DataFrame:
-    """Exactly ``k`` rows (all if there are fewer), whatever the key."""
+def sample_exact(df: DataFrame, key: Key, k: int, seed: int, about: int | None = None) -> DataFrame:
+    """Exactly ``k`` rows (all if there are fewer), whatever the key.
+
+    Given ``about`` how many rows there are (from a file's footer, its size, or an earlier run), the
+    table is read once: rows whose hash could be among the first ``k`` are kept as they pass, and
+    the cut is made among those. Nothing is held in a task. If they turn out too few, as there are
+    fewer rows than said, the table is read again; the rows are the same in any case.
+    """
     if k < 0:
         raise ValueError("k must not be negative")
     if k == 0:
         return df.limit(0)
+    if about is not None:
+        first = _first_rows(df, key, k, seed, about)
+        if first is not None:
+            return first
     marked = mark_after(df, key, lambda n: [F.least(F.lit(k), n)], seed, ["_after"])
     return marked.where("NOT _after").drop("_after")
 
 
+#: Standard deviations of a count that a single pass allows for.
+SPARE = 6
+
+
+def _first_rows(df: DataFrame, key: Key, k: int, seed: int, about: int) -> DataFrame | None:
+    """The first ``k`` rows from one pass; None if fewer passed the limit."""
+    if about <= k:
+        return None
+    limit = min(1.0, (k + SPARE * math.sqrt(k) + SPARE) / about)
+    near = pin(df.where(row_hash(df, key, seed) < F.lit(int(limit * 2**HASH_BITS))))
+    if near.count() < k:
+        return None
+    return sample_exact(near, key, k, seed)
+
+
 def stratified_test(
     df: DataFrame,
     key: Key,
@@ -156,13 +182,29 @@ def mark_after(
         cut = F.col(c)
         equal = equal | ((cut["copies"] > 1) & (F.col("_hash") == cut["hash"]) & (F.col("_tie") == cut["tie"]))
     equal = F.coalesce(equal & applies, F.lit(False))
-    copies = joined.where(equal).groupBy(*joined.columns).agg(F.count(F.lit(1)).alias("_n"))
-    copies = copies.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).drop("_n")
-    rows = joined.where(~equal).withColumn("_i", F.lit(1).cast("bigint")).unionByName(copies)
+    rows = joined.where(~equal).withColumn("_i", F.lit(1).cast("bigint")).unionByName(_numbered(joined.where(equal)))
     after = {m: F.when(applies, _beyond(F.col(c))) for m, c in zip(marks, names)}
     return rows.withColumns(after).select(*df.columns, *marks)
 
 
+def _numbered(copies: DataFrame) -> DataFrame:
+    """Rows with ``_i``, which numbers those of one ``_hash`` and ``_tie`` from 1.
+
+    They are numbered part by part, as they lie, and shifted by the sizes of the parts before: a row
+    with very many copies is spread over as many tasks as it came from.
+    """
+    same, part = ["_hash", "_tie"], "_part"
+    placed = {part: F.spark_partition_id(), "_place": F.monotonically_increasing_id()}
+    held = pin(copies.withColumns(placed))
+    earlier = Window.partitionBy(*same).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = held.groupBy(*same, part).agg(F.count(F.lit(1)).alias("_n")).select(
+        *same, part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = F.row_number().over(Window.partitionBy(*same, part).orderBy("_place"))
+    numbered = held.withColumn("_i", inside).join(before, [*same, part])
+    return numbered.withColumn("_i", F.col("_i") + F.col("_before")).select(*copies.columns, "_i")
+
+
 def _order(df: DataFrame, key: Key, seed: int) -> tuple[Column, Column]:
     """The two hashes rows are ordered by. That of all columns stands in for a missing key."""
     any_without = df.where(key_is_null(key)).limit(1).count() > 0

@@ -178,3 +178,39 @@ def test_keys_of_several_columns_do_not_run_together(spark):
     df = spark.createDataFrame(rows, "x string, y string, z string")
     hashes = [r[0] for r in df.select(stable_hash(["x", "y", "z"], 1)).collect()]
     assert len(set(hashes)) == len(rows)
+
+
+def test_copies_of_one_row_are_numbered_where_they_lie(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"), F.lit("x").alias("v"))
+    df = df.repartition(7).withColumns({"_hash": F.xxhash64("k"), "_tie": F.xxhash64("k", "v")})
+    rows = sampling._numbered(df)
+    assert rows.columns == [*df.columns, "_i"]
+    hot = sorted(r._i for r in rows.where("k = -1").collect())
+    assert hot == list(range(1, 3334))
+    assert {r._i for r in rows.where("k >= 0").collect()} == {1}
+
+
+@pytest.mark.parametrize("k", [1, 1000, 3000, 4999])
+def test_exact_sample_of_copies(spark, k):
+    df = spark.range(5000).select(F.lit("same").alias("k"), (F.col("id") % 2).alias("v")).repartition(5)
+    kept = sampling.sample_exact(df, "k", k, 3)
+    assert kept.count() == k
+    both = {r.v: r["count"] for r in kept.groupBy("v").count().collect()}
+    assert k < 2500 and len(both) == 1 or k > 2500 and 2500 in both.values()
+
+
+@pytest.mark.parametrize("about, scans", [(3000, 1), (2500, 1), (6000, None), (100_000, None), (10, None)])
+def test_exact_sample_from_one_scan(spark, log, about, scans):
+    """The same rows as by counting; the rows of the source are read once if the number is right."""
+    wanted = {r.id for r in sampling.sample_exact(log, "id", 200, 4).collect()}
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    source = log.where("id IS NOT NULL").mapInPandas(counted, "id bigint, label string")
+    got = sampling.sample_exact(source, "id", 200, 4, about=about)
+    assert {r.id for r in got.collect()} == wanted and len(wanted) == 200
+    assert scans is None or seen.value == scans * 3000
