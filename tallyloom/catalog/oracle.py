@@ -100,6 +100,13 @@ def _test_rows(more: str) -> str:
 NATIONS = tuple(f"NATION_{i}" for i in range(25))
 
 
+PLANTED = f"""{IMPRESSIONS}, planted AS (
+  SELECT {_hash(SEED + 1)} < {_hashes(3)} AS is_test, {_hash(7)} < CASE
+      WHEN site_category = 'site_1' AND hour_in_day >= 18 THEN {_hashes(8)} WHEN site_category = 'site_1' THEN {_hashes(6)}
+      WHEN hour_in_day >= 18 THEN {_hashes(3)} ELSE {_hashes(1)} END AS click
+  FROM impressions)"""
+
+
 def _rates(key: str, source: str = IMPRESSIONS) -> str:
     return f"""
     WITH {source} SELECT {key}, clicks, impressions, round(100.0::DOUBLE * clicks / impressions, 6) AS rate
@@ -187,6 +194,42 @@ _model_columns = (
 )
 
 
+WIDE = ("id", "hour", "hour_in_day", *CODES)
+PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+LATER_DAYS = "2024-01-16"
+
+# Faults of the broken log, by id.
+FAULTS = """
+faults AS (
+  SELECT id, id % 97 = 5 AS cut, id % 89 = 3 AS unclear, id % 83 = 7 AS noon FROM impressions
+)
+"""
+
+
+def _slot(column: str, slots: int) -> str:
+    return f"(('0x' || substr(md5('{column}=' || {column}::VARCHAR), 1, 15))::BIGINT % {slots})"
+
+
+def _top(columns, k: int, table: str) -> str:
+    return f"""SELECT "column", value, n, place::INT AS place FROM (
+      SELECT "column", value, count(*) AS n,
+        row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS place
+      FROM ({_long(columns, table)}) WHERE value IS NOT NULL GROUP BY ALL) WHERE place <= {k}"""
+
+
+def _collisions(columns, slots: int) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, {_slot(c, slots)} AS slot, count(*) AS n "
+        f"FROM impressions WHERE {c} IS NOT NULL GROUP BY ALL"
+        for c in columns
+    )
+    return f"""
+    SELECT "column", sum(v)::BIGINT AS "values", count(*) AS slots,
+      coalesce(sum(v) FILTER (v > 1), 0)::BIGINT AS shared_values,
+      coalesce(sum(n) FILTER (v > 1), 0)::BIGINT AS shared_rows
+    FROM (SELECT "column", slot, count(*) AS v, sum(n) AS n FROM ({parts}) GROUP BY ALL) GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     imp = f"WITH {IMPRESSIONS} "
     regions = f"WITH {REGIONS} "
@@ -213,8 +256,61 @@ def oracle_sql() -> dict[str, str]:
         + ' FROM region_year) SELECT "column", value, count(*) AS n FROM ('
         + _long([f"class_y{y}_total_in_rupees" for y in YEARS], table="cut")
         + ") GROUP BY ALL",
+        "report_by_parts": _report(IMPRESSIONS),
+        "counted_parts": imp
+        + f"""SELECT CASE WHEN day < '{LATER_DAYS}' THEN 1 ELSE 2 END::BIGINT AS run, day,
+          count(*) FILTER (click) AS clicks, count(*) AS impressions
+        FROM (SELECT *, strftime(hour, '%Y-%m-%d') AS day FROM impressions) GROUP BY ALL""",
+        "published_report": f"""
+        SELECT 1 AS "set", * FROM ({_report(
+            IMPRESSIONS + f", early AS (SELECT * FROM impressions WHERE hour < '{LATER_DAYS}')"
+        ).replace("FROM impressions GROUP", "FROM early GROUP")})
+        UNION ALL SELECT 2, * FROM ({_report(IMPRESSIONS)})""",
+        "rejected_lines": imp
+        + f""", {FAULTS}, marked AS (SELECT CASE WHEN cut OR unclear OR noon THEN 'rejected' ELSE 'good' END AS kind, * FROM faults)
+        SELECT reason, count(*) AS rows FROM (
+          SELECT 'lines' AS reason FROM faults UNION ALL SELECT kind FROM marked
+          UNION ALL SELECT 'fields' FROM faults WHERE cut UNION ALL SELECT 'click' FROM faults WHERE unclear
+          UNION ALL SELECT unnest(['hour', 'C1']) FROM faults WHERE noon) GROUP BY 1""",
+        "good_lines": imp
+        + f""", {FAULTS} SELECT i.id::VARCHAR AS id, i.* EXCLUDE (id) FROM impressions i
+        JOIN faults f ON i.id = f.id AND NOT (cut OR unclear OR noon)""",
+        "reject_table": imp
+        + f""", {FAULTS} SELECT id::VARCHAR AS id, concat_ws(',', CASE WHEN cut THEN 'fields' END,
+          CASE WHEN unclear THEN 'click' END, CASE WHEN noon THEN 'hour,C1' END) AS reasons, cut AS has_line
+        FROM faults WHERE cut OR unclear OR noon""",
+        "merged_distinct": imp
+        + f"""SELECT "column", count(DISTINCT value) AS exact, true AS "within", true AS as_direct
+        FROM ({_long(WIDE)}) GROUP BY 1""",
+        "distinct_by_day": imp
+        + f""", days AS (SELECT * FROM impressions WHERE strftime(hour, '%Y-%m-%d') IN ('{LATER_DAYS}', '2024-01-17'))
+        SELECT "column", count(DISTINCT value) AS n_distinct FROM ({_long(CODES, "days")}) GROUP BY 1""",
+        "sketched_quantiles": imp
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", unnest({list(PROBABILITIES)})::DOUBLE AS probability, "
+            f"(SELECT count({c}) FROM {t}) AS count, true AS \"within\""
+            for c, t in (("value", "events"), ("user_id", "events"), ('"C1"', "impressions"))
+        ).replace("'\"C1\"'", "'C1'"),
+        "top_values": imp + _top(CODES, 5, "impressions") + " UNION ALL " + _top(("user_id", "props"), 10, "events"),
+        "hashed_slots": imp
+        + " UNION ALL ".join(
+            f"SELECT hour, id, '{c}' AS \"column\", {_slot(c, 16)} AS slot FROM impressions"
+            for c in ("site_category", "app_category", "banner_pos", "id")
+        ),
+        "hash_collisions": imp + _collisions(("site_category", "app_category", "banner_pos", "C1", "id"), 64),
+        "hashed_features": imp
+        + "SELECT * FROM ("
+        + " UNION ALL ".join(
+            [f"SELECT id, '{c}' AS feature, {c}::DOUBLE AS value FROM impressions"
+             for c in ("weekday", "hour_in_day", "device_conn_type", "device_type")]
+            + [f"SELECT id, '{c}_' || {_slot(c, 16)} AS feature, 1::DOUBLE AS value FROM impressions"
+               for c in ("site_category", "app_category", "banner_pos")]
+        )
+        + ") WHERE value <> 0",
         "sample_exact_k": imp
         + f"SELECT id, click, banner_pos FROM impressions ORDER BY {_hash(SEED)}, id LIMIT 500",
+        "sample_exact_once": imp
+        + f"SELECT id, click, banner_pos FROM impressions ORDER BY {_hash(SEED)}, id LIMIT 500",
         "report_summary": _report(IMPRESSIONS),
         "profile_info": _info(),
         "table_shape": imp + "SELECT count(*) AS rows, 15::BIGINT AS columns FROM impressions",
@@ -244,6 +340,9 @@ def oracle_sql() -> dict[str, str]:
         "model_columns": imp + f"SELECT id, {_model_columns}, click::INT AS label FROM impressions",
         "regions_in_class": classed + "SELECT district FROM classed WHERE class_y1995 = 'Low'",
         "filter_range": regions + "SELECT * FROM region_year WHERE y1998 >= 20000000",
+        "orders_outside_years": """SELECT count(*) FILTER (NOT coalesce(year(o_orderdate) BETWEEN 1996 AND 2001, false)) AS orders,
+          coalesce(sum(o_totalprice::DECIMAL(18,2)) FILTER (NOT coalesce(year(o_orderdate) BETWEEN 1996 AND 2001, false)), 0)::DOUBLE
+          AS total, count(*) AS all_orders FROM orders""",
         "classify_constant": regions + f"SELECT *, {_constant} FROM region_year",
         "classify_mean": regions
         + f""", region_all AS (SELECT * FROM region_year UNION ALL BY NAME
@@ -338,6 +437,12 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT district FROM classed WHERE class_y{y} = 'High'" for y in YEARS
         ),
         "always_high": classed + f"SELECT DISTINCT district FROM classed WHERE {_always}",
+        "bitmap_always_high": classed + f"SELECT DISTINCT district FROM classed WHERE {_always}",
+        "bitmap_once_high": classed
+        + "SELECT district FROM classed WHERE class_y1995 = 'High' OR class_y1996 = 'High' OR class_y1997 = 'High'",
+        "bitmap_class_sizes": classed
+        + f"""SELECT "column", value AS class, count(*) AS n
+        FROM ({_long([f"class_y{y}" for y in YEARS], table="classed")}) GROUP BY ALL""",
         "semi_union": classed
         + " UNION ALL ".join(
             f"""SELECT district, y{y} AS total, 'y{y}' AS year FROM classed
@@ -371,12 +476,31 @@ def oracle_sql() -> dict[str, str]:
         "class_weights": imp
         + """SELECT click::INT AS label, count(*) AS n, round((SELECT count(*) FROM impressions)
           / (2.0::DOUBLE * count(*)), 6) AS weight FROM impressions GROUP BY 1""",
-        "gbt_test_rows": imp + _test_rows("true AS is_share, true AS follows"),
-        "rf_test_rows": imp + _test_rows("true AS is_share, true AS follows"),
+        "gbt_test_rows": imp + _test_rows("true AS is_share, true AS follows, true AS by_trees"),
+        "rf_test_rows": imp + _test_rows("true AS is_share, true AS follows, true AS by_trees"),
+        "gbt_conditions": f"""WITH {PLANTED}, parts AS (
+          SELECT is_test, click, count(*) AS n, ceil(0.1 * count(*))::BIGINT AS held FROM planted GROUP BY ALL)
+        SELECT 'leaf_means' AS condition, sum(n - held)::BIGINT AS rows, true AS holds FROM parts WHERE NOT is_test
+        UNION ALL SELECT 'last_round_is_best', sum(held)::BIGINT, true FROM parts WHERE NOT is_test
+        UNION ALL SELECT 'finds_the_effect', sum(n)::BIGINT, true FROM parts WHERE is_test""",
+        "rf_conditions": f"""WITH {PLANTED}
+        SELECT 'leaf_shares' AS condition, count(*) AS rows, true AS holds FROM planted WHERE NOT is_test
+        UNION ALL SELECT 'finds_the_effect', count(*), true FROM planted WHERE is_test""",
+        "lr_scores": imp + _test_rows("true AS same"),
+        "selected_vectors": imp
+        + f""", train AS (SELECT * FROM impressions WHERE NOT {_hash(SEED + 1)} < {_hashes(3)})
+        SELECT feature, sum(value)::DOUBLE AS total, true AS "right" FROM ("""
+        + " UNION ALL ".join(
+            [f"SELECT '{c}' AS feature, {c}::DOUBLE AS value FROM train"
+             for c in ("weekday", "hour_in_day", "device_conn_type", "device_type")]
+            + [f"SELECT '{c}_' || {c}, 1::DOUBLE FROM train" for c in ("site_category", "app_category", "banner_pos")]
+        )
+        + ") GROUP BY 1",
+        "path_conditions": "SELECT round(power(10::DOUBLE, -3 + i / 2.0), 6) AS c, true AS at_optimum, true AS f1_holds FROM range(7) t(i)",
         "saved_lr_test_rows": imp + _test_rows("true AS same"),
         "model_report": imp
         + f""", test AS (SELECT click::INT AS label FROM impressions WHERE {_hash(SEED + 1)} < {_hashes(3)})
-        SELECT 'f1_path' AS chart, 'penalty_' || (i + 1) AS name, NULL::BIGINT AS support, true AS is_share
+        SELECT 'f1_path' AS chart, 'penalty_' || (i + 1) AS name, NULL::BIGINT AS support, true AS is_right
         FROM range(7) t(i)
         UNION ALL SELECT 'classification', label::VARCHAR, count(*), true FROM test GROUP BY label
         UNION ALL SELECT 'classification', unnest(['accuracy', 'macro avg', 'weighted avg']),
@@ -388,6 +512,12 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT DISTINCT unnest(['site_category_' || site_category,
           'app_category_' || app_category, 'banner_pos_' || banner_pos]), true
         FROM impressions WHERE NOT {_hash(SEED + 1)} < {_hashes(3)}""",
+        "ridge_conditions": imp
+        + f"""SELECT unnest(['weekday', 'hour_in_day', 'device_conn_type', 'device_type']) AS feature,
+          true AS holds
+        UNION ALL SELECT DISTINCT unnest(['site_category_' || site_category,
+          'app_category_' || app_category, 'banner_pos_' || banner_pos]), true
+        FROM impressions WHERE NOT {_hash(SEED + 1)} < {_hashes(3)}""",
         "folded_rows": imp
         + f"SELECT {_model_columns}, click::INT AS label, count(*) AS n FROM impressions GROUP BY ALL",
         "confusion_matrix": scored
@@ -408,13 +538,15 @@ def oracle_sql() -> dict[str, str]:
         "weighted_f1": f"""WITH {PER_CLASS}
         SELECT round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM per_class""",
         "roc_auc": scored
-        + """, pos AS (SELECT score, prediction FROM scored WHERE label = 1),
-        neg AS (SELECT score, prediction FROM scored WHERE label = 0)
-        SELECT round(avg(CASE WHEN pos.score > neg.score THEN 1.0 WHEN pos.score = neg.score THEN 0.5
-            ELSE 0.0 END), 6) AS auc_score,
-          round(avg(CASE WHEN pos.prediction > neg.prediction THEN 1.0
-            WHEN pos.prediction = neg.prediction THEN 0.5 ELSE 0.0 END), 6) AS auc_hard
-        FROM pos, neg""",
+        + """, ranked AS (
+          SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS by_score,
+            rank() OVER (ORDER BY prediction) + (count(*) OVER (PARTITION BY prediction) - 1) / 2.0::DOUBLE AS by_prediction
+          FROM scored),
+        sums AS (
+          SELECT count(*) FILTER (label = 1)::DOUBLE AS p, count(*) FILTER (label = 0)::DOUBLE AS n,
+            sum(by_score) FILTER (label = 1) AS s, sum(by_prediction) FILTER (label = 1) AS h FROM ranked)
+        SELECT round((s - p * (p + 1) / 2) / (p * n), 6) AS auc_score, round((h - p * (p + 1) / 2) / (p * n), 6) AS auc_hard
+        FROM sums""",
         "log_loss": scored
         + """SELECT round(-avg(CASE WHEN label = 1 THEN ln(score) ELSE ln(1 - score) END), 6) AS log_loss
         FROM scored""",

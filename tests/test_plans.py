@@ -5,7 +5,7 @@ from test_queries import BY_MODEL, FOLDER, QUERIES
 
 BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow")
 # These read rows out of a window over a result that is small by construction.
-SMALL_WINDOW = {"categories_by_ctr", "roc_auc"}
+SMALL_WINDOW = {"categories_by_ctr", "roc_auc", "top_values", "report_by_parts", "counted_parts"}
 
 
 def plan(df):
@@ -13,7 +13,10 @@ def plan(df):
 
 
 # Fits are iterative jobs; their plans are Spark ML's own.
-FITTED = BY_MODEL | {"gbt_test_rows", "rf_test_rows", "saved_lr_test_rows", "penalty_rule", "lr_conditions", "model_report"}
+FITTED = BY_MODEL | {
+    "gbt_test_rows", "rf_test_rows", "saved_lr_test_rows", "penalty_rule", "lr_conditions", "model_report", "ridge_conditions",
+    "path_conditions", "lr_scores", "selected_vectors", "gbt_conditions", "rf_conditions",
+}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - FITTED))
@@ -44,3 +47,14 @@ def test_fact_rows_are_folded_before_the_join(spark):
     text = plan(QUERIES["large_ctr_by_app_category"](spark, FOLDER))
     join = text.index("Join")
     assert "HashAggregate(keys=[part" in text[join:]
+
+
+def test_no_value_of_a_wide_column_is_shuffled_for_the_top(spark):
+    """The sketches' candidates are broadcast; what is shuffled is one count per candidate and task."""
+    text = plan(QUERIES["top_values"](spark, FOLDER))
+    assert text.count("FileScan") <= 4 and "SortMergeJoin" not in text
+
+
+def test_a_hashing_encoder_collects_no_level(spark):
+    text = plan(QUERIES["hashed_slots"](spark, FOLDER))
+    assert "Exchange" not in text and text.count("FileScan") == 1
