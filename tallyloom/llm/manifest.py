@@ -66,17 +66,17 @@ def in_order(rows: DataFrame, n: int, *order: str) -> DataFrame:
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / RANGE_ROWS))
     by = [F.asc_nulls_first(c) for c in order]
     dealt = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
-    dealt = written(dealt.withColumn("_id", F.monotonically_increasing_id()))
-    index, part = F.col("_id").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1)), F.shiftright("_id", _INDEX_BITS)
-    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    dealt = written(dealt.withColumn("_at_id", F.monotonically_increasing_id()))
+    index, part = F.col("_at_id").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1)), F.shiftright("_at_id", _INDEX_BITS)
+    sizes = dealt.groupBy(part.alias("_at_part")).agg(F.count("*").alias("_at_size"))
     before = sizes.select(
-        "_part",
-        F.expr("sum(_size) over (order by _part rows between unbounded preceding and current row) - _size").alias(
-            "_before"
-        ),
+        "_at_part",
+        F.expr(
+            "sum(_at_size) over (order by _at_part rows between unbounded preceding and current row) - _at_size"
+        ).alias("_at_before"),
     )
-    placed = dealt.withColumn("_part", part).join(before, "_part")
-    return placed.withColumn("_at", F.col("_before") + index).drop("_id", "_part", "_before")
+    placed = dealt.withColumn("_at_part", part).join(before, "_at_part")
+    return placed.withColumn("_at", F.col("_at_before") + index).drop("_at_id", "_at_part", "_at_before")
 
 
 def climb(nodes: DataFrame, largest: int) -> list[DataFrame]:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.manifest import in_order
 from tallyloom.llm.shared import WORD, known_id, text_hash, whole_text, written
 
 # Weights by rank of the source, repeating; the mix is 1.5 times all words; no
@@ -15,8 +16,10 @@ from tallyloom.llm.shared import WORD, known_id, text_hash, whole_text, written
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
-#: Rows that one range of a source's random order should hold.
+#: Rows that one range of a source's random order should hold, and copies of a row that are
+#: unfolded together.
 RANGE_ROWS = 4096
+COPIES = 4096
 ID, TEXT_HASH, ORIGIN, KEY, RANGE = ("_mix_" + x for x in ("id", "th", "src", "key", "range"))
 
 
@@ -65,39 +68,32 @@ def targets(
     return filled.select(ORIGIN, "source_size", target.alias("target"))
 
 
-def take(
-    docs: DataFrame,
-    weights: Sequence[int] = WEIGHTS,
-    share: float = SHARE,
-    repeats: int = REPEATS,
-    seed: int = 0,
-) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with what names a row's source, id and text."""
+    origin = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
+    return docs.withColumns({ORIGIN: origin, ID: known_id(), TEXT_HASH: text_hash()})
 
-    Rows of a source are in the order of a hash of id and seed. A source's budget is its
-    target to the nearest word; whole rounds through the source come first, and the rows up
-    to the rest of the budget are taken once more, the last of them in part. Reruns agree
-    however the table is cut into partitions. A null or blank text has size 0; a null source
-    is a source, the last; null ids share one place in the order, and repeated rows count
-    one by one. An empty table gives no rows.
+
+def _amounts(docs: DataFrame, weights: Sequence[int], share: float, repeats: int, seed: int) -> DataFrame:
+    """A row per source, id and text: ``n`` rows of ``docs`` with ``size``; each of them is taken for
+    ``base`` words, ``full`` of them for a whole text more, and one after those for ``partial`` more.
 
     The order is cut into ranges by the leading digits of the hash, about ``RANGE_ROWS`` rows
     each, also within a source that holds a third of all rows. Sums per range, added up over
-    the ranges before it, are the offsets of the running sums inside the ranges.
+    the ranges before it, are the offsets of the running sums inside the ranges. Repeated rows
+    are one row by then.
     """
-    named = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    # Rows without an id are told apart by their text.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col(TEXT_HASH).cast("string")))
+    rows = _keyed(docs).select(
+        F.col("doc_id"), ORIGIN, ID, TEXT_HASH, F.md5(F.concat(F.lit(f"{seed}:"), name)).alias(KEY),
+        word_count(whole_text()).alias("size"),
+    )
     rows = written(
-        docs.select(
-            F.col("doc_id"),
-            known_id().alias(ID),
-            text_hash().alias(TEXT_HASH),
-            named.alias(ORIGIN),
-            F.md5(name).alias(KEY),
-            word_count(whole_text()).alias("size"),
-        )
+        rows.groupBy(ORIGIN, ID, TEXT_HASH, KEY, "size").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n"))
     )
-    by_source = rows.groupBy(ORIGIN).agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    words = F.col("size") * F.col("n")
+    by_source = rows.groupBy(ORIGIN).agg(F.sum(words).alias("source_size"), F.count("*").alias("_n"))
     by_source = written(by_source)
     largest = by_source.agg(F.max("_n")).first()[0] or 1
     digits = max(0, math.ceil(math.log(largest / RANGE_ROWS, 16))) if largest > RANGE_ROWS else 0
@@ -105,7 +101,7 @@ def take(
     before = Window.partitionBy(ORIGIN).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(ORIGIN, RANGE)
-        .agg(F.sum("size").alias("_in_range"))
+        .agg(F.sum(words).alias("_in_range"))
         .select(ORIGIN, RANGE, F.coalesce(F.sum("_in_range").over(before), F.lit(0)).alias("_offset"))
     )
     inside = (
@@ -114,25 +110,65 @@ def take(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = (
-        rows.withColumn("_upto", F.sum("size").over(inside))
+        rows.withColumn("_upto", F.sum(words).over(inside))
         .join(offsets, [ORIGIN, RANGE])
         .join(targets(by_source.drop("_n"), weights, share, repeats), ORIGIN)
     )
     budget = F.floor(F.col("target") + 0.5)
     rounds = F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(0)
     left = F.col("_budget") - F.col("_rounds") * F.col("source_size")
-    start = F.col("_offset") + F.col("_upto") - F.col("size")
-    part = F.least(F.greatest(left - start, F.lit(0)), F.col("size"))
+    start = F.col("_offset") + F.col("_upto") - words
     return (
         placed.withColumn("_budget", budget)
         .withColumn("_rounds", rounds)
+        .withColumn("_more", F.least(F.greatest(left - start, F.lit(0)), words).cast("bigint"))
         .select(
-            "doc_id", ID, TEXT_HASH, "size", "source_size", "target",
-            (F.col("_rounds") * F.col("size") + part).cast("bigint").alias("taken"),
+            ORIGIN, ID, TEXT_HASH, "doc_id", "n", "size", "source_size", "target",
+            (F.col("_rounds") * F.col("size")).cast("bigint").alias("base"),
+            F.when(F.col("size") > 0, F.expr("_more div size")).otherwise(0).cast("bigint").alias("full"),
+            F.when(F.col("size") > 0, F.col("_more") % F.col("size")).otherwise(0).cast("bigint").alias("partial"),
         )
     )
 
 
+def _taken(place: Column) -> Column:
+    """Words taken of the row that has that place (from 0) among its copies."""
+    more = F.when(place < F.col("full"), F.col("size")).when(place == F.col("full"), F.col("partial")).otherwise(0)
+    return (F.col("base") + more).cast("bigint")
+
+
+def take(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    repeats: int = REPEATS,
+    seed: int = 0,
+) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``size``, ``source_size``, ``target``, ``taken``.
+
+    Rows of a source are in the order of a hash of id and seed. A source's budget is its
+    target to the nearest word; whole rounds through the source come first, and the rows up
+    to the rest of the budget are taken once more, the last of them in part. Reruns agree
+    however the table is cut into partitions. A null or blank text has size 0, a text of any length
+    its number of words; a null source is a source, the last; rows without an id have their place by
+    their text, and repeated rows count one by one. An empty table gives no rows; further columns,
+    whatever their names, are not read.
+    """
+    amounts = written(_amounts(docs, weights, share, repeats, seed))
+    columns = ["doc_id", "size", "source_size", "target"]
+    zero = F.lit(0).cast("bigint")
+    few = amounts.filter(F.col("n") <= COPIES).withColumn("_i", F.explode(F.sequence(zero, F.col("n") - 1)))
+    # A row with very many copies is unfolded in several tasks.
+    many = amounts.filter(F.col("n") > COPIES)
+    parts = many.withColumn("_p", F.explode(F.sequence(zero, F.floor((F.col("n") - 1) / COPIES))))
+    first = F.col("_p") * COPIES
+    each = parts.repartition("_p", TEXT_HASH).withColumn(
+        "_i", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1))
+    )
+    rows = few.unionByName(each.drop("_p"))
+    return rows.select(*columns, _taken(F.col("_i")).alias("taken"))
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """What the mix takes of every document."""
     return take(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -151,25 +187,38 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     that a source's budget ends in has its text cut after the last word taken. Rows without
     a word are taken in no epoch and go.
     """
-    amounts = take(docs, **how).select(
-        ID, TEXT_HASH, F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken")
+    amounts = written(
+        _amounts(docs, how.get("weights", WEIGHTS), how.get("share", SHARE), how.get("repeats", REPEATS), how.get("seed", 0))
     )
-    # Repeated rows share id and text; numbers tell them apart on both sides.
-    same = Window.partitionBy(ID, TEXT_HASH)
-    amounts = amounts.withColumn("_mix_no", F.row_number().over(same.orderBy(F.desc("_mix_taken"))))
-    rows = docs.withColumns({ID: known_id(), TEXT_HASH: text_hash()})
-    rows = rows.withColumn("_mix_no", F.row_number().over(same.orderBy(ID)))
-    size, taken = F.col("_mix_size"), F.col("_mix_taken")
+    keys = [ORIGIN, ID, TEXT_HASH]
+    amount = F.struct("n", "size", "base", "full", "partial").alias("_mix")
+    joined = _keyed(docs).join(amounts.select(*keys, amount), keys)
+    full, n = F.col("_mix.full"), F.col("_mix.n")
+    uneven = (n > 1) & (((full > 0) & (full < n)) | (F.col("_mix.partial") > 0))
+    # All copies of a row are taken alike, but for those that a source's budget ends in: one row of a
+    # source. Only its copies are numbered.
+    alike = joined.filter(~uneven).withColumn("_mix_i", F.lit(0).cast("bigint"))
+    rest = joined.filter(uneven).withColumn("_mix_row", F.monotonically_increasing_id())
+    n_rest = amounts.filter((F.col("n") > 1) & (((F.col("full") > 0) & (F.col("full") < F.col("n"))) | (F.col("partial") > 0)))
+    n_rest = n_rest.agg(F.sum("n")).first()[0]
+    if n_rest:
+        placed = in_order(rest, n_rest, *keys, "_mix_row").drop("_mix_row")
+        first = placed.groupBy(*keys).agg(F.min("_at").alias("_mix_first"))
+        placed = placed.join(first, keys).withColumn("_mix_i", F.col("_at") - F.col("_mix_first"))
+        alike = alike.unionByName(placed.drop("_at", "_mix_first"))
+    place, size = F.col("_mix_i"), F.col("_mix.size")
+    more = F.when(place < full, size).when(place == full, F.col("_mix.partial")).otherwise(0)
+    taken = F.col("_mix_taken")
     epochs = F.when(taken > 0, F.sequence(F.lit(1), F.ceil(taken / size).cast("int")))
     one = F.least(size, taken - (F.col("epoch") - 1) * size)
     return (
-        rows.join(amounts, [ID, TEXT_HASH, "_mix_no"])
+        alike.withColumn("_mix_taken", (F.col("_mix.base") + more).cast("bigint"))
         .withColumn("epoch", F.explode(epochs))
         .withColumn("taken", one)
         .withColumn(
             "text", F.when(one < size, first_words(F.col("text"), one.cast("int"))).otherwise(F.col("text"))
         )
-        .drop(ID, TEXT_HASH, "_mix_no", "_mix_size", "_mix_taken")
+        .drop(*keys, "_mix", "_mix_i", "_mix_taken")
     )
 
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+import xxhash
 from awkward import TEXTS, documents, none, rows
 from comparing import database, differences
 
@@ -27,19 +28,26 @@ def shares(sizes, weights=(3, 1, 2), share=1.5, repeats=2):
         full |= over
 
 
+def place(doc_id, text):
+    """The hash a row has its place by; rows without an id go by their text."""
+    if doc_id is None:
+        bits = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        doc_id = f"null:{bits - (bits >> 63 << 64)}"
+    return hashlib.md5(f"0:{doc_id}".encode()).hexdigest()
+
+
 def by_hand(table):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     by_source = {}
     for i, t, _, s in table:
-        by_source.setdefault(s, []).append((i, size(t)))
-    target = shares({s: sum(n for _, n in d) for s, d in by_source.items()})
+        by_source.setdefault(s, []).append((i, size(t), t))
+    target = shares({s: sum(n for _, n, _ in d) for s, d in by_source.items()})
     found = []
     for s, docs in by_source.items():
-        whole = sum(n for _, n in docs)
+        whole = sum(n for _, n, _ in docs)
         budget = int(target[s] + 0.5)
         rounds, left = divmod(budget, whole) if whole else (0, 0)
-        order = lambda d: (hashlib.md5(f"0:{'null' if d[0] is None else d[0]}".encode()).hexdigest(), d[1])
-        for i, n in sorted(docs, key=order):
+        for i, n, t in sorted(docs, key=lambda d: (place(d[0], d[2]), d[1])):
             part = max(0, min(left, n))
             left -= part
             found.append((i, n, whole, target[s], rounds * n + part))
@@ -87,3 +95,26 @@ def test_sources_keep_their_share_on_other_partitions(spark):
 def test_no_words_at_all(spark):
     got = mix_report(documents(spark, [(1, "", None, "a"), (2, None, None, None)]))
     assert rows(got, "doc_id", "taken") == [(1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("copies", [4096, 7])
+def test_many_copies_of_a_row_and_many_rows_without_an_id(spark, monkeypatch, copies):
+    """The budget of source a ends among copies; rows without an id are spread by their text."""
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    docs = [(1, "one two three", None, "a")] * 60 + [(i, "w " * (i % 9), None, "a") for i in range(2, 40)]
+    docs += [(None, f"text number {i} here", None, "b") for i in range(80)] + [(None, None, None, "b")] * 30 + [(99, "x y", None, "c")] * 5
+    df = documents(spark, docs)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:3], r[4])
+    got = sorted(map(tuple, mix_report(df).collect()), key=key)
+    wanted = sorted(by_hand(docs), key=key)
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in wanted]
+    taken = {}
+    for r in mixed(df).collect():
+        assert len(r.text.split()) == r.taken
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+    source = {i: s for i, _, _, s in docs}
+    sums = {}
+    for i, _, _, _, n in by_hand(docs):
+        sums[i, source[i]] = sums.get((i, source[i]), 0) + n
+    assert taken == {k: v for k, v in sums.items() if v}
