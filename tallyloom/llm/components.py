@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import written
+from tallyloom.llm.shared import removed, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,23 +26,26 @@ def components(links: DataFrame) -> DataFrame:
     the smaller ones (small star), until nothing moves; the number of rounds grows with the
     logarithm of the largest distance. Only aggregates and joins on a node are used, so a
     node with very many links is split like any other hot key. Every round is stored, so a
-    lost executor costs one round. No links give no rows.
+    lost executor costs one round, and replaces the round before. No links give no rows.
     """
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = written(edges.filter("u <> v").distinct())
+    edges, path = stored(edges.filter("u <> v").distinct())
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.filter("u <> v").distinct())
+        large, large_path = stored(large.filter("u <> v").distinct())
         lower = _least(large)
         small = (
             large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(lower.select("u", F.col("m").alias("v")))
         )
-        edges = written(small.filter("u <> v").distinct())
+        replaced = (path, large_path)
+        edges, path = stored(small.filter("u <> v").distinct())
+        for old in replaced:  # nothing reads them any more
+            removed(links.sparkSession, old)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.session import scratch_folder
+from tallyloom.sources.commits import remove
 from tallyloom.sources.tables import table
 
 # White space is the ASCII set \x20 \x09-\x0D; only A-Z are lower-cased.
@@ -55,12 +56,23 @@ def id_remainder(modulus: int, name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string")) % modulus
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame, stored as a table in the shared folder (lineage ends there), and the table's path."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The frame, stored as a table in the shared folder: lineage ends there.
+    """The frame, stored as a table in the shared folder.
 
     The table stays until the folder named in ``spark.checkpoint.dir`` is emptied, as the
-    returned frame is read lazily.
+    returned frame is read lazily. What a loop replaces is stored by :func:`stored` and removed by
+    :func:`removed`.
     """
-    path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no frame in use is read from."""
+    remove(spark, path)

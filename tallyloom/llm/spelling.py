@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tallyloom.llm.shared import LOWER, UPPER, ascii_lower, written
+from tallyloom.llm.shared import LOWER, UPPER, ascii_lower, removed, stored, written
 from tallyloom.llm.sql import crc32_sql
 
 # Letters of a word, share of runs that are changed, and what counts as a word.
@@ -260,19 +260,20 @@ def near_words(words: DataFrame) -> DataFrame:
     # The vocabulary is small beside the work that a word makes.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(tasks, math.ceil(words.count() / TASK_WORDS))
-    rows = written(words.select("word", "n").repartition(tasks, "word").mapInArrow(post, schema))
+    rows, path = stored(words.select("word", "n").repartition(tasks, "word").mapInArrow(post, schema))
     lists, postings = None, 0
     while True:
         sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("end") - F.col("start")).alias("open"))
         # Lists of one word meet nobody.
         shared = written(rows.join(sizes.filter("size > 1"), "key"))
+        removed(words.sparkSession, path)
         long = (F.col("size") > PAIRED_WORDS) & (F.col("open") > 0)
         counts = shared.agg(F.count_if(long).alias("long"), F.count_if(~long).alias("short")).first()
         short = shared.filter(~long).select("key", "word", "n")
         lists, postings = short if lists is None else lists.unionByName(short), postings + counts["short"]
         if not counts["long"]:
             break
-        rows = written(shared.filter(long).select("key", "word", "start", "end", "n").mapInArrow(halve, schema))
+        rows, path = stored(shared.filter(long).select("key", "word", "start", "end", "n").mapInArrow(halve, schema))
     groups = max(1, math.ceil(postings / GROUP_ROWS))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
