@@ -211,10 +211,10 @@ def _slot(column: str, slots: int) -> str:
 
 
 def _top(columns, k: int, table: str) -> str:
-    return f"""SELECT "column", value, n, place::INT AS place FROM (
-      SELECT "column", value, count(*) AS n,
-        row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value) AS place
-      FROM ({_long(columns, table)}) WHERE value IS NOT NULL GROUP BY ALL) WHERE place <= {k}"""
+    return f"""SELECT "column", value, n, place FROM (
+      SELECT *, (row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value))::INT AS place FROM (
+        SELECT "column", value, count(*) AS n FROM ({_long(columns, table)}) WHERE value IS NOT NULL GROUP BY ALL))
+      WHERE place <= {k}"""
 
 
 def _collisions(columns, slots: int) -> str:

@@ -332,7 +332,7 @@ PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 @query
 def merged_distinct(spark, folder):
     """Distinct counts from sketches stored by day: whether merged they are within three standard
-    errors of the exact count, and what one sketch over all days gives."""
+    errors of the exact count, and within one of what a sketch over all days gives."""
     log = impressions(spark, folder).withColumn("day", F.date_format("hour", "yyyy-MM-dd"))
     path = scratch_folder(spark)
     sketches.store_by_part(sketches.distinct_sketches(log, WIDE, ["day"]), "day", path)
@@ -344,8 +344,9 @@ def merged_distinct(spark, folder):
     error = F.abs(F.col("n_distinct") - F.col("exact"))
     within = error <= 3 * sketches.distinct_error() * F.col("exact")
     return merged.join(exact, "column").join(direct, "column").select(
-        "column", "exact", within.alias("within"), (F.col("n_distinct") == F.col("direct")).alias("as_direct")
-    )
+        "column", "exact", within.alias("within"),
+        (F.abs(F.col("n_distinct") - F.col("direct")) <= sketches.distinct_error() * F.col("direct")).alias("as_direct"),
+    )
 
 
 @query

@@ -58,7 +58,8 @@ def distinct_sketches(
 
 
 def merged_distinct(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sketches of all parts put together, per value of ``by``."""
+    """Sketches of all parts put together, per value of ``by``. They hold what one sketch of all rows
+    would; the estimate may differ within its error, as it is read off in another way."""
     return sketches.groupBy(*by, "column").agg(F.hll_union_agg(DISTINCT).alias(DISTINCT))
 
 
