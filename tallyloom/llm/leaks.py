@@ -13,6 +13,8 @@ the very values of the item.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,63 +69,74 @@ def _numbers(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), number).otherwise(text)
 
 
+def _numbers(text: Column) -> Column:
+    """Placeholders 0 (number) and U (unit after a number) in place of tokens."""
+    number = F.regexp_replace(text, r"(?<!\S)[0-9]+(?!\S)", "0")
+    number = F.regexp_replace(number, rf"(?<=(?<!\S)0 )(?:{'|'.join(UNITS)})(?!\S)", "U")
+    return F.when(text.rlike("[0-9]"), number).otherwise(text)
+
+
 def template(marked_text: Column) -> Column:
     """Placeholders for numbers and units, names as they are."""
-    return _numbers(words_only(marked_text))
+    return F.replace(_numbers(F.lower(marked_text)), F.lit(NAME_MARK), F.lit(""))
 
 
 def named_template(marked_text: Column) -> Column:
     """Placeholders for numbers and units, and N for each marked word."""
-    return _numbers(F.regexp_replace(F.lower(marked_text), rf"{NAME_MARK}\S+", "N"))
+    return F.regexp_replace(_numbers(F.lower(marked_text)), rf"{NAME_MARK}\S+", "N")
 
 
 def tokens(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
-def kinds(text: Column) -> Column:
-    """A letter per token of a template: its placeholder, or w."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?<!\S)(?![N0U](?!\S))\S+", "w"), " ", "")
+def kinds(row: Column) -> Column:
+    """What each token of a text with marks and placeholders for numbers is: 0, U, N (marked) or w."""
+    kind = lambda t: F.when(F.startswith(t, F.lit(NAME_MARK)), "N").when(t.isin("0", "U"), t).otherwise("w")
+    return F.transform(row, kind)
 
 
-def _windows(by_form: Column, width: int) -> Column:
+# Six placeholders in a window of eight have two words between them at most.
+_CROWD = "(?:w{0,2}[0U%s]){6}"
+
+
+def _windows(row: Column, width: int) -> Column:
     """(pos, hash, form) of the windows of ``width`` tokens of one text; positions from 0.
 
-    ``by_form`` has the tokens (``words``), those of the template (``plain``) and of the one with
-    names (``named``), their ``kinds``, and whether placeholders stand next to each other
-    (``dense``). Form 0 is the template; where that has fewer than ``LITERALS`` words, the tokens
-    themselves. Form 1 is the template with names, of windows with a name and enough words.
+    ``row`` is made by :func:`_all_windows`. Form 0 is the template without names; where that has
+    fewer than ``LITERALS`` words, the tokens themselves. Form 1 is the template with names, of
+    windows with a name and enough words.
     """
     least = min(LITERALS, width)
-    row = by_form
-    places = F.when(F.size(row["words"]) >= width, F.sequence(F.lit(0), F.size(row["words"]) - width)).otherwise(
+    places = F.when(row["n"] >= width, F.sequence(F.lit(0), row["n"] - width)).otherwise(
         F.array().cast("array<int>")
     )
 
-    def hashed(column: str, i: Column, seed: int) -> Column:
-        return F.xxhash64(F.lit(seed), F.slice(row[column], i + 1, F.lit(width)))
+    def at(column: str, i: Column) -> list[Column]:
+        # Single places: a slice copies the whole array, for every window of a long text.
+        return [F.get(row[column], i + j) for j in range(width)]
 
-    def n_words(column: str, i: Column) -> Column:
-        return F.char_length(F.translate(F.substr(row[column], i + 1, F.lit(width)), "N0U", ""))
-
-    def entry(i: Column, value: Column, form: int) -> Column:
+    def entry(column: str, i: Column, seed: int, form: int) -> Column:
+        value = F.xxhash64(F.lit(seed), *at(column, i))
         return F.struct(i.alias("pos"), value.alias("hash"), F.lit(form).alias("form"))
 
-    def plain(i: Column) -> Column:
-        return entry(i, hashed("plain", i, width), 0)
-
-    def checked(i: Column) -> Column:
-        value = F.when(n_words("plain_kinds", i) >= least, hashed("plain", i, width))
-        return entry(i, value.otherwise(hashed("words", i, -width)), 0)
-
-    # At full width a window short of words has two placeholders side by side.
-    always = F.lit(width < WINDOW) | row["dense"]
-    first = F.when(always, F.transform(places, checked)).otherwise(F.transform(places, plain))
-    has_name = lambda i: F.substr(row["kinds"], i + 1, F.lit(width)).contains("N")
-    with_names = F.filter(places, lambda i: has_name(i) & (n_words("kinds", i) >= least))
-    second = F.transform(with_names, lambda i: entry(i, hashed("named", i, width), 1))
+    def n_words(i: Column, *words: str) -> Column:
+        return sum((k.isin(*words).cast("int") for k in at("kinds", i)), F.lit(0))
+
+    def has_name(i: Column) -> Column:
+        return reduce(lambda a, b: a | b, [k == "N" for k in at("kinds", i)])
+
+    # Windows are looked at one by one only where some may lack words.
+    own = lambda i: F.when(n_words(i, "w", "N") >= least, entry("plain", i, width, 0)).otherwise(entry("words", i, -width, 0))
+    crowded = F.lit(width < WINDOW) | row["crowded"]
+    first = F.when(crowded, F.transform(places, own)).otherwise(F.transform(places, lambda i: entry("plain", i, width, 0)))
+    with_name = F.filter(places, has_name)
+    enough = F.when(
+        F.lit(width < WINDOW) | row["names_crowded"], F.filter(with_name, lambda i: n_words(i, "w") >= least)
+    ).otherwise(with_name)
+    second = F.transform(enough, lambda i: entry("named", i, width, 1))
     none = F.array().cast("array<struct<pos:int,hash:bigint,form:int>>")
-    return F.concat(first, F.when(F.instr(row["kinds"], "N") > 0, second).otherwise(none))
+    return F.concat(first, F.when(row["has_names"], second).otherwise(none))
 
 
 def _tokenised(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -134,18 +147,28 @@ def _tokenised(df: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def _all_windows(df: DataFrame, widths: list[int]) -> DataFrame:
-    """One row per window and form: id, th, width, pos, hash, form."""
-    plain = template(F.col("marked"))
-    cut = df.select(
-        "id", "th", words_only(F.col("marked")).alias("words"), plain.alias("plain"),
-        # Without a mark the two templates are one.
-        F.when(F.instr("marked", NAME_MARK) > 0, named_template(F.col("marked"))).otherwise(plain).alias("named"),
-    )
+    """One row per window and form: id, th, width, pos, hash, form.
+
+    Tokens are hashed once each, and windows of hashes are hashed: for the template without names
+    (``plain``), that with names (``named``), and the tokens as they are (``words``, only where
+    windows may lack other words).
+    """
+    base = _numbers(F.lower(F.col("marked")))
+    cut = df.select("id", "th", "marked", tokens(base).alias("row"))
+    cut = cut.withColumns({"kinds": kinds(F.col("row")), "names": F.instr("marked", NAME_MARK) > 0})
+    mark = F.lit(NAME_MARK)
+    bare = lambda t: F.when(F.startswith(t, mark), F.substr(t, F.lit(2))).otherwise(t)
+    plain = F.transform("row", lambda t: F.xxhash64(bare(t)))
+    named = F.transform("row", lambda t: F.when(F.startswith(t, mark), F.xxhash64(F.lit("N"))).otherwise(F.xxhash64(t)))
+    letters = F.array_join("kinds", "")
+    crowded = letters.rlike(_CROWD.replace("w", "[wN]") % "")
+    words = F.transform(tokens(words_only(F.col("marked"))), lambda t: F.xxhash64(t))
+    none = F.array().cast("array<bigint>")
     row = F.struct(
-        tokens(F.col("words")).alias("words"), tokens(F.col("plain")).alias("plain"),
-        tokens(F.col("named")).alias("named"), kinds(F.col("plain")).alias("plain_kinds"),
-        kinds(F.col("named")).alias("kinds"),
-        F.col("plain").rlike(r"(?<!\S)[0U] [0U](?!\S)").alias("dense"),
+        F.size("row").alias("n"), plain.alias("plain"), F.when(F.col("names"), named).otherwise(none).alias("named"),
+        F.when(F.lit(len(widths) > 1) | crowded, words).otherwise(none).alias("words"), "kinds",
+        crowded.alias("crowded"), letters.rlike(_CROWD % "N").alias("names_crowded"),
+        F.col("names").alias("has_names"),
     )
     by_width = lambda r: F.array(
         *[F.struct(F.lit(n).alias("width"), _windows(r, n).alias("w")) for n in widths]
@@ -287,12 +310,12 @@ def _with_slots(met: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     here = here.select(*key, "p.*", "here")
     there = items.dropDuplicates(key).select(
         F.col("id").alias("item_id"), F.col("th").alias("item_th"),
-        tokens(words_only(F.col("marked"))).alias("item_words"), kinds(named_template(F.col("marked"))).alias("item_kinds"),
+        tokens(words_only(F.col("marked"))).alias("item_words"), kinds(tokens(_numbers(F.lower(F.col("marked"))))).alias("item_kinds"),
     )
     both = here.join(there, ["item_id", "item_th"])
     at = F.col("item_pos")
     numbers = F.sequence(F.lit(1), F.col("width"))
-    filled = F.filter(numbers, lambda i: F.substr("item_kinds", at + i, F.lit(1)) != "w")
+    filled = F.filter(numbers, lambda i: F.get("item_kinds", at + i - 1) != "w")
     return both.select(
         *key, "item_id", "item_th", "item_pos", "pos", "line",
         F.transform(filled, lambda i: F.get("item_words", at + i - 1)).alias("item_slots"),
