@@ -13,8 +13,6 @@ the very values of the item.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,43 +98,29 @@ def kinds(row: Column) -> Column:
 _CROWD = "(?:w{0,2}[0U%s]){6}"
 
 
-def _windows(row: Column, width: int) -> Column:
-    """(pos, hash, form) of the windows of ``width`` tokens of one text; positions from 0.
-
-    ``row`` is made by :func:`_all_windows`. Form 0 is the template without names; where that has
-    fewer than ``LITERALS`` words, the tokens themselves. Form 1 is the template with names, of
-    windows with a name and enough words.
-    """
-    least = min(LITERALS, width)
-    places = F.when(row["n"] >= width, F.sequence(F.lit(0), row["n"] - width)).otherwise(
-        F.array().cast("array<int>")
-    )
-
-    def at(column: str, i: Column) -> list[Column]:
-        # Single places: a slice copies the whole array, for every window of a long text.
-        return [F.get(row[column], i + j) for j in range(width)]
-
-    def entry(column: str, i: Column, seed: int, form: int) -> Column:
-        value = F.xxhash64(F.lit(seed), *at(column, i))
-        return F.struct(i.alias("pos"), value.alias("hash"), F.lit(form).alias("form"))
+#: What a token counts in a window's sum: words in the low half, names in the high half.
+_WORD, _NAME = 1, 1 << 16
 
-    def n_words(i: Column, *words: str) -> Column:
-        return sum((k.isin(*words).cast("int") for k in at("kinds", i)), F.lit(0))
 
-    def has_name(i: Column) -> Column:
-        return reduce(lambda a, b: a | b, [k == "N" for k in at("kinds", i)])
+def _window_at(widths: list[int]) -> tuple[Column, Column]:
+    """The hash of the window at ``pos`` of a row of :func:`_all_windows`, and whether it counts.
 
-    # Windows are looked at one by one only where some may lack words.
-    own = lambda i: F.when(n_words(i, "w", "N") >= least, entry("plain", i, width, 0)).otherwise(entry("words", i, -width, 0))
-    crowded = F.lit(width < WINDOW) | row["crowded"]
-    first = F.when(crowded, F.transform(places, own)).otherwise(F.transform(places, lambda i: entry("plain", i, width, 0)))
-    with_name = F.filter(places, has_name)
-    enough = F.when(
-        F.lit(width < WINDOW) | row["names_crowded"], F.filter(with_name, lambda i: n_words(i, "w") >= least)
-    ).otherwise(with_name)
-    second = F.transform(enough, lambda i: entry("named", i, width, 1))
-    none = F.array().cast("array<struct<pos:int,hash:bigint,form:int>>")
-    return F.concat(first, F.when(row["has_names"], second).otherwise(none))
+    Form 0 is the template without names; where that has fewer than ``LITERALS`` words, the tokens
+    themselves (``exact``) take its place. Form 1 is the template with names, of windows with a name
+    and enough words.
+    """
+    # Single places: a slice copies the whole array, for every window of a long text.
+    at = lambda column, width: [F.get(column, F.col("pos") + j) for j in range(width)]
+    value, counts = F.lit(None).cast("bigint"), F.lit(None).cast("int")
+    for n in widths:
+        here = F.col("width") == n
+        value = F.when(here, F.xxhash64("seed", *at("hashes", n))).otherwise(value)
+        counts = F.when(here, sum(at("counts", n)[1:], at("counts", n)[0])).otherwise(counts)
+    n_words, n_names = counts.bitwiseAND(_NAME - 1), F.shiftright(counts, 16)
+    least = F.least(F.lit(LITERALS), F.col("width"))
+    own = ((n_words + n_names) < least) == F.col("exact")
+    with_name = (n_names > 0) & (~F.col("named_thin") | (n_words >= least))
+    return value, F.when(F.col("form") == 1, with_name).otherwise(~F.col("thin") | own)
 
 
 def _tokenised(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -164,18 +148,32 @@ def _all_windows(df: DataFrame, widths: list[int]) -> DataFrame:
     crowded = letters.rlike(_CROWD.replace("w", "[wN]") % "")
     words = F.transform(tokens(words_only(F.col("marked"))), lambda t: F.xxhash64(t))
     none = F.array().cast("array<bigint>")
+    code = lambda k: F.when(k == "w", _WORD).when(k == "N", _NAME).otherwise(0)
     row = F.struct(
         F.size("row").alias("n"), plain.alias("plain"), F.when(F.col("names"), named).otherwise(none).alias("named"),
-        F.when(F.lit(len(widths) > 1) | crowded, words).otherwise(none).alias("words"), "kinds",
+        F.when(F.lit(len(widths) > 1) | crowded, words).otherwise(none).alias("words"),
+        F.transform("kinds", code).alias("counts"),
         crowded.alias("crowded"), letters.rlike(_CROWD % "N").alias("names_crowded"),
         F.col("names").alias("has_names"),
     )
-    by_width = lambda r: F.array(
-        *[F.struct(F.lit(n).alias("width"), _windows(r, n).alias("w")) for n in widths]
-    )
-    rows = cut.select("id", "th", F.explode(F.transform(F.array(row), by_width)[0]).alias("x"))
-    rows = rows.select("id", "th", "x.width", F.explode("x.w").alias("w"))
-    return rows.select("id", "th", "width", "w.pos", "w.hash", "w.form")
+    # Positions become rows before their windows are hashed: functions over arrays are not compiled.
+    # Windows are looked at one by one only where some may lack words.
+    rows = cut.select("id", "th", F.inline(F.array(row)))
+
+    def entry(n: int, form: int, hashes: str, exact: bool = False) -> Column:
+        thin = F.lit(n < WINDOW) | F.col("crowded")
+        fields = {
+            "width": F.lit(n), "form": F.lit(form), "seed": F.lit(-n if exact else n), "exact": F.lit(exact),
+            "hashes": F.col(hashes), "thin": thin, "named_thin": F.lit(n < WINDOW) | F.col("names_crowded"),
+        }
+        wanted = thin if exact else F.col("has_names") if form else F.lit(True)
+        return F.when(wanted & (F.col("n") >= n), F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+    kinds_of = [entry(n, *how) for n in widths for how in ((0, "plain"), (0, "words", True), (1, "named"))]
+    rows = rows.select("id", "th", "n", "counts", F.inline(F.array_compact(F.array(*kinds_of))))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("width"))).alias("pos"))
+    value, there = _window_at(widths)
+    return rows.filter(there).select("id", "th", "width", "pos", value.alias("hash"), "form")
 
 
 def find_leaks(

@@ -212,3 +212,17 @@ def test_a_common_passage_of_many_items_and_documents(spark):
     items = [f"{common} " + " ".join(f"{chr(97 + i)}{chr(97 + j)}x" for j in range(20)) for i in range(20)]
     texts = [f"{common} " + " ".join(f"{chr(97 + i)}{chr(97 + j)}y" for j in range(20)) for i in range(20)]
     assert leaky(spark, texts, items) == set()
+
+
+def test_positions_are_rows_before_their_windows_are_hashed(spark):
+    """Functions over arrays are not compiled, so no window is hashed inside one; all windows are there."""
+    words = " ".join(f"word{i}" for i in range(20))
+    rows = spark.createDataFrame([(1, words), (2, "Anna " + words), (3, "1 2 3 4 5 6 7 8 two words"), (4, "short")], "doc_id long, text string")
+    found = leaks._all_windows(leaks._tokenised(rows, "doc_id", "text"), [leaks.WINDOW])
+    assert "explode(sequence(" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["id"], r["form"], r["pos"]) for r in found.select(F.col("id"), "form", "pos").collect())
+    ids = [r["id"] for r in leaks._tokenised(rows, "doc_id", "text").collect()]
+    wanted = [(ids[0], 0, i) for i in range(13)] + [(ids[1], 0, i) for i in range(14)] + [(ids[1], 1, 0)] + [(ids[2], 0, i) for i in range(3)]
+    assert got == sorted(wanted)
+    same = found.where("id = 1 AND pos = 0").join(found.where("id = 2 AND pos = 1 AND form = 0").select("hash"), "hash")
+    assert same.count() == 1
